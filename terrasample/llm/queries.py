@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrasample.llm import language_id
 from terrasample.llm.token_counts import count_tokens
 
 
@@ -14,12 +15,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.held_out("doc_id", 3, 1)
+    model = language_id.fit(language_id.training_sample(docs.where(~held_out)))
+    return language_id.identify(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
