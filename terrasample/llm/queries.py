@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasample.llm import language_id
+from terrasample.llm import language_id, mixing
 from terrasample.llm.token_counts import count_tokens
 
 
@@ -22,13 +22,58 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+#: The same arithmetic as one pass of windows; buckets only matter for the rounding document.
+OP2_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         (CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+sizes AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)] AS weight,
+         2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS wanted FROM sizes),
+levels AS (
+  SELECT *, (wanted - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+lowest AS (SELECT arg_min(level, cap / weight) AS level FROM levels WHERE cap > weight * level),
+targets AS (
+  SELECT source, n, source_size, round(CASE WHEN cap <= weight * levels.level THEN cap ELSE weight * lowest.level END, 6) AS target
+  FROM levels LEFT JOIN lowest ON true),
+ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
+plans AS (
+  SELECT *, CAST(floor(ratio) AS BIGINT) AS copies, ratio - floor(ratio) AS f,
+         target - floor(ratio) * source_size AS words, ceil(sqrt(n)) AS buckets FROM ratios),
+ranked AS (
+  SELECT s.doc_id, s.key, s.size, p.*, CASE WHEN f > 0 THEN (u / (1 - u)) * ((1 - f) / f) END AS rank
+  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
+summed AS (
+  SELECT *, floor(rank / (1 + rank) * buckets) AS bucket,
+         sum(size) OVER (PARTITION BY source ORDER BY rank, key) AS upto FROM ranked),
+ends AS (
+  SELECT source, min(bucket) FILTER (WHERE upto > words) AS last_bucket,
+         min(words) - coalesce(max(upto) FILTER (WHERE upto <= words), 0) AS missing FROM summed WHERE f > 0 GROUP BY source),
+nearest AS (
+  SELECT s.source, arg_min(s.key, (abs(bulk - missing), rank, s.key)) AS extra, min(abs(bulk - missing)) AS off, min(missing) AS missing
+  FROM (SELECT source, key, rank, bucket, sum(size) AS bulk, min(upto) AS upto, min(words) AS words FROM summed WHERE f > 0 GROUP BY ALL) s
+  JOIN ends e ON s.source IS NOT DISTINCT FROM e.source WHERE s.bucket = e.last_bucket AND s.upto > s.words GROUP BY s.source)
+SELECT s.doc_id, s.size, s.source_size, s.target,
+       (s.copies + CASE WHEN s.f > 0 AND (s.upto <= s.words OR coalesce(s.key = n.extra AND n.off < n.missing, false)) THEN 1 ELSE 0 END) * s.size AS taken
+FROM summed s LEFT JOIN nearest n ON s.source IS NOT DISTINCT FROM n.source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op4_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}
