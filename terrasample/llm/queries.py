@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasample.llm import language_id, mixing
+from terrasample.llm import language_id, mixing, sharding
+from terrasample.llm._scratch import Scratch
 from terrasample.llm.token_counts import count_tokens
 
 
@@ -26,6 +27,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -71,9 +76,28 @@ FROM summed s LEFT JOIN nearest n ON s.source IS NOT DISTINCT FROM n.source
 """
 
 
+def op10_sql() -> str:
+    """Rounds of the plan written out one after the other."""
+    rounds = []
+    for i in range(sharding.ROUNDS):
+        tier = " + ".join(f"CAST(bytes >= {sharding.Store.base_bytes * sharding.Store.fanout**k} AS INT)" for k in range(3))
+        rounds.append(f"""
+n{i} AS (SELECT *, {tier} AS tier, CAST(floor("into" / 4096.0) AS BIGINT) AS block
+  FROM (SELECT "into", sum(bytes)::BIGINT AS bytes FROM p{i} GROUP BY "into") WHERE bytes < {sharding.Store.target_bytes // 2}),
+r{i} AS (SELECT *, (row_number() OVER (PARTITION BY block, tier ORDER BY "into") - 1) // 4 AS run_no FROM n{i}),
+m{i} AS (SELECT "into", CASE WHEN count(*) OVER w = 4 THEN min("into") OVER w ELSE "into" END AS dest FROM r{i} WINDOW w AS (PARTITION BY block, tier, run_no)),
+p{i + 1} AS (SELECT p.arrival, p.bytes, p."rows", coalesce(m.dest, p."into") AS "into" FROM p{i} p LEFT JOIN m{i} m ON p."into" = m."into")""")
+    return f"""
+WITH sized AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, coalesce(CAST(floor(doc_id / 1024.0) AS BIGINT), -1) AS arrival FROM documents),
+p0 AS (SELECT arrival, sum(n_bytes)::BIGINT AS bytes, count(*) AS "rows", arrival AS "into" FROM sized GROUP BY arrival),{",".join(rounds)},
+shards AS (SELECT "into", sum(bytes)::BIGINT AS shard_bytes, sum("rows")::BIGINT AS shard_rows, count(*) AS arrivals FROM p{sharding.ROUNDS} GROUP BY "into")
+SELECT doc_id, n_bytes, p."into" AS shard, 2::BIGINT AS version, shard_rows, shard_bytes, arrivals
+FROM sized JOIN p{sharding.ROUNDS} p USING (arrival) JOIN shards USING ("into")"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op4_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op4_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op2_mixing": OP2_SQL, "op10_sharding": op10_sql()}
