@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasample.llm import chat_format, decontamination, language_id, mixing, sharding
+from terrasample.llm import chat_format, decontamination, language_id, mixing, ngram_join, sharding
 from terrasample.llm._scratch import Scratch
 from terrasample.llm.token_counts import count_tokens
 
@@ -44,6 +44,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -144,7 +148,7 @@ FROM sized JOIN p{sharding.ROUNDS} p USING (arrival) JOIN shards USING ("into")"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op4_token_counts, op5_decontamination, op6_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_ngram_join, op4_token_counts, op5_decontamination, op6_chat_format, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
