@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasample.llm import chat_format, decontamination, language_id, mixing, ngram_join, sharding
+from terrasample.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, sharding
 from terrasample.llm._scratch import Scratch
 from terrasample.llm.token_counts import count_tokens
 
@@ -40,6 +40,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(turns.unionByName(made)))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
 
@@ -148,7 +152,7 @@ FROM sized JOIN p{sharding.ROUNDS} p USING (arrival) JOIN shards USING ("into")"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_ngram_join, op4_token_counts, op5_decontamination, op6_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_ngram_join, op4_token_counts, op5_decontamination, op6_chat_format, op9_embedding_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
