@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasample.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, sharding
+from terrasample.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, toxicity
+from terrasample.llm._labels import labelled_sample
 from terrasample.llm._scratch import Scratch
 from terrasample.llm.token_counts import count_tokens
 
@@ -40,6 +41,20 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(turns.unionByName(made)))
 
 
+def _classified(spark: SparkSession, sf_dir: str, kind, label: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = kind.fit(labelled_sample(docs, labels.where(~language_id.held_out("doc_id", 5, 0)), label, kind.SAMPLE))
+    return kind.score(docs.withColumn("held_out", language_id.held_out("doc_id", 5, 0)), model, keep=["doc_id", "held_out"])
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, "toxic")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, "quality")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -152,7 +167,7 @@ FROM sized JOIN p{sharding.ROUNDS} p USING (arrival) JOIN shards USING ("into")"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_ngram_join, op4_token_counts, op5_decontamination, op6_chat_format, op9_embedding_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_ngram_join, op4_token_counts, op5_decontamination, op6_chat_format, op7_toxicity, op8_quality, op9_embedding_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
