@@ -274,3 +274,21 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 
 
 assert BITMAP_BITS % 32768 == 0  # whole buckets
+
+#: Most ids broadcast to filter texts where they lie; beyond it ids and texts are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; of rows that share id and text one."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    found = scratch.table(link(docs, k, percent, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), "component_id"))
+    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == F.col("gone"), "left_anti")
+    twice = scratch.table(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice")))
+    if twice.limit(1).count():
+        same = F.col(f"`{id_col}`").eqNullSafe(F.col("twice"))
+        repeated = out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(twice, same, "left_anti").unionByName(repeated)
+    return out
