@@ -175,56 +175,81 @@ def _hashed(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
     return nodes.mapInArrow(run, f"{fields}, codes array<long>")
 
 
-def _compare(x: np.ndarray, codes: np.ndarray, copies: np.ndarray, side: np.ndarray, apart: bool, bucket: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the members of a block (or, if ``apart``, between its two sides): to each its linked vectors and the
-    first member of its tree."""
+#: Runs of at most so many members are compared together, all pairs of all runs at once.
+SMALL = 24
+
+
+def _pairs(x: np.ndarray, start: np.ndarray, size: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same run whose cosine reaches the threshold; x has unit rows."""
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for m in np.unique(size):
+        runs = start[size == m]
+        if m > SMALL:
+            for s in runs:
+                a, b = np.nonzero(np.triu(x[s : s + m] @ x[s : s + m].T >= cosine, 1))
+                left.append(a + s)
+                right.append(b + s)
+            continue
+        i, j = np.triu_indices(m, 1)
+        for c in range(0, len(runs), max(1, 200_000 // len(i))):
+            some = runs[c : c + max(1, 200_000 // len(i))]
+            a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            left.append(a[near])
+            right.append(b[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _compare(x: np.ndarray, codes: np.ndarray, copies: np.ndarray, side: np.ndarray, apart: np.ndarray, bucket: np.ndarray, start: np.ndarray, size: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of members (where ``apart``, between a run's two sides): to each row its linked vectors, and the
+    row at the root of its tree."""
     added, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-    norm = np.linalg.norm(x, axis=1)
-    a, b = np.nonzero(np.triu((x @ x.T) / norm[:, None] / norm[None, :] >= cosine, 1))
-    if apart:
-        across = side[a] != side[b]
-        a, b = a[across], b[across]
-    if len(a):
-        # a pair counts in the least of the buckets that it shares
-        here = np.uint64(bucket)
-        tables = codes.shape[1] // (1 + PROBES)
-        first = np.ones(len(a), dtype=bool)
-        for t in range(tables):
-            own, other = codes[a, t * (1 + PROBES) : (t + 1) * (1 + PROBES)], codes[b, t * (1 + PROBES) : (t + 1) * (1 + PROBES)]
-            for u in range(1 + PROBES):
-                for v in range(1 + PROBES):
-                    first &= ~((own[:, u] == other[:, v]) & (own[:, u] < here))
-        a, b = a[first], b[first]
-        np.add.at(added, a, copies[b])
-        np.add.at(added, b, copies[a])
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            i, j = find(i), find(j)
-            if i != j:
-                root[max(i, j)] = min(i, j)
-        root = np.array([find(i) for i in range(len(x))])
-    return added, root
+    a, b = _pairs(x, start, size, cosine)
+    across = ~apart[a] | (side[a] != side[b])
+    a, b = a[across], b[across]
+    # a pair counts in the least of the buckets that it shares
+    first, width = np.ones(len(a), dtype=bool), 1 + PROBES
+    for t in range(codes.shape[1] // width):
+        own, other = codes[a, t * width : (t + 1) * width], codes[b, t * width : (t + 1) * width]
+        for u in range(width):
+            for v in range(width):
+                first &= ~((own[:, u] == other[:, v]) & (own[:, u] < bucket[a]))
+    a, b = a[first], b[first]
+    added += np.bincount(a, weights=copies[b], minlength=len(x)).astype(np.int64)
+    added += np.bincount(b, weights=copies[a], minlength=len(x)).astype(np.int64)
+    while True:  # least labels along links until they settle
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return added, root
 
 
 def _blocks(rows: DataFrame, cosine: float) -> DataFrame:
     """``node, added, peer`` from rows sorted by bucket and block."""
 
-    def finish(members: pa.Table) -> pa.RecordBatch:
-        x = np.stack([np.asarray(v.values, dtype=np.float64) for v in members.column("vec")])
-        x = x / np.abs(x).max(1)[:, None]
-        codes = np.stack([np.asarray(v.values).view(np.uint64) for v in members.column("codes")])
-        node = np.asarray(members.column("node"))
-        i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
-        bucket = np.asarray(members.column("bucket")).view(np.uint64)[0]
-        added, root = _compare(x, codes, np.asarray(members.column("copies")), np.asarray(members.column("side")), i != j, bucket, cosine)
-        some = added > 0
-        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(added[some]), pa.array(node[root[some]])], names=["node", "added", "peer"])
+    def finish(members: pa.Table, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        members = members.combine_chunks()
+        lists, codes = members.column("vec").chunk(0), members.column("codes").chunk(0)
+        dims = np.diff(np.asarray(lists.offsets))
+        flat, at = np.asarray(lists.flatten(), dtype=np.float64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        tags, where = np.asarray(codes.flatten()).view(np.uint64), np.asarray(codes.offsets) - codes.offsets[0].as_py()
+        get = lambda c: np.asarray(members.column(c))
+        node, copies, side, apart, bucket = get("node"), get("copies"), get("side"), get("i") != get("j"), get("bucket").view(np.uint64)
+        for d in np.unique(dims[start]):  # a bucket's vectors have one length
+            runs = dims[start] == d
+            begin, count = start[runs], size[runs]
+            pick = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            x = flat[at[pick][:, None] + np.arange(d)]
+            x = x / np.abs(x).max(1)[:, None]
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            c = tags[where[pick][:, None] + np.arange(where[pick[0] + 1] - where[pick[0]])]
+            own = np.concatenate([[0], np.cumsum(count)[:-1]])
+            added, root = _compare(x, c, copies[pick], side[pick], apart[pick], bucket[pick], own, count, cosine)
+            some = added > 0
+            yield pa.RecordBatch.from_arrays([pa.array(node[pick][some]), pa.array(added[some]), pa.array(node[pick][root[some]])], names=["node", "added", "peer"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -233,12 +258,12 @@ def _blocks(rows: DataFrame, cosine: float) -> DataFrame:
             table = table if left is None else pa.concat_tables([left, table])
             key = np.stack([np.asarray(table.column(c)) for c in ("bucket", "i", "j")], 1)
             edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if e - s > 1:
-                    yield finish(table.slice(s, e - s))
-            left = table.slice(edge[-1]).combine_chunks()
+            size = np.diff(edge)
+            if (size > 1).any():
+                yield from finish(table, edge[:-1][size > 1], size[size > 1])
+            left = table.slice(edge[-1])
         if left is not None and len(left) > 1:
-            yield finish(left)
+            yield from finish(left, np.array([0]), np.array([len(left)]))
 
     return rows.mapInArrow(run, "node long, added long, peer long")
 
@@ -246,7 +271,7 @@ def _blocks(rows: DataFrame, cosine: float) -> DataFrame:
 def link(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row: the id, ``n_links``, ``component_id`` (the smallest id reachable by links) and ``kept``."""
     spark = table.sparkSession
-    arrow_batches(spark, 2000)
+    arrow_batches(spark, 4000)
     scratch = Scratch(spark, "embedding")
     rows = only(table, id_col, vector_col, label_col).toDF("id", "vec", "label")
     rows = scratch.table(nodes_of(rows))
