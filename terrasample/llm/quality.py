@@ -138,7 +138,10 @@ def fit(samples: list[tuple[str, int]], seed: int = 0) -> Model:
     model = Model(np.zeros(FEATURES), np.ones(FEATURES), w)
     if not samples:
         return model
-    f, at = passages(pa.array([t for t, _ in samples], pa.large_string()))
+    # a few texts at a time: the working arrays are many times a text's size
+    parts = [passages(pa.array([t for t, _ in samples[a : a + 100]], pa.large_string())) for a in range(0, len(samples), 100)]
+    f = np.concatenate([p[0] for p in parts])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     y = np.array([label for _, label in samples], dtype=np.float64)
     model.mean, model.scale = f.mean(0), f.std(0) + 0.02
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
