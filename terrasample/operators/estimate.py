@@ -13,7 +13,7 @@ from terrasample.functions.checks import all_true, no_rows, requires
 from terrasample.operators.select import Sample
 from terrasample.operators.spatial import neighbours
 
-FIELDS = "total double, variance double, se double, cv double, variance_srs double, n long, N long, variance_method string, df long"
+FIELDS = "total double, variance double, se double, cv double, variance_srs double, n long, n_frame long, variance_method string, df long"
 
 
 def ht_total(df: DataFrame, y: Column, pi: str = "pi", sampled: str = "sampled") -> DataFrame:
@@ -34,7 +34,7 @@ def local_mean_variance(sample: Sample, z: Column, k: int = 3) -> DataFrame:
     coords = list(sample.design.coords)
     rows = sample.df.where("sampled").select(sample.stratum().alias("_s"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(coords)], (z / F.col("pi")).cast("double").alias("_e"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, e = pdf[[f"_c{i}" for i in range(len(coords))]].to_numpy(float), pdf["_e"].to_numpy(float)
         total = 0.0
         for i, near in enumerate(neighbours(x, k)):
@@ -55,10 +55,10 @@ def ht_variance(sample: Sample, z: Column, total: Column | None = None, neighbou
     rows = sample.df.withColumn("_z", z).withColumn("_s", sample.stratum())
     zs = F.when(F.col("sampled"), F.col("_z"))
     whole = rows.agg(
-        F.coalesce(F.sum(zs / F.col("pi")), F.lit(0.0)).alias("ht"), F.count(F.when(F.col("sampled"), 1)).alias("n"), F.count(F.lit(1)).alias("N"),
+        F.coalesce(F.sum(zs / F.col("pi")), F.lit(0.0)).alias("ht"), F.count(F.when(F.col("sampled"), 1)).alias("n"), F.count(F.lit(1)).alias("n_frame"),
         F.var_samp(zs).alias("s2"), *([total.alias("given")] if total is not None else []),
     )
-    whole = whole.withColumn("variance_srs", srs_variance(F.col("n"), F.col("N"), F.col("s2")))
+    whole = whole.withColumn("variance_srs", srs_variance(F.col("n"), F.col("n_frame"), F.col("s2")))
     if d.replicates > 1:
         each = rows.select("_z", "pi_replicate", F.posexplode("in_replicate").alias("k", "taken"))
         each = each.groupBy("k").agg(F.coalesce(F.sum(F.when(F.col("taken"), F.col("_z") / F.col("pi_replicate"))), F.lit(0.0)).alias("estimate"))
@@ -68,8 +68,8 @@ def ht_variance(sample: Sample, z: Column, total: Column | None = None, neighbou
         least = rows.groupBy("_s").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"))
         no_rows(least.where("n < 2"), "strata with fewer than two sampled units have no variance", "_s")
         if d.method == "srs":
-            by = rows.groupBy("_s").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"), F.count(F.lit(1)).alias("N"), F.var_samp(zs).alias("s2"))
-            parts = by.agg(F.sum(srs_variance(F.col("n"), F.col("N"), F.col("s2"))).alias("variance"))
+            by = rows.groupBy("_s").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"), F.count(F.lit(1)).alias("n_frame"), F.var_samp(zs).alias("s2"))
+            parts = by.agg(F.sum(srs_variance(F.col("n"), F.col("n_frame"), F.col("s2"))).alias("variance"))
             label = "srs"
         else:
             parts = local_mean_variance(Sample(rows, d), F.col("_z"), neighbours).agg(F.sum("variance").alias("variance"))
@@ -80,7 +80,7 @@ def ht_variance(sample: Sample, z: Column, total: Column | None = None, neighbou
     chosen = F.col("given") if total is not None else F.coalesce("own", "ht")
     out = out.withColumn("total", chosen).withColumn("se", F.sqrt("variance")).withColumn("df", df.cast("long"))
     out = out.withColumn("cv", F.when(F.col("total") != 0, F.col("se") / F.abs("total")))
-    return out.select("total", "variance", "se", "cv", "variance_srs", "n", "N", "variance_method", "df")
+    return out.select("total", "variance", "se", "cv", "variance_srs", "n", "n_frame", "variance_method", "df")
 
 
 def design_variance(sample: Sample, y: str, neighbours: int = 3) -> DataFrame:
@@ -146,10 +146,54 @@ def segment_estimator(tracts: DataFrame, sample: Sample, kind: str = "closed", n
     return ht_variance(Sample(rows, sample.design), F.col("_v"), neighbours=neighbours).withColumn("type", F.lit(kind))
 
 
+def ht_covariances(sample: Sample, zs: list[Column], neighbours: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of several variables and their covariance matrix, matched to the design as in ``ht_variance``, in one job."""
+    d, m = sample.design, len(zs)
+    names = [f"_z{i}" for i in range(m)]
+    rows = sample.df.withColumn("_s", sample.stratum()).withColumns({k: F.when(F.col("sampled"), z.cast("double")).otherwise(F.lit(0.0)) for k, z in zip(names, zs, strict=True)})
+    if d.replicates > 1:
+        each = rows.select(*names, "pi_replicate", F.posexplode("in_replicate").alias("k", "taken"))
+        sums = each.groupBy("k").agg(*[F.sum(F.when(F.col("taken"), F.col(k) / F.col("pi_replicate")).otherwise(0.0)).alias(k) for k in names]).collect()
+        e = np.array([[r[k] for k in names] for r in sums])
+        return e.mean(0), np.atleast_2d(np.cov(e.T)) / d.replicates
+    if d.method == "srs":
+        own = {k: F.when(F.col("sampled"), F.col(k)) for k in names}
+        pairs = [(i, j) for i in range(m) for j in range(i, m)]
+        by = rows.groupBy("_s").agg(
+            F.count(F.when(F.col("sampled"), 1)).alias("n"), F.count(F.lit(1)).alias("n_frame"), *[F.sum(own[k] / F.col("pi")).alias(k) for k in names],
+            *[F.covar_samp(own[names[i]], own[names[j]]).alias(f"_c{i}_{j}") for i, j in pairs],
+        ).collect()
+        total, cov = np.zeros(m), np.zeros((m, m))
+        for r in by:
+            if r["n"] < 2:
+                raise ValueError(f"strata with fewer than two sampled units have no variance: {r['_s']}")
+            total += np.array([r[k] or 0.0 for k in names])
+            for i, j in pairs:
+                v = r["n_frame"] ** 2 * (1 - r["n"] / r["n_frame"]) / r["n"] * r[f"_c{i}_{j}"]
+                cov[i, j] += v
+                cov[j, i] += v * (i != j)
+        return total, cov
+    x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(d.coords)]
+    k = neighbours
+    rows = rows.where("sampled").select("_s", *x, *[(F.col(c) / F.col("pi")).alias(c) for c in names])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from terrasample.operators.spatial import neighbours as nearest
+
+        e, cov = pdf[names].to_numpy(float), np.zeros((m, m))
+        for i, near in enumerate(nearest(pdf[[c for c in pdf if c.startswith("_x")]].to_numpy(float), k)):
+            group = np.append(near, i)
+            off = e[i] - e[group].mean(0)
+            cov += len(group) / max(1, len(group) - 1) * np.outer(off, off)
+        return pd.DataFrame({"total": [e.sum(0).tolist()], "cov": [cov.ravel().tolist()]})
+
+    parts = rows.groupBy("_s").applyInPandas(run, "total array<double>, cov array<double>").collect()
+    return sum(np.array(r["total"]) for r in parts), sum(np.array(r["cov"]).reshape(m, m) for r in parts)
+
+
 def cov_ht(sample: Sample, z1: Column, z2: Column) -> float:
-    """Covariance of two totals from the variances of them and their sum."""
-    v = [ht_variance(sample, z).first()["variance"] for z in (z1 + z2, z1, z2)]
-    return (v[0] - v[1] - v[2]) / 2
+    """Covariance of two totals."""
+    return float(ht_covariances(sample, [z1, z2])[1][0, 1])
 
 
 def dual_frame_estimator(sample_a: Sample, sample_b: Sample, y: str, domain: str = "domain", theta: float | str | None = None, estimator: str = "hartley") -> DataFrame:
@@ -163,13 +207,13 @@ def dual_frame_estimator(sample_a: Sample, sample_b: Sample, y: str, domain: str
     def part(s: Sample, name: str, ones: bool = False) -> Column:
         return F.when(F.col(domain) == name, F.lit(1.0) if ones else F.col(y)).otherwise(0.0)
 
-    def estimate(s: Sample, z: Column) -> tuple[float, float]:
-        r = ht_variance(s, z).first()
-        return r["total"], r["variance"]
+    def three(s: Sample, own: str) -> tuple[np.ndarray, np.ndarray]:
+        return ht_covariances(s, [part(s, own), part(s, "ab"), part(s, "ab", True)])
 
-    (y_a, v_a), (y_ab_a, v_ab_a) = estimate(sample_a, part(sample_a, "a")), estimate(sample_a, part(sample_a, "ab"))
-    (y_b, v_b), (y_ab_b, v_ab_b) = estimate(sample_b, part(sample_b, "b")), estimate(sample_b, part(sample_b, "ab"))
-    c_a, c_b = cov_ht(sample_a, part(sample_a, "a"), part(sample_a, "ab")), cov_ht(sample_b, part(sample_b, "b"), part(sample_b, "ab"))
+    (y_a, y_ab_a, m_a), va = three(sample_a, "a")
+    (y_b, y_ab_b, m_b), vb = three(sample_b, "b")
+    v_a, v_ab_a, c_a = va[0, 0], va[1, 1], va[0, 1]
+    v_b, v_ab_b, c_b = vb[0, 0], vb[1, 1], vb[0, 1]
     n_a, n_b = sample_a.design.total, sample_b.design.total
     spark = sample_a.df.sparkSession
     if estimator == "hartley":
@@ -187,15 +231,9 @@ def dual_frame_estimator(sample_a: Sample, sample_b: Sample, y: str, domain: str
         variance = v_a + t * t * v_ab_a + 2 * t * c_a + v_b + (1 - t) ** 2 * v_ab_b + 2 * (1 - t) * c_b
         extra, fields = [t, fixed], "theta double, theta_fixed boolean"
     else:
-        one_a, one_b = part(sample_a, "ab", True), part(sample_b, "ab", True)
-        (m_a, s_a), (m_b, s_b) = estimate(sample_a, one_a), estimate(sample_b, one_b)
-        z_a, z_b = part(sample_a, "ab"), part(sample_b, "ab")
-        s11, s22 = v_ab_a + v_ab_b, s_a + s_b
-        s12 = cov_ht(sample_a, z_a, one_a) + cov_ht(sample_b, z_b, one_b)
-        base_a, base_b = part(sample_a, "a"), part(sample_b, "b") + z_b
-        _, v_base_b = estimate(sample_b, base_b)
-        r1 = cov_ht(sample_a, base_a, z_a) - cov_ht(sample_b, base_b, z_b)
-        r2 = cov_ht(sample_a, base_a, one_a) - cov_ht(sample_b, base_b, one_b)
+        s11, s22, s12 = v_ab_a + v_ab_b, va[2, 2] + vb[2, 2], va[1, 2] + vb[1, 2]
+        v_base_b = v_b + v_ab_b + 2 * c_b
+        r1, r2 = c_a - (c_b + v_ab_b), va[0, 2] - (vb[0, 2] + vb[1, 2])
         det = s11 * s22 - s12 * s12
         if det > 1e-9 * max(s11 * s22, 1e-300):
             b1, b2 = -(s22 * r1 - s12 * r2) / det, -(s11 * r2 - s12 * r1) / det
@@ -207,7 +245,7 @@ def dual_frame_estimator(sample_a: Sample, sample_b: Sample, y: str, domain: str
         extra, fields = [b1, b2], "beta_1 double, beta_2 double"
     variance = max(0.0, variance)
     se = variance**0.5
-    row = [float(total), float(variance), float(se), se / abs(total) if total else None, estimator, *extra, y_a, y_ab_a, y_ab_b, y_b, n_a, n_b]
+    row = [float(total), float(variance), float(se), float(se / abs(total)) if total else None, estimator, *[v if isinstance(v, bool) else float(v) for v in extra], *map(float, (y_a, y_ab_a, y_ab_b, y_b)), n_a, n_b]
     return spark.createDataFrame([row], f"total double, variance double, se double, cv double, estimator string, {fields}, y_a double, y_ab_a double, y_ab_b double, y_b double, n_a long, n_b long")
 
 

@@ -164,11 +164,11 @@ def select_units(
     distinct(frame, "unit", "units that are not distinct")
 
     z = F.col(size).cast("double") if size else F.lit(1.0)
-    rows = frame.groupBy(stratum.alias("s")).agg(F.count(F.lit(1)).alias("N"), F.sum(z).alias("t"), F.count(F.when(z > 0, 1)).alias("pos")).collect()
+    rows = frame.groupBy(stratum.alias("s")).agg(F.count(F.lit(1)).alias("units"), F.sum(z).alias("t"), F.count(F.when(z > 0, 1)).alias("pos")).collect()
     found = {r["s"]: r for r in rows}
     levels = [str(k) for k in levels] if levels else sorted(found)
     levels = [k for k in levels if k in found]
-    sizes = {k: found[k]["N"] for k in levels}
+    sizes = {k: found[k]["units"] for k in levels}
     n_h = allocate_n(n, {k: found[k]["t"] for k in levels}, sizes, levels)
     for k in levels:
         if n_h[k] > sizes[k]:
@@ -186,13 +186,13 @@ def select_units(
     seeds = by_stratum({k: seed * 100 + i for i, k in enumerate(levels, 1)}, F.col("_s"))
 
     if method == "srs":
-        rows = rows.withColumn("_u", uniform(seeds, F.col("unit"))).withColumn("_n", by_stratum(n_h, F.col("_s"))).withColumn("_N", by_stratum(sizes, F.col("_s")))
-        rows = lowest(rows, ["_s"], "_u", "unit", "_n", "_N").withColumnRenamed("chosen", "sampled").withColumn("pi", F.col("_n") / F.col("_N"))
+        rows = rows.withColumn("_u", uniform(seeds, F.col("unit"))).withColumn("_n", by_stratum(n_h, F.col("_s"))).withColumn("_all", by_stratum(sizes, F.col("_s")))
+        rows = lowest(rows, ["_s"], "_u", "unit", "_n", "_all").withColumnRenamed("chosen", "sampled").withColumn("pi", F.col("_n") / F.col("_all"))
     elif method == "systematic":
         rows = _systematic(rows, coords, n_h, seed, replicates, levels)
     else:
         rows = _sequential(rows, coords, method, balance or [], seed, levels)
-    return Sample(rows.drop("_s", "_z", "_p", "_u", "_n", "_N"), design)
+    return Sample(rows.drop("_s", "_z", "_p", "_u", "_n", "_all"), design)
 
 
 def _systematic(rows: DataFrame, coords: list[str], n_h: dict[str, int], seed: int, replicates: int, levels: list[str]) -> DataFrame:
@@ -223,7 +223,7 @@ def _sequential(rows: DataFrame, coords: list[str], method: str, balance: list[s
     numbers = {k: i for i, k in enumerate(levels, 1)}
     kind = dict(rows.dtypes)["unit"]
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit", kind="stable")
         s = task_seed(seed * 100 + numbers[key[0]])
         p = pdf["_p"].to_numpy(float)
