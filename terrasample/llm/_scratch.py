@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ class Scratch:
         for table in tables:
             remove(self.spark, table._scratch_path)
 
+    def reclaim(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written: its cleaner follows the driver's
+        garbage collector, which on an idle driver may not run for half an hour."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm

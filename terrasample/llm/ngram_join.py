@@ -12,10 +12,10 @@ Jaccard similarity is ``percent`` / 100 or more. Any partner of a set of n token
   power-of-two size class, a set near the upper edge is indexed for the next class too), which keeps the combinations of
   a set in proportion to its size.
 
-Frequent are tokens that more than ``FREQUENT`` different sets have in their plain prefix (the t + 1 first by hash), or
-that more than that many have at all of the sets whose plain prefix has such a token. The classes are kept in a
-bitmap of fixed size: a cell that holds a frequent token by chance makes others count as frequent, which costs
-combinations but no links.
+Frequent are tokens that more than ``FREQUENT`` different sets have in their plain prefix (the t + 1 first by hash), and
+tokens that more than that many texts come to when they put rare ones in their place (texts of which ``MOSTLY`` of the
+plain prefix is frequent, copies of something, count all their tokens). The classes are kept in a bitmap of fixed
+size: a cell that holds a frequent token by chance makes others count as frequent, which costs combinations but no links.
 
 Equal sets are one node. Within the sets under a signature not all pairs are compared: first all with one pivot, the set
 with the fewest rare tokens; linked sets then are one component, and only pairs from different components that the
@@ -43,6 +43,8 @@ from terrasample.llm._text import mix64, shingle_hashes
 FREQUENT = 16
 #: Tokens of a size class per subclass.
 PER_SUBCLASS = 8
+#: Part of the plain prefix.
+MOSTLY = 0.25
 
 
 def slack(n: int, percent: int) -> int:
@@ -122,28 +124,43 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n long, node long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray, by_node: bool) -> DataFrame:
-    """``node, tokens`` of the documents whose node (``by_node``), or else a token of whose plain prefix, is in the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def whole_sets(docs: DataFrame, k: int, ids: np.ndarray) -> DataFrame:
+    """``node, tokens`` of the documents whose id's hash is in the bitmap ``ids``. A node may come twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, tokens = [], []
+            batch = batch.filter(pa.array(bitmap_has(shared.value, np.asarray(batch.column(1)))))
+            tokens = [s for s in _sets(batch.column(0), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([_int64(np.array([node_of(s) for s in tokens], dtype=np.uint64)), _lists(tokens)], names=["node", "tokens"])
+
+    return docs.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "node long, tokens array<long>")
+
+
+def _instead(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """``token`` rows: what sets with frequent tokens in their plain prefix would be indexed under besides it."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, dtype=np.uint64)]
             for s in _sets(batch.column(1), k):
-                if not len(s):
+                need = slack(len(s), percent) + 1
+                flags = bitmap_has(shared.value, s[:need]) if len(s) else np.zeros(0, dtype=bool)
+                if not flags.any():
                     continue
-                node = node_of(s)
-                if bitmap_has(shared.value, np.array([node]) if by_node else s[: slack(len(s), percent) + 1]).any():
-                    nodes.append(node)
-                    tokens.append(s)
-            yield pa.RecordBatch.from_arrays([_int64(np.array(nodes, dtype=np.uint64)), _lists(tokens)], names=["node", "tokens"])
+                rest = s[need:]
+                if flags.mean() < MOSTLY:
+                    rest = rest[: int(np.searchsorted(np.cumsum(~bitmap_has(shared.value, rest)), flags.sum())) + 1]
+                out.append(rest)
+            yield pa.RecordBatch.from_arrays([_int64(np.concatenate(out))], names=["token"])
 
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+    return docs.mapInArrow(run, "token long")
 
 
-def _singles(sets: DataFrame, frequent: np.ndarray, shared_tokens: np.ndarray) -> DataFrame:
+def _singles(sets: DataFrame, frequent: np.ndarray, common: np.ndarray) -> DataFrame:
     """Signature rows of the sets whose plain prefix has no frequent token: those tokens that another set may have."""
-    both = sets.sparkSession.sparkContext.broadcast((frequent, shared_tokens))
+    both = sets.sparkSession.sparkContext.broadcast((frequent, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,27 +179,53 @@ def _singles(sets: DataFrame, frequent: np.ndarray, shared_tokens: np.ndarray) -
     return sets.select("node", "n", "prefix").mapInArrow(run, "sig long, node long, n long, rare long, pair boolean")
 
 
-def _combined(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Signature rows of the sets with frequent tokens in their plain prefix."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+def _combined(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """The sets with frequent tokens in their plain prefix: ``node, n, rare``, the signatures ``one`` and ``two``, and how many
+    of ``one`` are in the plain prefix. Documents whose id's hash is not in the bitmap ``ids``, copies, are left out; a
+    copy that is in it by chance repeats its node's rows, which changes nothing."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat, at = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets)
-            at = at - at[0]
-            for i, node in enumerate(batch.column(0).to_pylist()):
-                tokens = np.sort(flat[at[i] : at[i + 1]])
-                flags = bitmap_has(shared.value, tokens)
-                one, two = signatures(tokens, flags, percent)
-                sig, m = np.concatenate([one, two]), len(one) + len(two)
-                rare = int((~flags).sum())
-                pair = np.arange(m) >= len(one)
+            frequent, ids = shared.value
+            batch = batch.filter(pa.array(bitmap_has(ids, np.asarray(batch.column(1)))))
+            nodes, numbers, ones, twos = [], [], [], []
+            for s in _sets(batch.column(0), k):
+                plain = s[: slack(len(s), percent) + 1]
+                if not len(s) or not bitmap_has(frequent, plain).any():
+                    continue
+                flags = bitmap_has(frequent, s)
+                one, two = signatures(s, flags, percent)
+                nodes.append(node_of(s))
+                numbers.append((len(s), int((~flags).sum()), int((one <= plain[-1]).sum())))
+                ones.append(one)
+                twos.append(two)
+            numbers = np.array(numbers, dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [_int64(np.array(nodes, dtype=np.uint64)), *[pa.array(numbers[:, i]) for i in range(3)], _lists(ones), _lists(twos)], names=["node", "n", "rare", "plain", "one", "two"]
+            )
+
+    return docs.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "node long, n long, rare long, plain long, one array<long>, two array<long>")
+
+
+def _signed(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """Signature rows of ``_combined`` sets, without the single tokens that no other set has."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, rare = (np.asarray(batch.column(i)) for i in range(3))
+            for at, pair in ((3, False), (4, True)):
+                flat = np.asarray(batch.column(at).flatten()).view(np.uint64)
+                row = np.repeat(np.arange(len(node)), np.diff(np.asarray(batch.column(at).offsets)))
+                if not pair:
+                    take = bitmap_has(shared.value, flat)
+                    flat, row = flat[take], row[take]
                 yield pa.RecordBatch.from_arrays(
-                    [_int64(sig), pa.array(np.full(m, node, dtype=np.int64)), pa.array(np.full(m, len(tokens))), pa.array(np.full(m, rare)), pa.array(pair)], names=["sig", "node", "n", "rare", "pair"]
+                    [_int64(flat), pa.array(node[row]), pa.array(n[row]), pa.array(rare[row]), pa.array(np.full(len(row), pair))], names=["sig", "node", "n", "rare", "pair"]
                 )
 
-    return sets.select("node", "tokens").mapInArrow(run, "sig long, node long, n long, rare long, pair boolean")
+    return sets.select("node", "n", "rare", "one", "two").mapInArrow(run, "sig long, node long, n long, rare long, pair boolean")
 
 
 def _enough(n: Column, m: Column, percent: int) -> Column:
@@ -190,17 +233,32 @@ def _enough(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by exact intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their plain prefixes do not rule out. Of the prefix that ends first every token is known to be in the
+    other set or not, so the sets share at most those found there and all that is left of that set."""
+    part = lambda name: sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "prefix")])
+    both = pairs.join(part("a"), "a").join(part("b"), "b")
+    last = lambda name: F.element_at(f"prefix_{name}", -1).bitwiseXOR(F.lit(-(2**63)))  # noqa: E731  in unsigned order
+    left = F.when(last("a") <= last("b"), F.col("n_a") - F.size("prefix_a")).otherwise(F.col("n_b") - F.size("prefix_b"))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + left
+    return both.where(most >= _enough(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs that link, by exact intersection; only the texts of pairs that are still possible are read for it."""
+    pairs = scratch.table(_possible(pairs, sets, percent))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = bitmap_of(sets.join(ends, "node", "left_semi").select(F.xxhash64("least").alias("h")), "h")
+    tokens = scratch.table(whole_sets(docs, k, ids))
+    scratch.reclaim()
+    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
-
-
-def _one_each(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    links = scratch.table(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b").distinct())
+    scratch.drop(tokens)
+    scratch.reclaim()
+    return links
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,6 +271,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     rows = scratch.table(prefixes(docs, k, percent))
     sets = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sets = scratch.table(sets)
+    scratch.reclaim()
 
     # token classes
     counts = scratch.table(sets.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1"))
@@ -220,14 +279,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     frequent = bitmap_of(counts.where(F.col("count") > FREQUENT), "token")
     signed = _singles(sets, frequent, common)
     if frequent.any():
-        hot = whole_sets(docs, k, percent, frequent, by_node=False)
-        hot = _one_each(hot).select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
-        frequent = frequent | bitmap_of(hot, "token")
-        hot_sets = scratch.table(_one_each(whole_sets(docs, k, percent, frequent, by_node=False)))
-        hot_signed = scratch.table(_combined(hot_sets, frequent, percent))
-        common = common | bitmap_of(hot_signed.where("not pair").select("sig").distinct(), "sig")
-        signed = _singles(sets, frequent, common).unionByName(hot_signed)
-    signed = scratch.table(signed)
+        more = _instead(docs, k, percent, frequent).groupBy("token").count().where(F.col("count") > FREQUENT)
+        frequent = frequent | bitmap_of(more, "token")
+        hot = scratch.table(_combined(docs, k, percent, frequent, bitmap_of(sets.select(F.xxhash64("least").alias("h")), "h")))
+        beyond = F.slice("one", F.col("plain").cast("int") + 1, F.size("one"))
+        common = common | bitmap_of(hot.select(F.explode(beyond).alias("token")), "token")
+        signed = scratch.table(_singles(sets, frequent, common).unionByName(_signed(hot, common)))
+        scratch.drop(hot)
+    else:
+        signed = scratch.table(signed)
+    scratch.drop(counts)
+    scratch.reclaim()
 
     # all sets under a signature against its pivot
     pivots = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.expr("min_by(node, rare * 2147483648 + n)").alias("pivot"), F.min("n").alias("least_n"))
@@ -238,9 +300,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     pivot_n = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"))
     first = with_n.join(pivot_n, "pivot").where(size_ok & (F.col("n2") * 100 >= F.col("n") * percent))
     first = scratch.table(first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    nodes = shared.select("node").distinct()
-    tokens = scratch.table(_one_each(whole_sets(docs, k, percent, bitmap_of(nodes, "node"), by_node=True)))
-    links = scratch.table(_verified(first, tokens, percent))
+    scratch.drop(signed)
+    scratch.reclaim()
+    links = _verified(first, docs, sets, k, percent, scratch)
     found = components(links, scratch)
 
     # the rest: pairs from different components that can still reach the similarity
@@ -250,13 +312,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     reach = _enough(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)), percent)
     rest = placed.join(mixed, "sig").where(~F.col("pair") | (F.col("n") - F.col("rare") >= reach)).select("sig", "node", "n", "rare", "pair", "component")
     rest = scratch.table(rest)
+    scratch.drop(placed, shared)
     other = rest.select("sig", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "rare", "component")])
     must = _enough(F.col("n"), F.col("n2"), percent)
     chance = ~F.col("pair") | ((F.col("n") - F.col("rare") >= must) & (F.col("n2") - F.col("rare2") >= must))
     second = rest.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & size_ok & (F.col("n2") * 100 >= F.col("n") * percent) & chance)
     second = second.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = scratch.table(_verified(scratch.table(second), tokens, percent))
-    if more.limit(1).count():
+    second = scratch.table(second)
+    more = None
+    if second.limit(1).count():
+        more = _verified(second, docs, sets, k, percent, scratch)
+    if more is not None and more.limit(1).count():
         old = found.select(F.col("node").alias("v"), F.col("component").alias("c"))
         near = more.join(old, F.col("a") == F.col("v"), "left").select(F.coalesce("c", "a").alias("a"), "b")
         near = near.join(old, F.col("b") == F.col("v"), "left").select("a", F.coalesce("c", "b").alias("b"))
@@ -269,6 +335,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     labels = found.join(sets.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("of_component"))
     labels = found.join(labels, "component").select(F.col("node").alias("v"), "of_component")
     ids = sets.select("node", "least").join(labels, F.col("node") == F.col("v"), "left").select("node", F.coalesce("of_component", "least").alias("component_id"))
+    scratch.reclaim()
     out = rows.select("id", "n", "node").join(ids, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
