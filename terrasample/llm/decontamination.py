@@ -4,7 +4,7 @@ The containment of an item in a document is the share of the item's distinct wor
 MinHash of a whole long document says nothing about a short item in it, so the search is partitioned by size: an item of
 n shingles belongs to class c with 2^c <= n < 2^(c+1), and for each class documents are read in windows of 2 * 2^(c+1)
 shingles that advance by 2^(c+1), so that an item lies whole in some window not much longer than itself. Windows and
-items are signed by one-permutation MinHash with four bins per shingle of the class; an item and a window that agree in
+items are signed by one-permutation MinHash with at least four bins per shingle of the class; an item and a window that agree in
 the minimum of any bin make a candidate, and the candidate is verified by exact shingle containment in the document.
 Windows that hold no shingle of any item cannot agree in any bin and are not signed.
 
@@ -31,6 +31,8 @@ from terrasample.llm._text import _ranges, shingles, text_bytes, words
 
 #: Most bytes of items broadcast at a time.
 BLOCK_BYTES = 16 << 20
+#: Bins of a signature at least: an item of one shingle has one chance to agree, and must be its bin's minimum.
+LEAST_BINS = 4096
 #: Most signature cells held at a time.
 CELLS = 1 << 21
 _EMPTY = np.uint64(2**64 - 1)
@@ -63,7 +65,7 @@ class Items:
 
     @staticmethod
     def bins(c: int) -> int:
-        return 4 << (c + 1)
+        return max(LEAST_BINS, 4 << (c + 1))
 
     def candidates(self, h: np.ndarray, at: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs that agree in a bin of some window."""
