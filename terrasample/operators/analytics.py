@@ -161,3 +161,44 @@ def average_cost_loop(start: float, allocate, average, rounds: int = 20, toleran
             return found, new, i
         cost = new
     return found, cost, rounds
+
+
+def wide(df: DataFrame, keys: Sequence[str], column: str, value: str, levels: Sequence[str]) -> DataFrame:
+    """A column for each of the known ``levels``; naming them spares a pass over the data."""
+    return df.groupBy(*keys).pivot(column, list(levels)).agg(F.first(value))
+
+
+def long(df: DataFrame, keys: Sequence[str], values: Sequence[str], column: str = "name", value: str = "value") -> DataFrame:
+    return df.unpivot(list(keys), list(values), column, value)
+
+
+def scenario_grid(spark, **options: Sequence) -> DataFrame:
+    """All combinations of a few options, a row each."""
+    from itertools import product
+
+    rows = [tuple(c) for c in product(*options.values())]
+    return spark.createDataFrame(rows, list(options))
+
+
+def efficiency_summary(df: DataFrame, keys: Sequence[str], column: str = "efficiency") -> DataFrame:
+    """Best, mean and worst efficiency and the share of scenarios in which it is below 1."""
+    c = F.col(column)
+    return df.groupBy(*keys).agg(F.min(c).alias("best"), F.avg(c).alias("mean"), F.max(c).alias("worst"), F.avg((c < 1).cast("double")).alias("wins"), F.count(F.lit(1)).alias("scenarios"))
+
+
+def dual_frame_grid(spark, domains: dict, cost_a: float, cost_b: float, budget: float, sizes_a: int, thetas: int = 101, deff_a: float = 1.0, deff_b: float = 1.0) -> DataFrame:
+    """Every (n_a, n_b, theta) that uses up a budget, with its variance: the exhaustive search that an allocation is held against."""
+    a, b, ab = (domains[k] for k in ("a", "b", "ab"))
+    big_a, big_b = float(a["size"] + ab["size"]), float(b["size"] + ab["size"])
+    n = spark.range(2, sizes_a + 1).select(F.col("id").cast("double").alias("n_a"))
+    t = spark.range(thetas).select((F.col("id") / F.lit(float(thetas - 1))).alias("theta"))
+    rows = n.crossJoin(F.broadcast(t)).withColumn("n_b", F.least(F.floor((F.lit(float(budget)) - cost_a * F.col("n_a")) / cost_b).cast("double"), F.lit(big_b))).where("n_b >= 2")
+
+    def spread(own: dict, w, big: float):
+        mean = (own["size"] * own["mean"] + ab["size"] * w * ab["mean"]) / big
+        within = (own["size"] - 1) * float(own["sd"]) ** 2 + (ab["size"] - 1) * w * w * float(ab["sd"]) ** 2
+        return (within + own["size"] * (own["mean"] - mean) * (own["mean"] - mean) + ab["size"] * (w * ab["mean"] - mean) * (w * ab["mean"] - mean)) / (big - 1)
+
+    v_a = deff_a * big_a * big_a * spread(a, F.col("theta"), big_a) / F.col("n_a") * (1 - F.col("n_a") / big_a)
+    v_b = deff_b * big_b * big_b * spread(b, 1 - F.col("theta"), big_b) / F.col("n_b") * (1 - F.col("n_b") / big_b)
+    return rows.select("n_a", "n_b", "theta", (cost_a * F.col("n_a") + cost_b * F.col("n_b")).alias("cost"), (v_a + v_b).alias("variance"))

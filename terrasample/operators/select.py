@@ -181,8 +181,11 @@ def select_units(
 
     flat = [k for k in levels if not size or found[k]["t"] <= 0]
     rows = frame.withColumn("_s", stratum).withColumn("_z", F.when(F.col("_s").isin(flat), F.lit(1.0)).otherwise(z))
-    threshold = by_stratum(pps_thresholds(rows, F.col("_s"), "_z", n_h), F.col("_s"))
-    rows = rows.withColumn("_p", F.when(F.col("_z") >= threshold, F.lit(1.0)).otherwise(F.col("_z") / threshold))
+    if size and len(flat) < len(levels):
+        threshold = by_stratum(pps_thresholds(rows, F.col("_s"), "_z", n_h), F.col("_s"))
+        rows = rows.withColumn("_p", F.when(F.col("_z") >= threshold, F.lit(1.0)).otherwise(F.col("_z") / threshold))
+    else:
+        rows = rows.withColumn("_p", by_stratum({k: n_h[k] / sizes[k] for k in levels}, F.col("_s")))
     seeds = by_stratum({k: seed * 100 + i for i, k in enumerate(levels, 1)}, F.col("_s"))
 
     if method == "srs":

@@ -584,3 +584,83 @@ def zonal_shares(spark, sf):
 def stratify_skewness(spark, sf):
     c = analytics.stratify(cells(spark, sf), "v", [0, 5000], "band")
     return c.groupBy("band").agg(F.count(F.lit(1)).alias("units"), r(analytics.skewness("v"), 5).alias("skewness"))
+
+
+_FLAGS = ["A", "N", "R"]
+
+
+@query("""SELECT l_linestatus AS scenario, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 6) AS "A", round(avg(l_quantity) FILTER (WHERE l_returnflag = 'N'), 6) AS "N",
+  round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R'), 6) AS "R" FROM lineitem GROUP BY l_linestatus""")
+def design_means_wide(spark, sf):
+    means = _runs(spark, sf).groupBy("scenario", "design").agg(F.avg("estimate").alias("mean"))
+    return rounded(analytics.wide(means, ["scenario"], "design", "mean", _FLAGS), **dict.fromkeys(_FLAGS, 6))
+
+
+@query("""WITH v AS (SELECT l_linestatus AS scenario, l_returnflag AS design, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance FROM lineitem GROUP BY ALL)
+SELECT scenario, design, 'mean' AS name, mean AS value FROM v UNION ALL SELECT scenario, design, 'variance', variance FROM v""")
+def design_measures_long(spark, sf):
+    by = _runs(spark, sf).groupBy("scenario", "design").agg(r(F.avg("estimate"), 6).alias("mean"), r(F.var_samp("estimate"), 6).alias("variance"))
+    return analytics.long(by, ["scenario", "design"], ["mean", "variance"])
+
+
+@query("""WITH e AS (SELECT p_brand AS design, CASE WHEN p_size <= 40 THEN 'n <= 40' WHEN p_size <= 80 THEN '40 < n <= 80' ELSE 'n > 80' END AS band, p_retailprice / 1400 AS efficiency FROM part)
+SELECT design, band, round(min(efficiency), 8) AS best, round(avg(efficiency), 8) AS mean, round(max(efficiency), 8) AS worst, round(avg(CASE WHEN efficiency < 1 THEN 1.0::DOUBLE ELSE 0 END), 8) AS wins, count(*) AS scenarios FROM e GROUP BY ALL""")
+def efficiency_summary(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_brand").alias("design"), analytics.size_band(F.col("p_size")).alias("band"), (F.col("p_retailprice") / 1400).alias("efficiency"))
+    return rounded(analytics.efficiency_summary(p, ["design", "band"]), best=8, mean=8, worst=8, wins=8)
+
+
+_D3 = {"a": {"size": 5000, "mean": 12, "sd": 10}, "ab": {"size": 800, "mean": 90, "sd": 60}, "b": {"size": 150, "mean": 110, "sd": 70}}
+
+
+@query("""WITH g AS (SELECT a::DOUBLE AS n_a, t / 100.0::DOUBLE AS theta, least(floor((150000 - 220.0::DOUBLE * a) / 35), 950)::DOUBLE AS n_b FROM range(2, 601) x(a), range(0, 101) y(t)),
+m AS (SELECT *, (5000 * 12 + 800 * theta * 90) / 5800 AS ma, (150 * 110 + 800 * (1 - theta) * 90) / 950 AS mb FROM g WHERE n_b >= 2),
+s AS (SELECT *, (4999 * 100 + 799 * theta * theta * 3600 + 5000 * (12 - ma) * (12 - ma) + 800 * (theta * 90 - ma) * (theta * 90 - ma)) / 5799 AS sa,
+  (149 * 4900 + 799 * (1 - theta) * (1 - theta) * 3600 + 150 * (110 - mb) * (110 - mb) + 800 * ((1 - theta) * 90 - mb) * ((1 - theta) * 90 - mb)) / 949 AS sb FROM m),
+v AS (SELECT n_a, n_b, theta, 220 * n_a + 35 * n_b AS cost, 1.6 * 5800 * 5800 * sa / n_a * (1 - n_a / 5800) + 950 * 950 * sb / n_b * (1 - n_b / 950) AS variance FROM s)
+SELECT n_a, n_b, theta, cost, round(variance, 0) AS variance FROM v ORDER BY v.variance LIMIT 1""")
+def dual_frame_grid(spark, sf):
+    grid = analytics.dual_frame_grid(spark, _D3, 220.0, 35.0, 150000, 600, deff_a=1.6)
+    return rounded(analytics.best_of(grid, "variance"), variance=0)
+
+
+@query(f"""WITH {SRS} SELECT unit, x::DOUBLE AS x, y::DOUBLE AS y, stratum, sampled, round(pi, 9) AS pi FROM sample""")
+def sample_points(spark, sf):
+    from terrasample.operators.plotdata import sample_points as points_of
+
+    return points_of(srs(spark, sf)).select("unit", F.col("x").cast("double"), F.col("y").cast("double"), "stratum", "sampled", r("pi", 9).alias("pi"))
+
+
+@query("""SELECT s_suppkey AS unit, CASE WHEN x >= 10 AND x < 30 AND y >= 5 AND y < 20 AND NOT (x >= 15 AND x < 18 AND y >= 8 AND y < 12) THEN 'square' END AS cell
+FROM (SELECT s_suppkey, (s_suppkey * 7) % 44 + 0.25::DOUBLE AS x, (s_suppkey * 3) % 38 + 0.25::DOUBLE AS y FROM supplier)""")
+def points_in_polygons(spark, sf):
+    import struct
+
+    from terrasample.operators.polygons import points_in_polygons as join
+
+    rings = [[(10, 5), (30, 5), (30, 20), (10, 20), (10, 5)], [(15, 8), (18, 8), (18, 12), (15, 12), (15, 8)]]
+    wkb = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring) for ring in rings)
+    shapes = spark.createDataFrame([("square", wkb)], "unit string, geom_wkb binary")
+    return join(listed(spark, sf), shapes, 8.0).select("unit", "cell")
+
+
+@query()
+def schedule_glance(spark, sf):
+    g = _plan(spark, sf).glance()
+    return spark.createDataFrame([tuple(g.values())], list(g))
+
+
+@query()
+def frontier_glance(spark, sf):
+    from terrasample.operators.design import frontier_glance as glance
+
+    return glance(QUERIES["frontier"](spark, sf))
+
+
+@query("""WITH t AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, value FROM events)
+SELECT start, start + INTERVAL 1 DAY AS "end", round(sum(value / 2), 4) AS total, count(*) AS n_hits FROM t GROUP BY start""")
+def hits_by_day(spark, sf):
+    from terrasample.streaming.hits import running_totals
+
+    hits = read(spark, sf, "events").select("ts", F.col("value").alias("y"), F.lit(2.0).alias("expected_hits"))
+    return rounded(running_totals(hits), total=4)
