@@ -15,15 +15,15 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. Taken from ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) is a temporary folder made, and the setting filled in for later calls."""
+    """The folder all executors see, from ``spark.checkpoint.dir``. Only where that is unset and all runs in one process,
+    as in tests, a temporary folder is made, and the setting filled in for later calls."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="terrasample-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="terrasample-")
         spark.conf.set(CHECKPOINT_DIR, folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
