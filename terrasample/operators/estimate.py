@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrasample.functions.checks import all_true, no_rows, requires
 from terrasample.operators.select import Sample
-from terrasample.operators.spatial import neighbours
+from terrasample.operators.spatial import nearest_sampled, neighbours
 
 FIELDS = "total double, variance double, se double, cv double, variance_srs double, n long, n_frame long, variance_method string, df long"
 
@@ -270,17 +270,16 @@ def spatial_balance(sample: Sample, by_stratum: bool = False) -> DataFrame:
         start += len(pdf)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            from terrasample.operators.spatial import Grid
-
-            grids = {s: (Grid(x), index) for s, (x, index) in shared.value.items()}
             for part in batches:
-                for at, (s, *p, best) in enumerate(zip(part["_s"], *[part[c] for c in names], part["_d"], strict=True)):
-                    if s in grids:
-                        near, dist = grids[s][0].nearest(np.array(p), 1)
-                        if best is None or np.isnan(best) or dist[0] < best:
-                            part.iat[at, part.columns.get_loc("_d")] = dist[0]
-                            part.iat[at, part.columns.get_loc("_at")] = grids[s][1][near[0]]
-                yield part
+                stratum, place = part["_s"].to_numpy(), part[names].to_numpy(float)
+                best, at = part["_d"].to_numpy(float, copy=True), part["_at"].to_numpy(copy=True)
+                for s, (x, index) in shared.value.items():
+                    own = np.flatnonzero(stratum == s)
+                    if len(own):
+                        near, d = nearest_sampled(place[own], x)
+                        closer = ~(d >= best[own])  # or none so far
+                        best[own[closer]], at[own[closer]] = d[closer], index[near[closer]]
+                yield part.assign(_d=best, _at=at)
 
         rows = rows.mapInPandas(run, fields)
     mass = rows.where("_at >= 0").groupBy("_s", "_at").agg(F.sum("pi").alias("v"))

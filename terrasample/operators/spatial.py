@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from random import Random
+
 import numpy as np
 
 
@@ -66,50 +68,99 @@ def neighbours(x: np.ndarray, k: int) -> list[np.ndarray]:
     return [grid.nearest(x[i], min(k, len(x) - 1), skip=i)[0] if len(x) > 1 else np.zeros(0, dtype=int) for i in range(len(x))]
 
 
+class _Open:
+    """Undecided units in grid cells, in plain lists: a search looks at a handful of units, where numpy calls cost more
+    than the arithmetic. Cells grow again as units are decided."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x.tolist()
+        self.flat = x[:, :2].tolist() if x.shape[1] > 1 else [[v[0], 0.0] for v in self.x]
+        self.plane = x.shape[1] <= 2
+
+    def build(self, units: list[int]) -> None:
+        xs, ys = [self.flat[u][0] for u in units], [self.flat[u][1] for u in units]
+        self.x0, self.y0 = min(xs), min(ys)
+        spans = [max(xs) - self.x0, max(ys) - self.y0]
+        wide = [v for v in spans if v > 0]
+        area = float(np.prod(wide)) if wide else 1.0
+        self.w = max((area * 2 / len(units)) ** (1 / max(1, len(wide))), max(spans) / 4096, 1e-12)
+        self.last = int(max(spans) / self.w) + 1
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for u in units:
+            self.cells.setdefault(self.cell(u), []).append(u)
+        self.built = len(units)
+
+    def cell(self, u: int) -> tuple[int, int]:
+        a, b = self.flat[u]
+        return int((a - self.x0) / self.w), int((b - self.y0) / self.w)
+
+    def drop(self, u: int) -> None:
+        self.cells[self.cell(u)].remove(u)
+
+    def nearest(self, u: int) -> list[int]:
+        """All open units at the least distance from ``u``."""
+        cx, cy = self.cell(u)
+        px, py = self.flat[u]
+        cells, flat, best, found, r = self.cells, self.flat, float("inf"), [], 0
+        while r <= self.last:
+            if r:
+                ring = [(cx + i, cy + j) for i in (-r, r) for j in range(-r, r + 1)] + [(cx + i, cy + j) for i in range(1 - r, r) for j in (-r, r)]
+            else:
+                ring = [(cx, cy)]
+            for key in ring:
+                for v in cells.get(key, ()):
+                    if v == u:
+                        continue
+                    q = flat[v]
+                    d = (q[0] - px) ** 2 + (q[1] - py) ** 2
+                    if not self.plane and d <= best:
+                        d = sum((s - t) ** 2 for s, t in zip(self.x[u], self.x[v], strict=True))
+                    if d < best * (1 - 1e-12):
+                        best, found = d, [v]
+                    elif d <= best * (1 + 1e-12):
+                        found.append(v)
+            low = min(px - self.x0 - (cx - r) * self.w, (cx + r + 1) * self.w - px + self.x0, py - self.y0 - (cy - r) * self.w, (cy + r + 1) * self.w - py + self.y0)
+            if found and low > 0 and best < low * low * (1 - 1e-9):
+                break
+            r += 1
+        return found
+
+
 def local_pivotal(x: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
     """Local pivotal method 2 (Grafström, Lundström and Schelin 2012): a random undecided unit fights its nearest
     undecided neighbour until all are decided. Returns booleans; the sample size is fixed if the sum of ``pi`` is whole."""
-    random = np.random.default_rng(seed)
-    p = np.array(pi, dtype=float)
+    random = Random(int(seed))
     eps = 1e-9
-    chosen = p >= 1 - eps
-    open_units = [int(i) for i in np.flatnonzero((p > eps) & ~chosen)]
-    where = {u: n for n, u in enumerate(open_units)}
-    sub = np.array(open_units, dtype=int)
-    grid = Grid(np.asarray(x, dtype=float)[sub]) if len(sub) else None
-    local = {u: n for n, u in enumerate(open_units)}
-
-    def close(u: int) -> None:
-        at = where.pop(u)
-        last = open_units.pop()
-        if last != u:
-            open_units[at] = last
-            where[last] = at
-        n = local[u]
-        grid.members[int(grid.cell[n][0] * grid.shape[1] + grid.cell[n][1])].remove(n)
-
-    rebuilt = len(open_units)
-    while len(open_units) > 1:
-        if len(open_units) < rebuilt // 4 and len(open_units) > 64:  # thinned out: larger cells again
-            sub = np.array(sorted(open_units), dtype=int)
-            grid, local, rebuilt = Grid(np.asarray(x, dtype=float)[sub]), {int(u): n for n, u in enumerate(sub)}, len(open_units)
-        i = open_units[int(random.integers(len(open_units)))]
-        near, d = grid.nearest(grid.x[local[i]], 1, skip=local[i])
-        near = near[d <= d[0] * (1 + 1e-12)]
-        j = int(sub[near[int(random.integers(len(near)))] if len(near) > 1 else near[0]])
+    p = [float(v) for v in pi]
+    chosen = np.array([v >= 1 - eps for v in p], dtype=bool)
+    units = [u for u, v in enumerate(p) if eps < v < 1 - eps]
+    if not units:
+        return chosen
+    where = {u: n for n, u in enumerate(units)}
+    near = _Open(np.asarray(x, dtype=float))
+    near.build(units)
+    while len(units) > 1:
+        if len(units) * 4 < near.built:
+            near.build(units)
+        i = units[random.randrange(len(units))]
+        ties = near.nearest(i)
+        j = ties[0] if len(ties) == 1 else ties[random.randrange(len(ties))]
         a, b = p[i], p[j]
-        if a + b < 1:
-            win = random.random() < b / (a + b)
-            p[i], p[j] = (0.0, a + b) if win else (a + b, 0.0)
+        total, u = a + b, random.random()
+        if total < 1:
+            p[i], p[j] = (0.0, total) if u < b / total else (total, 0.0)
         else:
-            win = random.random() < (1 - b) / (2 - a - b) if a + b < 2 else True
-            p[i], p[j] = (1.0, a + b - 1) if win else (a + b - 1, 1.0)
-        for u in (i, j):
-            if p[u] <= eps or p[u] >= 1 - eps:
-                chosen[u] = p[u] >= 1 - eps
-                close(u)
-    for u in open_units:
-        chosen[u] = random.random() < p[u]
+            p[i], p[j] = (1.0, total - 1) if total >= 2 or u < (1 - b) / (2 - total) else (total - 1, 1.0)
+        for k in (i, j):
+            if not eps < p[k] < 1 - eps:
+                chosen[k] = p[k] > 0.5
+                near.drop(k)
+                at, last = where.pop(k), units.pop()
+                if last != k:
+                    units[at] = last
+                    where[last] = at
+    for k in units:
+        chosen[k] = random.random() < p[k]
     return chosen
 
 
@@ -148,7 +199,19 @@ def cube(balance: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
     return p >= 0.5
 
 
-def nearest_sampled(frame: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """Index of the nearest sampled point of each frame point; ties go to the lowest."""
-    grid = Grid(sample)
-    return np.array([grid.nearest(p, 1)[0][0] for p in frame], dtype=int)
+def nearest_sampled(frame: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest sampled point of each frame point, the lowest of ties, and the squared distance. Up to some
+    thousands of sampled points all distances, a block at a time, cost less than a search by cells."""
+    if len(sample) > 8192:
+        grid = Grid(sample)
+        found = [grid.nearest(p, 1) for p in frame]
+        return np.array([f[0][0] for f in found], dtype=int), np.array([f[1][0] for f in found])
+    at, best = np.empty(len(frame), dtype=int), np.empty(len(frame))
+    step = max(1, 2_000_000 // max(1, len(sample)))
+    for a in range(0, len(frame), step):
+        d = np.zeros((len(frame[a : a + step]), len(sample)))
+        for c in range(frame.shape[1]):
+            d += (frame[a : a + step, c, None] - sample[None, :, c]) ** 2
+        at[a : a + step] = d.argmin(1)
+        best[a : a + step] = d.min(1)
+    return at, best
