@@ -487,8 +487,8 @@ def cost_curve_predict(spark, sf):
     return rounded(n.select("n", *_CURVE.columns(F.col("n"))), fitted=6, average=6, marginal=6)
 
 
-def _small_frame(spark, sf) -> DataFrame:
-    c = cells(spark, sf).where("unit <= 120").select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"), "v", "size")
+def _field_frame(spark, sf) -> DataFrame:
+    c = cells(spark, sf).select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"), "v", "size")
     return c.unionByName(spark.createDataFrame([("depot", 20.0, 2.0, 0.0, 0.0)], "unit string, x double, y double, v double, size double"))
 
 
@@ -497,33 +497,36 @@ _FIELD = travel.CostModel(per_travel=2, per_unit=30, per_interview=10, interview
 
 @query()
 def frontier(spark, sf):
-    return cost_variance_frontier(_small_frame(spark, sf), "depot", _FIELD, [8, 12, 16], y="v", max_stops=6, n_rep=3, iterations=5, coords=["x", "y"])
+    return cost_variance_frontier(_field_frame(spark, sf), "depot", _FIELD, [8, 12, 16], y="v", max_stops=6, iterations=5, coords=["x", "y"])
 
 
 @query()
 def cost_curve_fit(spark, sf):
-    return routed_cost_curve(_small_frame(spark, sf), "depot", _FIELD, [6, 10, 14, 18], n_rep=2, iterations=5, coords=["x", "y"]).tidy(spark)
+    return routed_cost_curve(_field_frame(spark, sf), "depot", _FIELD, [6, 10, 14, 18], iterations=5, coords=["x", "y"]).tidy(spark)
 
 
 @query()
 def two_stage_routed(spark, sf):
-    d = two_stage_design(_small_frame(spark, sf), "depot", _FIELD, 20, 4.0, 25.0, budget=3000.0, n_rep=2, iterations=3, max_iter=4, coords=["x", "y"])
+    d = two_stage_design(_field_frame(spark, sf), "depot", _FIELD, 20, 4.0, 25.0, budget=3000.0, iterations=3, max_iter=4, coords=["x", "y"])
     return spark.createDataFrame([(d.allocation.n, d.allocation.m, float(d.unit_cost), d.converged, len(d.history))], "n long, m long, unit_cost double, converged boolean, iterations long")
 
 
 @query()
 def dual_frame_routed(spark, sf):
-    domains = [{"domain": "a", "size": 100, "mean": 5, "sd": 6}, {"domain": "ab", "size": 20, "mean": 60, "sd": 50}, {"domain": "b", "size": 300, "mean": 40, "sd": 30}]
-    d = dual_frame_design(_small_frame(spark, sf), "depot", _FIELD, domains, 12.0, budget=4000.0, n_rep=2, iterations=3, max_iter=4, coords=["x", "y"])
+    frame = _field_frame(spark, sf)
+    n = frame.count() - 1
+    both = n // 6  # the cells that the list covers too; the list has five units to two cells beyond them
+    domains = [{"domain": "a", "size": n - both, "mean": 5, "sd": 6}, {"domain": "ab", "size": both, "mean": 60, "sd": 50}, {"domain": "b", "size": 5 * n // 2, "mean": 40, "sd": 30}]
+    d = dual_frame_design(frame, "depot", _FIELD, domains, 12.0, budget=4000.0, iterations=3, max_iter=4, coords=["x", "y"])
     return spark.createDataFrame([(d.allocation.n_a, d.allocation.n_b, d.allocation.theta, float(d.unit_cost), d.converged)], "n_a long, n_b long, theta double, unit_cost double, converged boolean")
 
 
 @query()
 def point_deff(spark, sf):
-    small = _small_frame(spark, sf).where("unit <> 'depot'")
-    land = areas(spark, sf).where("unit <= 120").join(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("establishment"), F.col("s_acctbal").alias("y")), "establishment")
+    whole = _field_frame(spark, sf).where("unit <> 'depot'")
+    land = areas(spark, sf).join(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("establishment"), F.col("s_acctbal").alias("y")), "establishment")
     land = land.select(F.col("establishment").cast("string").alias("establishment"), F.col("unit").cast("string").alias("unit"), "area", "y")
-    return point_design_effect(small, land, 20, 6, 1.0, method="srs", n_sim=20, coords=["x", "y"])[0]
+    return point_design_effect(whole, land, 20, 6, 1.0, method="srs", coords=["x", "y"])[0]
 
 
 # --- analytics --------------------------------------------------------------------------------------
