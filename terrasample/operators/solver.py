@@ -225,6 +225,26 @@ def _within_fleet(p: Problem, routes: list[tuple[int, list[int]]]) -> bool:
     return all(f is None or sum(k == depot for k, r in routes if r) <= f for depot, f in zip(p.depots, p.fleet, strict=True))
 
 
+def _deal(p: Problem, routes: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """Routes from other depots where one has more than its fleet, the move that adds least first. Where no move is left
+    the routes stay beyond the fleet."""
+    routes = [(k, r) for k, r in routes if r]
+    free = {k: math.inf if f is None else f - sum(k == depot for depot, _ in routes) for k, f in zip(p.depots, p.fleet or [None] * len(p.depots), strict=True)}
+    added: dict[tuple[int, int], tuple[float, list[int]]] = {}
+    for i, (k, r) in enumerate(routes):
+        for to in p.depots if free[k] < 0 else []:
+            if free[to] > 0:
+                there = _tour(p.travel, to, r)
+                if feasible(p, to, there):
+                    added[i, to] = route_length(p.travel, to, there) - route_length(p.travel, k, r), there
+    for (i, to), (_, there) in sorted(added.items(), key=lambda x: (x[1][0], x[0])):
+        k = routes[i][0]
+        if free[k] < 0 < free[to]:
+            routes[i] = (to, there)
+            free[k], free[to] = free[k] + 1, free[to] - 1
+    return routes
+
+
 def _price(p: Problem, routes: list[tuple[int, list[int]]]) -> float:
     return sum(route_length(p.travel, k, r) + p.route_cost for k, r in routes if r)
 
@@ -292,6 +312,8 @@ def _search(p: Problem, iterations: int, time_limit: float | None, seed: int) ->
         found = _split(p, order)
         if found is not None:
             found = _between(p, found, stop)
+            if not _within_fleet(p, found):
+                found = _between(p, _deal(p, found), stop)
             if _within_fleet(p, found):
                 cost = _price(p, found)
                 if cost < best_cost - 1e-10:

@@ -405,7 +405,7 @@ def route_segments(spark, sf):
 
 
 def _plan(spark, sf) -> schedule.Schedule:
-    p = srs(spark, sf).sampled().orderBy("unit").limit(24).select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
+    p = srs(spark, sf).sampled().select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
     bases = spark.createDataFrame([("north", 10.0, 5.0), ("south", 30.0, 25.0)], "unit string, x double, y double")
     names = [x["unit"] for x in p.orderBy("unit").collect()]
     m = travel.travel_matrix(p, "euclidean", bases=bases, coords=["x", "y"])
@@ -429,7 +429,7 @@ def calendar(spark, sf):
 
 @query()
 def routes(spark, sf):
-    p = srs(spark, sf).sampled().orderBy("unit").limit(20).select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
+    p = srs(spark, sf).sampled().select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
     base = spark.createDataFrame([("depot", 20.0, 15.0)], "unit string, x double, y double")
     names = [x["unit"] for x in p.orderBy("unit").collect()]
     return routing.route_fieldwork(travel.travel_matrix(p, "euclidean", bases=base, coords=["x", "y"]), names, "depot", max_stops=6, iterations=30).stops_df(spark)
