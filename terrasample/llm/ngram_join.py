@@ -22,6 +22,11 @@ with the fewest rare tokens; linked sets then are one component, and only pairs
 sizes and rare tokens leave a chance are compared after that. Every comparison is an exact intersection. So no link that
 joins two components is lost, while a group of thousands of copies costs about as many comparisons as it has members.
 
+Links are counted, where that is asked for, after the components are known: both ends of a link are in one component, so
+all pairs of different sets within each component are compared, exactly. Large components are split into blocks of about
+``BLOCK`` sets, and every pair of blocks is a run of rows of its own. That is the square of a component's size, as is
+the number of links in a group of near copies; the rows that it takes are each set once per block of its component.
+
 Texts without words (and nulls) have no tokens and link with nothing: their component is their own id. Rows that share
 an id are sets of their own. Empty tables give empty results, extra columns are ignored.
 """
@@ -45,6 +50,11 @@ FREQUENT = 16
 PER_SUBCLASS = 8
 #: Part of the plain prefix.
 MOSTLY = 0.25
+#: Sets, and their tokens, of a block of a component in which links are counted.
+BLOCK = 256
+BLOCK_TOKENS = 1 << 18
+#: Different tokens of two blocks that are held as a table at once.
+WIDTH = 4096
 
 
 def slack(n: int, percent: int) -> int:
@@ -261,15 +271,96 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     return links
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+def _common(flat: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Tokens that each set of ``left`` shares with each of ``right``; ``row`` is the set that a token of ``flat`` is in."""
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = count > 1
+    code, row = (np.cumsum(often) - 1)[code[often[code]]], row[often[code]]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)  # exact below 2 ** 24
+    for c in range(0, int(often.sum()), WIDTH):
+        a, b = np.searchsorted(code, [c, c + WIDTH])
+        has = np.zeros((int(max(left.max(), right.max())) + 1, WIDTH), dtype=np.float32)
+        has[row[a:b], code[a:b] - c] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def _linked_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """``node, added`` from rows sorted by component and pair of blocks: the rows of the sets that a set links with there."""
+
+    def finish(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        get = lambda c: np.concatenate([np.asarray(x) for x in table.column(c).chunks])
+        node, copies, own, i, j = (get(c) for c in ("node", "copies", "own", "i", "j"))
+        tokens = [np.asarray(x.flatten()).view(np.uint64) for x in table.column("tokens").chunks]
+        size = np.concatenate([np.diff(np.asarray(x.offsets)) for x in table.column("tokens").chunks]).astype(np.int64)
+        flat, at = np.concatenate(tokens), np.concatenate([[0], np.cumsum(size)])
+        added = np.zeros(len(node), dtype=np.int64)
+        for a, b in zip(start, [*start[1:], len(node)], strict=True):
+            new = np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])  # a node may come twice
+            apart = i[a] != j[a]
+            left = np.flatnonzero(new & (own[a:b] == i[a]))
+            right = np.flatnonzero(new & (own[a:b] == j[a]))
+            if not len(left) or not len(right):
+                continue
+            one = np.repeat(np.arange(b - a), np.where(new, size[a:b], 0))
+            these = flat[at[a] : at[b]][np.repeat(new, size[a:b])]
+            n = size[a:b]
+            common = _common(these, one, left, right)
+            near = common * (100 + percent) >= percent * (n[left][:, None] + n[right][None, :])
+            if apart:
+                added[a + right] += copies[a + left] @ near
+            else:
+                np.fill_diagonal(near, False)
+            added[a + left] += near @ copies[a + right]
+        some = added > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(added[some])], names=["node", "added"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            key = np.stack([np.concatenate([np.asarray(x) for x in table.column(c).chunks]) for c in ("component", "i", "j")], 1)
+            start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            if len(start) > 1:
+                yield finish(table.slice(0, start[-1]), start[:-1])
+            left = table.slice(start[-1])
+        if left is not None:
+            yield finish(left, np.zeros(1, dtype=np.int64))
+
+    return members.mapInArrow(run, "node long, added long")
+
+
+def _counted(found: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``node, added``: rows of other sets that a set links with, for those with any."""
+    members = found.join(sets.select("node", "least", "n", "copies"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int")
+    members = members.join(members.groupBy(F.col("component").alias("c")).agg(blocks.alias("blocks")), F.col("component") == F.col("c"))
+    members = scratch.table(members.select("node", "least", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")))
+    ids = bitmap_of(members.select(F.xxhash64("least").alias("h")), "h")
+    spread = whole_sets(docs, k, ids).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "copies", "own", "tokens")
+    spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    out = scratch.table(_linked_in_blocks(spread, percent).groupBy("node").agg(F.sum("added").alias("added")))
+    scratch.drop(members)
+    scratch.reclaim()
+    return out
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
+    """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links. With
+    ``count`` also ``n_links``, the other rows that the row links with, those with an equal set among them."""
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
     scratch = Scratch(spark, "ngram")
     docs = only(docs, id_col, text_col).toDF("id", "text")
 
     rows = scratch.table(prefixes(docs, k, percent))
-    sets = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     sets = scratch.table(sets)
     scratch.reclaim()
 
@@ -332,12 +423,21 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         found = found.unionByName(loose).join(top, F.col("component") == F.col("t"), "left").select("node", F.coalesce("top", "component").alias("component"))
         found = scratch.table(found)
 
+    if count:
+        scratch.drop(first, rest, second)
+        links = _counted(found, docs, sets, k, percent, scratch)
+
     labels = found.join(sets.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("of_component"))
     labels = found.join(labels, "component").select(F.col("node").alias("v"), "of_component")
     ids = sets.select("node", "least").join(labels, F.col("node") == F.col("v"), "left").select("node", F.coalesce("of_component", "least").alias("component_id"))
     scratch.reclaim()
     out = rows.select("id", "n", "node").join(ids, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    if count:
+        copies = sets.select("node", "copies").join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"))
+        out = out.join(copies, "node", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns)
 
 
 assert BITMAP_BITS % 32768 == 0  # whole buckets

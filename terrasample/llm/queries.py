@@ -64,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(read(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_join.link(read(spark, sf_dir, "documents"), k=4, percent=85, count=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
