@@ -19,6 +19,7 @@ are vectors of their own. Empty tables give empty results, extra columns are ign
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -123,6 +124,11 @@ def _vectors(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
     return out, np.array([x is not None for x in out], dtype=bool)
 
 
+def _tags(labels: list) -> np.ndarray:
+    """64-bit hashes of whole labels."""
+    return np.frombuffer(b"".join(hashlib.blake2b(str(x).encode(), digest_size=8).digest() for x in labels), dtype=np.uint64)
+
+
 def nodes_of(rows: DataFrame) -> DataFrame:
     """``id, label, node, vec, dim``: rows with the hash of their label and vector; null for those that cannot link."""
     types = dict(rows.dtypes)
@@ -139,8 +145,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
                     continue
                 # + 0.0 makes the two zeros equal
                 bits = mix64((x + 0.0).view(np.uint64) + mix64(np.arange(1, len(x) + 1, dtype=np.uint64)))
-                tag = np.frombuffer(str(label).encode().ljust(8, b"\0")[:8], dtype=np.uint64)
-                node.append(int(mix64(np.array([np.add.reduce(bits) ^ mix64(tag)[0]]))[0].view(np.int64)))
+                node.append(int(mix64(np.array([np.add.reduce(bits) ^ mix64(_tags([label]))[0]]))[0].view(np.int64)))
                 dim.append(len(x))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(node, pa.int64()), pa.array(dim, pa.int32()), batch.column("vec")], names=["id", "label", "node", "dim", "vec"])
 
@@ -163,7 +168,7 @@ def _hashed(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
                 x = np.stack([vectors[i] for i in which])
                 x = x / np.abs(x).max(1)[:, None]
                 x /= np.linalg.norm(x, axis=1)[:, None]
-                tag = np.array([np.frombuffer(str(labels[i]).encode().ljust(8, b"\0")[:8], dtype=np.uint64)[0] for i in which])
+                tag = _tags([labels[i] for i in which])
                 own = mix64(buckets(x, *plan[int(d)], signs[int(d)]) ^ mix64(tag + np.uint64(d))[:, None])
                 for i, c in zip(which, own, strict=True):
                     codes[i] = c
