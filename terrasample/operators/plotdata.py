@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasample.operators.design import CostCurve
+from terrasample.operators.costcurve import CostCurve
 from terrasample.operators.routing import route_segments
 from terrasample.operators.schedule import Schedule
 from terrasample.operators.select import Sample
@@ -33,8 +33,9 @@ def schedule_segments(spark: SparkSession, schedule: Schedule, units: DataFrame,
 
 
 def frontier_lines(frontier: DataFrame) -> DataFrame:
-    """Cost and standard error by size."""
-    return frontier.select("n", F.col("cost_mean").alias("x"), F.sqrt(F.coalesce("variance_mc", "variance_mean")).alias("y"), F.col("cost_sd").alias("spread"))
+    """Cost against variance, or against size where the frontier has no variable."""
+    across = F.col("variance_mean" if "variance_mean" in frontier.columns else "n").cast("double")
+    return frontier.select("n", across.alias("x"), F.col("cost_mean").alias("y"), F.col("cost_sd").alias("spread"))
 
 
 def curve_lines(spark: SparkSession, curve: CostCurve, points: int = 100) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.operators import allocation, analytics, estimate, points, routing, schedule, travel
-from terrasample.operators.design import CostCurve, cost_variance_frontier, dual_frame_design, point_design_effect, routed_cost_curve, two_stage_design
+from terrasample.operators.costcurve import CostCurve
+from terrasample.operators.design import dual_frame_design, two_stage_design
+from terrasample.operators.frontier import cost_variance_frontier, routed_cost_curve
 from terrasample.operators.overlap import frame_overlap
+from terrasample.operators.pointdesign import point_design_effect
 from terrasample.operators.select import Sample, inclusion_probabilities, select_units
 from terrasample.functions.columns import HILBERT_BITS, hilbert
 from terrasample.plans.tables import (
@@ -655,7 +658,7 @@ def schedule_glance(spark, sf):
 
 @query()
 def frontier_glance(spark, sf):
-    from terrasample.operators.design import frontier_glance as glance
+    from terrasample.operators.frontier import frontier_glance as glance
 
     return glance(QUERIES["frontier"](spark, sf))
 

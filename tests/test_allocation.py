@@ -1,9 +1,12 @@
 import math
+from dataclasses import dataclass
 
 import pytest
 
 from terrasample.operators.allocation import dual_frame_allocation, frame_allocation, multivariate_allocation, two_stage_allocation, two_stage_variance
-from terrasample.operators.design import fit_budget, fit_cost_curve
+from terrasample.operators.costcurve import fit_cost_curve
+from terrasample.operators.design import RoutedPrices, consistent, dearest_affordable, two_stage_design
+from terrasample.operators.travel import CostModel
 
 STRATA = [dict(stratum="a", size=300, sd=80, cost=60), dict(stratum="b", size=2500, sd=12, cost=35), dict(stratum="c", size=900, sd=35, cost=190)]
 
@@ -66,6 +69,44 @@ def test_cost_curve():
     assert c.a >= 0 and c.b >= 0
 
 
-def test_fit_budget_uses_the_real_cost():
-    found = fit_budget(100, lambda b: b // 3, lambda n: 4 * n)
-    assert found == 25
+@dataclass(frozen=True)
+class Step:
+    n: int
+    cost: float
+    variance: float = 0.0
+
+
+def test_the_dearest_design_that_the_real_price_affords():
+    def allocate(money):
+        if money < 6:
+            raise ValueError("too little")
+        return Step(int(money // 3), 3.0 * int(money // 3))
+
+    for real in (lambda a: 4.0 * a.n, lambda a: 20 + 3.0 * a.n, lambda a: 10 * math.sqrt(a.n) + 2.5 * a.n, lambda a: 1.0 * a.n):
+        affordable = [n for n in range(2, 34) if real(Step(n, 0)) <= 100]
+        assert dearest_affordable(100, allocate, real).n == max(affordable)
+    assert dearest_affordable(100, allocate, lambda a: 1000.0).n == 33  # nothing is affordable
+    with pytest.raises(ValueError):
+        dearest_affordable(5, allocate, lambda a: 1.0)
+
+
+def test_a_walk_ends_in_the_best_design_of_its_cycle():
+    prices = RoutedPrices(lambda sizes: {n: 100.0 + 10 * n for n in sizes}, 1000)
+    walk = iter([30, 50, 40, 60, 50, 99])
+    d = consistent(1.0, lambda price, curve: Step(next(walk), 0.0, 1.0), lambda a: a.n, lambda a: (a.n,), lambda a, c: c.total(a.n), prices, None, 20)
+    assert d.converged and d.allocation.n == 40 and len(d.history) == 5 and d.unit_cost == pytest.approx(10)
+    still = consistent(1.0, lambda price, curve: Step(25, 0.0, 1.0), lambda a: a.n, lambda a: (a.n,), lambda a, c: c.total(a.n), prices, None, 20)
+    assert still.converged and len(still.history) == 2 and still.cost == pytest.approx(350)
+
+
+def test_two_stage_design_is_near_the_best_on_its_curve(spark):
+    cells = [(f"c{i}", float(i % 12), float(i // 12)) for i in range(144)]
+    frame = spark.createDataFrame([("depot", 5.5, 5.5), *cells], "unit string, x double, y double")
+    model = CostModel(per_travel=3, per_unit=40, per_interview=20)
+    d = two_stage_design(frame, "depot", model, 12, 9, 40, target_cv=0.05, mean=10, n_rep=2, iterations=3)
+    a, target = d.allocation, (0.05 * 10) ** 2
+    grid = [(d.curve.total(n) + 20 * n * m, n, m) for n in range(2, 145) for m in range(1, 13) if two_stage_variance(n, m, 144, 12, 9, 40) <= target]
+    assert d.converged and d.cost <= min(grid)[0] * 1.01 and d.unit_cost < d.average_cost
+    assert d.unit_cost == pytest.approx(d.curve.marginal(a.n)) and d.cost == pytest.approx(d.curve.total(a.n) + 20 * a.n * a.m)
+    b = two_stage_design(frame, "depot", model, 12, 9, 40, budget=d.cost, n_rep=2, iterations=3)
+    assert 0.95 * d.cost <= b.cost <= d.cost + 1e-6 and b.mode == "budget"
