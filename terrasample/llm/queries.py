@@ -60,7 +60,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
+    return sharding.read_back(read(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +71,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-#: The same arithmetic as one pass of windows; buckets only matter for the rounding document.
+#: The same sample by whole sorts: no buckets of ranks or weight classes kept apart.
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         (CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '-') || chr(10) || coalesce(source, '-') || chr(10) || coalesce(text, '')) AS key
   FROM documents),
+picked AS (
+  SELECT *, md5('0:' || key || ':' || (row_number() OVER (PARTITION BY key) - 1)) AS pick,
+         CASE WHEN size > 0 THEN pow(2::DOUBLE, round(log2(size) * 8) / 8) END AS w FROM sized),
 sizes AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (
   SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)] AS weight,
@@ -89,25 +91,32 @@ lowest AS (SELECT arg_min(level, cap / weight) AS level FROM levels WHERE cap >
 targets AS (
   SELECT source, n, source_size, round(CASE WHEN cap <= weight * levels.level THEN cap ELSE weight * lowest.level END, 6) AS target
   FROM levels LEFT JOIN lowest ON true),
-ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
-plans AS (
-  SELECT *, CAST(floor(ratio) AS BIGINT) AS copies, ratio - floor(ratio) AS f,
-         target - floor(ratio) * source_size AS words, ceil(sqrt(n)) AS buckets FROM ratios),
+ratios AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM targets),
+plans AS (SELECT *, CASE WHEN target - copies * source_size >= 0.5 THEN target - copies * source_size ELSE 0 END AS words FROM ratios),
+falling AS (
+  SELECT s.*, p.source_size, p.target, p.copies, p.words, p.n, words - coalesce(sum(size) FILTER (WHERE size > 0) OVER before, 0) AS left_words,
+         sum(w * size) OVER behind AS rest
+  FROM picked s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source
+  WINDOW before AS (PARTITION BY s.source ORDER BY w DESC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP),
+         behind AS (PARTITION BY s.source ORDER BY w DESC NULLS LAST RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+flagged AS (SELECT *, coalesce(w * left_words >= rest, false) AS own FROM falling),
+certain AS (SELECT *, bool_and(own) OVER (PARTITION BY source ORDER BY w DESC NULLS LAST) AS certain FROM flagged),
+scaled AS (SELECT *, max_by(left_words / rest, w) FILTER (WHERE NOT certain AND w IS NOT NULL) OVER (PARTITION BY source) AS c FROM certain),
 ranked AS (
-  SELECT s.doc_id, s.key, s.size, p.*, CASE WHEN f > 0 THEN (u / (1 - u)) * ((1 - f) / f) END AS rank
-  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
+  SELECT *, (CAST(('0x' || substr(pick, 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u,
+         CASE WHEN words > 0 AND w IS NOT NULL THEN CASE WHEN certain THEN 1.0::DOUBLE ELSE w * c END END AS p FROM scaled),
+ordered AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS rank FROM ranked),
 summed AS (
-  SELECT *, floor(rank / (1 + rank) * buckets) AS bucket,
-         sum(size) OVER (PARTITION BY source ORDER BY rank, key) AS upto FROM ranked),
+  SELECT *, floor(rank / (1 + rank) * ceil(sqrt(n))) AS bucket,
+         sum(size) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, pick) AS upto FROM ordered),
 ends AS (
   SELECT source, min(bucket) FILTER (WHERE upto > words) AS last_bucket,
-         min(words) - coalesce(max(upto) FILTER (WHERE upto <= words), 0) AS missing FROM summed WHERE f > 0 GROUP BY source),
+         min(words) - coalesce(max(upto) FILTER (WHERE upto <= words), 0) AS missing FROM summed WHERE rank IS NOT NULL GROUP BY source),
 nearest AS (
-  SELECT s.source, arg_min(s.key, (abs(bulk - missing), rank, s.key)) AS extra, min(abs(bulk - missing)) AS off, min(missing) AS missing
-  FROM (SELECT source, key, rank, bucket, sum(size) AS bulk, min(upto) AS upto, min(words) AS words FROM summed WHERE f > 0 GROUP BY ALL) s
-  JOIN ends e ON s.source IS NOT DISTINCT FROM e.source WHERE s.bucket = e.last_bucket AND s.upto > s.words GROUP BY s.source)
+  SELECT s.source, arg_min(s.pick, (abs(s.size - missing), rank, s.pick)) AS extra, min(abs(s.size - missing)) AS off, min(missing) AS missing
+  FROM summed s JOIN ends e ON s.source IS NOT DISTINCT FROM e.source WHERE s.bucket = e.last_bucket AND s.upto > s.words AND s.rank IS NOT NULL GROUP BY s.source)
 SELECT s.doc_id, s.size, s.source_size, s.target,
-       (s.copies + CASE WHEN s.f > 0 AND (s.upto <= s.words OR coalesce(s.key = n.extra AND n.off < n.missing, false)) THEN 1 ELSE 0 END) * s.size AS taken
+       CAST((s.copies + CASE WHEN s.rank IS NOT NULL AND (s.upto <= s.words OR coalesce(s.pick = n.extra AND n.off < n.missing, false)) THEN 1 ELSE 0 END) * s.size AS BIGINT) AS taken
 FROM summed s LEFT JOIN nearest n ON s.source IS NOT DISTINCT FROM n.source
 """
 
@@ -147,23 +156,8 @@ FROM written GROUP BY conv_id
 """
 
 
-def op10_sql() -> str:
-    """Rounds of the plan written out one after the other."""
-    rounds = []
-    for i in range(sharding.ROUNDS):
-        tier = " + ".join(f"CAST(bytes >= {sharding.Store.base_bytes * sharding.Store.fanout**k} AS INT)" for k in range(3))
-        rounds.append(f"""
-n{i} AS (SELECT *, {tier} AS tier, CAST(floor("into" / 4096.0) AS BIGINT) AS block
-  FROM (SELECT "into", sum(bytes)::BIGINT AS bytes FROM p{i} GROUP BY "into") WHERE bytes < {sharding.Store.target_bytes // 2}),
-r{i} AS (SELECT *, (row_number() OVER (PARTITION BY block, tier ORDER BY "into") - 1) // 4 AS run_no FROM n{i}),
-m{i} AS (SELECT "into", CASE WHEN count(*) OVER w = 4 THEN min("into") OVER w ELSE "into" END AS dest FROM r{i} WINDOW w AS (PARTITION BY block, tier, run_no)),
-p{i + 1} AS (SELECT p.arrival, p.bytes, p."rows", coalesce(m.dest, p."into") AS "into" FROM p{i} p LEFT JOIN m{i} m ON p."into" = m."into")""")
-    return f"""
-WITH sized AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, coalesce(CAST(floor(doc_id / 1024.0) AS BIGINT), -1) AS arrival FROM documents),
-p0 AS (SELECT arrival, sum(n_bytes)::BIGINT AS bytes, count(*) AS "rows", arrival AS "into" FROM sized GROUP BY arrival),{",".join(rounds)},
-shards AS (SELECT "into", sum(bytes)::BIGINT AS shard_bytes, sum("rows")::BIGINT AS shard_rows, count(*) AS arrivals FROM p{sharding.ROUNDS} GROUP BY "into")
-SELECT doc_id, n_bytes, p."into" AS shard, 2::BIGINT AS version, shard_rows, shard_bytes, arrivals
-FROM sized JOIN p{sharding.ROUNDS} p USING (arrival) JOIN shards USING ("into")"""
+#: What a reader of the store gets back; where a document lies follows from how the input was dealt to tasks.
+OP10_SQL = "SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, md5(text) AS text_md5, 2::BIGINT AS version, true AS listed, true AS fits FROM documents"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -171,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_sharding": op10_sql()}
+    return {"op2_mixing": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_sharding": OP10_SQL}

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -36,20 +37,56 @@ def test_targets_and_limits(docs):
     assert g.target.to_dict() == pytest.approx(target)
 
 
+def by_row(df, columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+
+
 def test_reruns_agree_and_apply_takes_the_same(docs):
-    one, two = (sorted(map(tuple, mixing.mix(d).select("doc_id", "taken").collect())) for d in (docs, docs.repartition(7)))
+    columns = ["doc_id", "size", "taken"]
+    one, two = (by_row(mixing.mix(d), columns) for d in (docs, docs.repartition(7)))
     assert one == two
     out = mixing.apply(docs)
     assert out.columns == docs.columns
     taken = {}
-    for i, t in one:
+    for i, _, t in one:
         taken[i] = taken.get(i, 0) + t
     got = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
     assert {i: n for i, n in taken.items() if n} == {i: n for i, n in got.items() if n}
 
 
-def test_odds_shift_the_sample(docs):
-    kept = mixing.mix(docs.withColumn("o", F.when(F.col("doc_id") < 600, 100.0).otherwise(0.01)), weights=(1,), share=0.3, odds_col="o")
+def test_repeated_rows_meet_the_target(spark):
+    """A third of all rows is one row, others have no id: they are drawn one by one."""
+    same = [(7, "the same row of eight words it is", "a")] * 400
+    none = [(None, "w " * (10 + i % 3), "b") for i in range(300)]
+    own = [(1000 + i, "v " * (5 + i % 20), "a" if i % 2 else "b") for i in range(500)]
+    df = spark.createDataFrame([*same, *none, *own], "doc_id long, text string, source string").repartition(9)
+    p = mixing.mix(df, weights=(1, 2), share=0.8).toPandas()
+    assert (abs(p.groupby("target").taken.sum() - p.groupby("target").target.first()) <= 13).all()
+    repeated = p[p.doc_id == 7]
+    assert 0 < (repeated.taken > 0).sum() < 400
+    out = mixing.apply(df, weights=(1, 2), share=0.8)
+    assert out.where("doc_id = 7").count() * 8 == repeated.taken.sum()
+    assert by_row(mixing.mix(df.coalesce(2), weights=(1, 2), share=0.8), ["doc_id", "size", "taken"]) == by_row(mixing.mix(df, weights=(1, 2), share=0.8), ["doc_id", "size", "taken"])
+
+
+def test_probabilities_follow_the_weights(spark):
+    """Over many seeds a document is taken about as often as its probability, which is in proportion to its size."""
+    rows = [(i, "w " * (20 if i % 2 else 5), "a") for i in range(40)] + [(100, "w " * 500, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    hits = {}
+    for seed in range(25):
+        for r in mixing.mix(df, weights=(1,), share=0.7, seed=seed).where("taken > 0").collect():
+            hits[r.doc_id] = hits.get(r.doc_id, 0) + 1
+    long = sum(hits.get(i, 0) for i in range(1, 40, 2)) / 20
+    short = sum(hits.get(i, 0) for i in range(0, 40, 2)) / 20
+    assert hits[100] == 25  # certain: its share would be above 1
+    words, w20, w5 = 0.7 * 1000 - 500, 2 ** (round(8 * math.log2(20)) / 8), 2 ** (round(8 * math.log2(5)) / 8)
+    c = words / (20 * 20 * w20 + 20 * 5 * w5)
+    assert long / 25 == pytest.approx(c * w20, abs=0.08) and short / 25 == pytest.approx(c * w5, abs=0.08)
+
+
+def test_a_weight_column_shifts_the_sample(docs):
+    kept = mixing.mix(docs.withColumn("o", F.when(F.col("doc_id") < 600, 100.0).otherwise(0.01)), weights=(1,), share=0.3, weight_col="o")
     p = kept.toPandas()
     assert p[p.doc_id < 600].taken.sum() > 2 * p[(p.doc_id >= 600) & (p.doc_id < 900)].taken.sum()
 
