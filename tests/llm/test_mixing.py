@@ -70,19 +70,14 @@ def test_repeated_rows_meet_the_target(spark):
 
 
 def test_probabilities_follow_the_weights(spark):
-    """Over many seeds a document is taken about as often as its probability, which is in proportion to its size."""
-    rows = [(i, "w " * (20 if i % 2 else 5), "a") for i in range(40)] + [(100, "w " * 500, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
-    hits = {}
-    for seed in range(25):
-        for r in mixing.mix(df, weights=(1,), share=0.7, seed=seed).where("taken > 0").collect():
-            hits[r.doc_id] = hits.get(r.doc_id, 0) + 1
-    long = sum(hits.get(i, 0) for i in range(1, 40, 2)) / 20
-    short = sum(hits.get(i, 0) for i in range(0, 40, 2)) / 20
-    assert hits[100] == 25  # certain: its share would be above 1
-    words, w20, w5 = 0.7 * 1000 - 500, 2 ** (round(8 * math.log2(20)) / 8), 2 ** (round(8 * math.log2(5)) / 8)
-    c = words / (20 * 20 * w20 + 20 * 5 * w5)
-    assert long / 25 == pytest.approx(c * w20, abs=0.08) and short / 25 == pytest.approx(c * w5, abs=0.08)
+    """Of many documents of a size the share that is taken is about their probability, in proportion to the size."""
+    rows = [(i, "w " * (20 if i % 2 else 5), "a") for i in range(2000)] + [(9999, "w " * 5000, "a")]
+    p = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.5).toPandas()
+    took = {n: (p[p["size"] == n].taken > 0).mean() for n in (5, 20, 5000)}
+    assert took[5000] == 1  # certain: its share would be above 1
+    words, w20, w5 = 0.5 * 30_000 - 5000, 2 ** (round(8 * math.log2(20)) / 8), 2 ** (round(8 * math.log2(5)) / 8)
+    c = words / (1000 * 20 * w20 + 1000 * 5 * w5)
+    assert took[20] == pytest.approx(c * w20, abs=0.06) and took[5] == pytest.approx(c * w5, abs=0.06)
 
 
 def test_a_weight_column_shifts_the_sample(docs):
