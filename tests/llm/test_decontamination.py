@@ -1,4 +1,7 @@
 import random
+from math import comb
+
+import numpy as np
 
 from terrasample.llm import decontamination as D
 
@@ -55,6 +58,42 @@ def test_against_brute_force(spark, monkeypatch):
     assert kept.columns == left.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in want)
 
 
+def test_text_ids_of_items_and_null_ids(spark):
+    docs, items = case()
+    left = spark.createDataFrame([(None if i == 3 else f"d{i}", t) for i, t in docs[:40]], "doc_id string, text string")
+    right = spark.createDataFrame([(f"i{j}", t) for j, t in items] + [(None, items[0][1])], "item_id string, text string")
+    want = {None if i == 3 else f"d{i}": sorted(f"i{j}" for j in s) for i, s in brute(docs[:40], items).items()}
+    got = {r.doc_id: [x for x in r["items"] if x] for r in D.contaminated(left, right).collect()}
+    assert got == want
+
+
+def test_minima_that_must_agree():
+    for n in (1, 5, 20, 32):  # signed whole: as many as the threshold
+        assert D.needed(n, -(-n * 80 // 100)) == -(-n * 80 // 100)
+    for n in (40, 100, 1000):
+        inside = -(-n * 80 // 100)
+        need = D.needed(n, inside)
+        short = sum(comb(inside, x) * comb(n - inside, 32 - x) for x in range(need)) / comb(n, 32)
+        assert 5 < need < 26 and short <= D.MISS
+
+
+def test_recall_of_the_minima_and_what_they_spare():
+    """Items of which just the threshold lies in a long text, in pieces: all are candidates, few others are."""
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in r.integers(33, 3000, 300)]
+    items = D.Items(list(range(300)), sets, 5, 80)
+    hashes, doc, inside, outside = [], [], set(), 0
+    for d in range(300):
+        share = r.permutation(sets[d])[: items.least[d]] if d % 2 else r.permutation(sets[d])[: len(sets[d]) // 10]
+        own = np.concatenate([share, r.integers(0, 2**63, 20_000, dtype=np.uint64)])
+        hashes.append(own)
+        doc.append(np.full(len(own), d))
+        if d % 2:
+            inside.add((d, d))
+    found = set(items.candidates(np.concatenate(hashes), np.concatenate(doc)))
+    assert inside <= found and len(found - inside) <= 3
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
