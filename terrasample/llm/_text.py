@@ -51,9 +51,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the number of the first word of each text (one more than texts)."""
+    return words_at(data, offsets)[:2]
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words``, and the byte that each word starts at."""
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.int64)
     word = ~_SPACE[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
@@ -75,7 +80,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         s, e = start[a:b] - lo, end[a:b] - lo
         out[a:b] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         a = b
-    return out, np.searchsorted(start, offsets)
+    return out, np.searchsorted(start, offsets), start
 
 
 def shingles(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,17 +1,23 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by a weighted finite-state grammar over sentences.
 
 Words become symbols: insult stems (learned from labels, with their log odds as weight), threats, targets (the second
-person), negations and reporting verbs; all other words are one symbol. Five transducers read a clause of symbols and
-rewrite it: reported speech marks what follows a reporting verb or stands in quotation marks, negation what follows a
-negation closely, target what a second person is near to; insult and threat turn marked symbols into weighted
-matches. They are composed into one machine, and a clause is scored by the machine's best path, so a word counts by the
-clause it stands in. A document's features are the summed weights of its matches by kind (plain, targeted, negated,
-reported, threatening); their weights are a logistic regression that starts from a prior in which negated and reported
-matches count least.
+person), negations, reporting verbs, quotation marks and clause marks; all other words are one symbol. Five weighted
+transducers read a sentence of symbols and rewrite it. Reported speech marks what follows a reporting verb or stands in
+quotation marks; negation marks what follows a negation closely; target marks what shares a clause with the second
+person, on either side: before it, the machine has to guess that it will come, and a path on which it does not come is no
+path. Insult and threat turn marked symbols into matches, each with the weight of its mark. They are composed into one
+machine, and a sentence is read by the machine's best path: of all paths the one whose arcs and matches weigh most in sum. So a
+word counts by the clause it stands in. A document's features are the summed weights of its matches by kind (plain,
+targeted, negated, reported, threatening); their weights are a logistic regression that starts from a prior in which
+negated and reported matches count least.
+
+A quotation goes on over sentences until its closing mark, or to the end of the line. Sentences of any length are read
+whole, as a stream: what a path holds is its state, weight and sums.
 
 Insult stems are the word beginnings that toxic texts have and others lack, beyond what chance gives to as many
 candidates; near copies in the sample count once, and a beginning that has no more occurrences than a longer one gives way
-to that. The stems are found in a text by one automaton, and only clauses with a stem or a threat are parsed.
+to that. The stems are found in a text by one automaton, and only sentences with a stem or a threat are read by the
+machine.
 
 Null and empty texts have no match and get the score of a text without any. Whole texts are scored. Without labelled
 rows the prior decides. Repeated rows score alike, extra columns are ignored.
@@ -22,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +44,9 @@ SAMPLE = {0: 5000, 1: 2500}
 SHORTEST, LONGEST, SUPPORT, STEMS = 4, 12, 3, 5000
 #: Symbols a negation reaches.
 REACH = 3
+#: Weight of a match's mark, beside the weight of its word.
+MARKS = {"plain": 0.0, "targeted": 0.5, "negated": -1.5, "reported": -1.5, "threat": 0.5}
+KINDS = tuple(MARKS)
 
 # Small closed word classes of English, German, French and Spanish.
 TARGETS = "you your yours yourself u du dich dir dein deine euch euer tu toi te vous ton votre usted ustedes ti tus vuestro"
@@ -45,93 +54,129 @@ NEGATIONS = "not never neither nor without isn't aren't don't nicht kein keine n
 REPORTING = "said says say told wrote writes claimed claims quoted called sagte sagt schrieb behauptet dit écrit affirme dijo dice escribió afirma"
 THREATS = "kill murder hurt stab shoot destroy töten umbringen verletzen tuer frapper détruire matar golpear destruir"
 
-CLAUSE = re.compile(r"[.!?;:\n]+")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]")
-QUOTES = frozenset("\"“”„«»")
+SENTENCE = re.compile(r"[.!?\n]")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»;:]")
+QUOTES = "\"“”„«»"
 
 # --- machines ---------------------------------------------------------------------------------
-#: Symbols: insult, threat, target, negation, report, quotation mark, any other word. Marks are added as suffixes.
-KINDS = ("plain", "targeted", "negated", "reported", "threat")
+# Symbols: I insult, T threat, P target, N negation, R report, Q quotation mark, C clause mark, x any other word. Marks
+# are added to I and T as suffixes: r reported, n negated, p targeted.
+
+
+@dataclass(frozen=True)
+class Arc:
+    """A way on: the next state, the symbol written, the weight, and the kind of match that the arc makes, if any."""
+
+    to: object
+    out: str
+    weight: float = 0.0
+    kind: str | None = None
 
 
 class Fst:
-    """A deterministic transducer on symbols: ``step(state, symbol)`` gives the next state, the output symbol and
-    the kind of match, if any, whose weight the symbol carries."""
+    """A weighted transducer: its arcs from a state on a symbol, and the states it may end in."""
 
-    def __init__(self, start, step):
-        self.start, self.step = start, step
+    def __init__(self, start: object, arcs: Callable[[object, str], Iterable[Arc]], ends: Callable[[object], bool] = lambda state: True):
+        self.start, self.arcs, self.ends = start, arcs, ends
 
     def __matmul__(self, then: Fst) -> Fst:
-        """Composition: what this one writes, ``then`` reads."""
+        """Composition: what this one writes, ``then`` reads; weights add up."""
 
-        def step(state, symbol):
-            a, symbol, kind = self.step(state[0], symbol)
-            b, symbol, other = then.step(state[1], symbol)
-            return (a, b), symbol, other or kind
+        def arcs(state, symbol):
+            for a in self.arcs(state[0], symbol):
+                for b in then.arcs(state[1], a.out):
+                    yield Arc((a.to, b.to), b.out, a.weight + b.weight, a.kind or b.kind)
 
-        return Fst((self.start, then.start), step)
+        return Fst((self.start, then.start), arcs, lambda state: self.ends(state[0]) and then.ends(state[1]))
 
 
-def reported_speech() -> Fst:
-    def step(state, s):
+def reported_speech(quoted: bool = False) -> Fst:
+    def arcs(state, s):
         quoted, after = state
         if s == "Q":
-            return (not quoted, after), s, None
+            return [Arc((not quoted, after), s)]
         if s == "R":
-            return (quoted, True), s, None
-        return state, s + "r" if s in ("I", "T") and (quoted or after) else s, None
+            return [Arc((quoted, True), s)]
+        return [Arc(state, s + "r" if s in ("I", "T") and (quoted or after) else s)]
 
-    return Fst((False, False), step)
+    return Fst((quoted, False), arcs)
 
 
 def negation() -> Fst:
-    def step(left, s):
-        if s == "N":
-            return REACH, s, None
-        return max(0, left - 1), s + "n" if left and s[0] in "IT" and "r" not in s else s, None
+    def arcs(left, s):
+        if s in ("N", "C"):
+            return [Arc(REACH if s == "N" else 0, s)]
+        return [Arc(max(0, left - 1), s + "n" if left and s in ("I", "T") else s)]
 
-    return Fst(0, step)
+    return Fst(0, arcs)
 
 
 def target() -> Fst:
-    """A second person marks the clause from there on; ``clause_symbols`` puts targets that come after first."""
+    """States: no target in the clause so far, one seen, one owed by the rest of the clause."""
+
+    def arcs(state, s):
+        if s == "P":
+            return [Arc("seen", s)]
+        if s == "C":
+            return [] if state == "owed" else [Arc("none", s)]
+        if s not in ("I", "T"):
+            return [Arc(state, s)]
+        if state == "none":
+            return [Arc("none", s), Arc("owed", s + "p")]
+        return [Arc(state, s + "p")]
 
-    def step(seen, s):
-        return seen or s == "P", s + "p" if seen and s in ("I", "T") else s, None
+    return Fst("none", arcs, lambda state: state != "owed")
 
-    return Fst(False, step)
+
+def matching(kinds: dict[str, str]) -> Fst:
+    """One state that makes matches of the given kinds."""
+    return Fst(0, lambda state, s: [Arc(0, s, MARKS[kinds[s]], kinds[s])] if s in kinds else [Arc(0, s)])
 
 
 def insult() -> Fst:
-    kinds = {"I": "plain", "Ip": "targeted", "In": "negated", "Ir": "reported"}
-    return Fst(0, lambda state, s: (state, s, kinds.get(s)))
+    return matching({"I": "plain", "Ip": "targeted", "In": "negated", "Ir": "reported"})
 
 
 def threat() -> Fst:
-    kinds = {"Tp": "threat"}
-    return Fst(0, lambda state, s: (state, s, kinds.get(s)))
+    return matching({"Tp": "threat"})
 
 
-MACHINE = reported_speech() @ negation() @ target() @ insult() @ threat()
+def grammar(quoted: bool = False) -> Fst:
+    return reported_speech(quoted) @ negation() @ target() @ insult() @ threat()
 
 
-class Compiled:
-    """The composed machine with its visited states and arcs tabled."""
+class Reader:
+    """The machine with its visited arcs tabled, and its best path over a sentence."""
 
     def __init__(self, machine: Fst):
-        self.machine, self.arcs = machine, {}
-
-    def matches(self, symbols: list[tuple[str, float]]) -> Counter:
-        state, out = self.machine.start, Counter()
-        for symbol, weight in symbols:
-            arc = self.arcs.get((state, symbol))
-            if arc is None:
-                nxt, _, kind = self.machine.step(state, symbol)
-                arc = self.arcs[(state, symbol)] = (nxt, kind)
-            state = arc[0]
-            if arc[1]:
-                out[arc[1]] += weight
-        return out
+        self.machine, self.known = machine, {}
+
+    def arcs(self, state, symbol: str) -> list[tuple]:
+        found = self.known.get((state, symbol))
+        if found is None:
+            found = self.known[state, symbol] = [(a.to, a.weight, KINDS.index(a.kind) if a.kind else -1) for a in self.machine.arcs(state, symbol)]
+        return found
+
+    def best(self, symbols: Iterable[tuple[str, float]], start=None) -> tuple[float, tuple[float, ...]]:
+        """Weight of the best path, and the weights of its matches' words by kind. Equal paths: the one whose sums are the
+        larger, from the first kind on."""
+        paths = {self.machine.start if start is None else start: (0.0, (0.0,) * len(KINDS))}
+        others = 0
+        for symbol, own in symbols:
+            others = others + 1 if symbol == "x" else 0
+            if others > REACH:
+                continue  # further words change no state
+            on: dict = {}
+            for state, (weight, sums) in paths.items():
+                for to, more, kind in self.arcs(state, symbol):
+                    if kind >= 0:
+                        new = (weight + more + own, (*sums[:kind], sums[kind] + own, *sums[kind + 1 :]))
+                    else:
+                        new = (weight + more, sums)
+                    if to not in on or new > on[to]:
+                        on[to] = new
+            paths = on
+        return max(p for state, p in paths.items() if self.machine.ends(state))
 
 
 # --- model ------------------------------------------------------------------------------------
@@ -148,16 +193,17 @@ class Scorer:
     def __init__(self, model: Model):
         import ahocorasick
 
-        self.model, self.compiled = model, Compiled(MACHINE)
+        self.model = model
+        self.reader = Reader(grammar())
+        self.starts = [grammar(quoted).start for quoted in (False, True)]
         self.fixed = {w: s for s, words in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTING), ("T", THREATS)) for w in words.split()}
+        self.fixed |= dict.fromkeys(QUOTES, "Q") | dict.fromkeys(";:", "C")
         self.automaton = ahocorasick.Automaton()
         for w in [*model.stems, *THREATS.split()]:
             self.automaton.add_word(w, len(w))
         self.automaton.make_automaton()
 
     def symbol(self, word: str) -> tuple[str, float]:
-        if word in QUOTES:
-            return "Q", 0.0
         for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
             if word[:n] in self.model.stems:
                 return "I", self.model.stems[word[:n]]
@@ -166,23 +212,21 @@ class Scorer:
     def features(self, text: str) -> np.ndarray:
         """log(1 + summed weights) by kind."""
         text = text.lower()
-        total: Counter = Counter()
-        done = 0
+        total = np.zeros(len(KINDS))
+        done, marks = 0, 0  # read so far, and the quotation marks of the line up to there
         for end, n in self.automaton.iter(text):
             at = end - n + 1
-            if at < done or (at and (text[at - 1].isalpha())):
-                continue  # in a clause that is read already, or inside a word
-            a = 0
-            for a in (m.end() for m in CLAUSE.finditer(text, max(done, at - 4000), at)):
-                pass
-            a = max(a, done, at - 4000)
-            m = CLAUSE.search(text, end + 1)
-            b = min(m.start() if m else len(text), end + 4000)
-            symbols = [self.symbol(w) for w in WORD.findall(text, a, b)]
-            symbols.sort(key=lambda s: s[0] != "P")  # a target marks its clause wherever it stands
-            total += self.compiled.matches(symbols)
-            done = max(b, end + 1)
-        return np.log1p(np.array([total[k] for k in KINDS]))
+            if at < done or (at and text[at - 1].isalpha()):
+                continue  # in a sentence that is read already, or inside a word
+            a = max(done, *(text.rfind(c, done, at) + 1 for c in ".!?\n"))
+            line = text.rfind("\n", done, a) + 1
+            marks = sum(text.count(q, max(done, line), a) for q in QUOTES) + (0 if line else marks)
+            m = SENTENCE.search(text, end + 1)
+            b = m.start() if m else len(text)
+            total += self.reader.best((self.symbol(w[0]) for w in WORD.finditer(text, a, b)), self.starts[marks % 2])[1]
+            marks += sum(text.count(q, a, b) for q in QUOTES)
+            done = b
+        return np.log1p(total)
 
     def score(self, text: str | None) -> float:
         x = self.features(text) if text else np.zeros(len(KINDS))
@@ -194,15 +238,20 @@ def _words(text: str) -> set[str]:
 
 
 def _unlike(samples: list[tuple[str, int]]) -> list[tuple[set[str], int]]:
-    """Word sets of the texts, near copies (that agree in one of two word minima) once."""
-    seen, out = set(), []
+    """Word sets of the texts, near copies (a Jaccard similarity of 0.8) once. Texts are compared that agree in the two
+    word minima of one of four bands."""
+    bands: dict[tuple, list[set[str]]] = {}
+    out = []
     for text, label in samples:
         words = _words(text)
-        long = [w for w in words if len(w) >= 7]
-        keys = [(label, i, min(long, key=lambda w, i=i: hash_text(w, i))) for i in range(2)] if len(long) >= 8 else []
-        if not any(k in seen for k in keys):
-            out.append((words, label))
-        seen.update(keys)
+        low = [min((hash_text(w, i) for w in words), default=0) for i in range(8)]
+        keys = [(label, i, low[2 * i], low[2 * i + 1]) for i in range(4)]
+        like = (other for k in keys for other in bands.get(k, ()))
+        if words and any(5 * len(words & other) >= 4 * len(words | other) for other in like):
+            continue
+        out.append((words, label))
+        for k in keys:
+            bands.setdefault(k, []).append(words)
     return out
 
 
