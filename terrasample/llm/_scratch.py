@@ -1,17 +1,22 @@
-"""Shared-folder scratch tables, fixed-size bitmaps and small column helpers."""
+"""Shared-folder scratch tables, bitmaps and small column helpers."""
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most bytes of an Arrow batch, but for single rows that have more.
+BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,8 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
     """Keep Arrow batches of long texts small enough for a Python worker."""
-    if int(spark.conf.get(ARROW_ROWS)) > rows:
-        spark.conf.set(ARROW_ROWS, str(rows))
+    for key, most in ((ARROW_ROWS, rows), (ARROW_BYTES, BATCH_BYTES)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 class Scratch:
@@ -45,7 +66,8 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with setting(self.spark, CLEANUP, "true"):  # what a table was made from is not read again
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -54,12 +76,6 @@ class Scratch:
         for table in tables:
             remove(self.spark, table._scratch_path)
 
-    def reclaim(self) -> None:
-        """Let Spark delete the shuffle files of steps whose results are written: its cleaner follows the driver's
-        garbage collector, which on an idle driver may not run for half an hour."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -88,31 +104,41 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-# --- fixed-size bitmaps -------------------------------------------------------------------------
-#: Bits of a bitmap: 2 MiB at any corpus size. A fuller bitmap only lets more through; users of a
-#: bitmap are exact whatever it lets through.
-BITMAP_BITS = 1 << 24
+# --- bitmaps ------------------------------------------------------------------------------------
+#: Bits of a bitmap for a key, least and most bits (64 MiB): what a bitmap broadcasts is bounded. Users of a bitmap are exact
+#: whatever it lets through by chance; beyond ``CAPACITY`` keys, where that would be much, they have another way.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+CAPACITY = MOST_BITS // BITS_PER_KEY
+
+
+@dataclass
+class Bitmap:
+    """Which 64-bit hashes may be in a set, by their top ``width`` bits."""
+
+    width: int
+    bits: np.ndarray
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        cell = hashes.view(np.uint64) >> np.uint64(64 - self.width)
+        return (self.bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the top bits of a column of 64-bit hashes; built by Spark, BITMAP_BITS / 8 bytes at most."""
-    width = BITMAP_BITS.bit_length() - 1
+    def any(self) -> bool:
+        return bool(self.bits.any())
+
+
+def bitmap_of(keys: DataFrame, column: str, count: int) -> Bitmap:
+    """Bitmap of a column of ``count`` 64-bit hashes; built by Spark, MOST_BITS / 8 bytes at most."""
+    width = (min(MOST_BITS, max(LEAST_BITS, count * BITS_PER_KEY)) - 1).bit_length()
     cell = F.shiftrightunsigned(F.col(column), 64 - width).cast("long") + 1
     rows = (
         keys.select(cell.alias("cell"))
         .groupBy(F.expr("bitmap_bucket_number(cell)").alias("bucket"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits"))
-        .collect()
+        .toLocalIterator()
     )
-    out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    out = np.zeros(max(1 << width, 1 << 20) // 8, dtype=np.uint8)
     for r in rows:
         piece = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
         at = (r["bucket"] - 1) * 4096
         out[at : at + len(piece)] = piece[: len(out) - at]
-    return out
-
-
-def bitmap_has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    width = BITMAP_BITS.bit_length() - 1
-    cell = hashes.view(np.uint64) >> np.uint64(64 - width)
-    return (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return Bitmap(width, out)

@@ -3,7 +3,9 @@
 A turn's content is a list of typed parts. A visitor walks them in order: text is escaped and written as it is; image,
 audio and document parts are written as placeholders, a control string with the part's number in the conversation and one
 pad string per expanded token, and recorded as attachments with their reference and token count. Token counts follow the
-part's own measure (image: tiles of pixels, audio: time, document: pages), rounded up.
+part's own measure (image: tiles of pixels, audio: time, document: pages), rounded up, and at least one: measures that are
+missing, negative or not finite count nothing. A part of any other type is written as an ``unknown`` placeholder of one token
+and recorded under its own type.
 
 The template writes each turn as ``<|im_start|>role\\ncontent<|im_end|>\\n``. Control strings inside texts are escaped
 reversibly: between a ``<`` and the ``|`` that follows it a backslash is added, to those that are there, so the text
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasample.llm._scratch import only
+from terrasample.llm._scratch import arrow_batches, only
 
 START, END, PAD = "<|im_start|>", "<|im_end|>", "<|pad|>"
 #: Measure of a part that one token stands for.
@@ -64,10 +66,11 @@ class Visitor:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        method: Callable[[dict], None] | None = getattr(self, f"visit_{kind}", None)
+        method: Callable[[dict], None] | None = getattr(self, f"visit_{kind}", None) if kind.isidentifier() else None
         if method is None:
-            raise ValueError(f"unknown content part '{kind}'")
-        method(part)
+            self._attach("unknown", part, 1, kind)
+        else:
+            method(part)
 
     def visit_text(self, part: dict) -> None:
         self.text.append(part.get("text") or "")
@@ -81,19 +84,23 @@ class Visitor:
         self.text.clear()
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, math.ceil((part.get("width") or 0) * (part.get("height") or 0) / TILE))
+        self._attach("image", part, measure(part.get("width")) * measure(part.get("height")) / TILE)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0.0) / SECONDS_PER_TOKEN))
+        self._attach("audio", part, measure(part.get("seconds")) / SECONDS_PER_TOKEN)
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, (part.get("pages") or 0) * TOKENS_PER_PAGE)
+        self._attach("document", part, measure(part.get("pages")) * TOKENS_PER_PAGE)
 
-    def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        tokens = max(1, tokens)
+    def _attach(self, kind: str, part: dict, tokens: float, recorded: str | None = None) -> None:
+        n = max(1, math.ceil(tokens))
         self._flush()
-        self.out.append(f"<|{kind}|>" + PAD * tokens + f"<|/{kind}|>")
-        self.attachments.append({"type": kind, "ref": part.get("ref") or "", "tokens": tokens})
+        self.out.append(f"<|{kind}|>" + PAD * n + f"<|/{kind}|>")
+        self.attachments.append({"type": recorded or kind, "ref": part.get("ref") or "", "tokens": n})
+
+
+def measure(x: float | None) -> float:
+    return float(x) if x is not None and math.isfinite(x) and x > 0 else 0.0
 
 
 _TURN = "formatted string, from long, to long, attachments array<struct<type:string,ref:string,tokens:int>>"
@@ -124,6 +131,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Content is ``parts_col``, an array of ``PART`` structs, or one text part of ``text_col``.
     """
     only(turns, conv_col, turn_col, role_col, parts_col or text_col)
+    arrow_batches(turns.sparkSession, 1000)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")) if text_col in turns.columns else F.lit("")
     one = F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]))
     parts = F.col(f"`{parts_col}`").cast(f"array<{PART}>") if parts_col else one
@@ -181,6 +189,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """What a reader of the formatted output gets: turns and masked text, as digests."""
+    arrow_batches(chats.sparkSession, 200)
     rows = chats.select(F.col(f"`{conv_col}`").alias("conv"), "formatted", "loss_spans")
     kind = dict(rows.dtypes)["conv"]
     out = rows.mapInArrow(_read_back, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

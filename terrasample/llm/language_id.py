@@ -32,8 +32,11 @@ from terrasample.llm._scratch import arrow_batches, only
 
 #: Bytes of context.
 ORDER = 4
-#: The bounded training sample: bytes in all, shared equally by the languages; longest text; most rows; most languages.
-SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS, SAMPLE_LANGUAGES = 6_000_000, 65_536, 20_000, 256
+#: The bounded training sample: bytes and rows in all, shared equally by the languages; characters of a text that are
+#: learned from; most languages, the largest; (language, byte) pairs in all, so that many languages learn from less each.
+SAMPLE_BYTES, SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_LANGUAGES, SAMPLE_PAIRS = 6_000_000, 20_000, 65_536, 1024, 60_000_000
+#: Rows of each language that are kept whatever its share.
+SAMPLE_LEAST = 8
 #: Bytes scored at a time.
 SLICE = 1 << 20
 
@@ -180,20 +183,26 @@ def fit(samples: list[tuple[str, str]], order: int = ORDER) -> Model:
 
 
 def training_sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts: each language gets an equal share of SAMPLE_BYTES, met by keeping the rows
-    whose hash of id and text falls below the share. Only the sample reaches the driver."""
+    """A bounded sample of labelled texts. Each language by itself gets an equal share of SAMPLE_BYTES and SAMPLE_ROWS: the
+    rows whose hash of id and text is lowest among its own, by a bound that meets the smaller share, but SAMPLE_LEAST rows
+    at least. A long text is learned from by its first SAMPLE_TEXT characters (it is scored whole). Only the sample
+    reaches the driver."""
     rows = only(docs, id_col, lang_col, text_col).toDF("id", "lang", "text").where("lang is not null and text is not null and text <> ''")
-    rows = rows.withColumn("size", F.octet_length("text")).where(F.col("size") <= SAMPLE_TEXT)
-    totals = rows.groupBy("lang").agg(F.sum("size").alias("total")).orderBy(F.desc("total"), "lang").limit(SAMPLE_LANGUAGES).collect()
+    rows = rows.select("lang", F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)).alias("chance"))
+    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("bytes"), "lang").limit(SAMPLE_LANGUAGES).collect()
     if not totals:
         return []
-    share = SAMPLE_BYTES / len(totals)
-    chance: Column = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    keep = F.lit(False)
-    for r in totals:
-        keep |= (F.col("lang") == r["lang"]) & (chance < int(min(1.0, share / r["total"]) * (1 << 30)))
-    picked = rows.where(keep).select("lang", "text", chance.alias("chance")).orderBy("chance", "lang", "text").limit(SAMPLE_ROWS)
-    return [(r["lang"], r["text"]) for r in picked.collect()]
+    per = min(SAMPLE_BYTES, SAMPLE_PAIRS // len(totals)) / len(totals), SAMPLE_ROWS / len(totals)
+    bounds = {r["lang"]: min(1.0, max(min(per[0] / r["bytes"], per[1] / r["n"]), SAMPLE_LEAST / r["n"])) for r in totals}
+    keys = [x for la, share in bounds.items() for x in (F.lit(la), F.lit(int(share * (1 << 40))))]
+    rows = rows.withColumn("text", F.substring("text", 1, max(1024, min(SAMPLE_TEXT, int(per[0])))))
+    picked = rows.where(F.col("chance") < F.create_map(*keys)[F.col("lang")]).select("lang", "text", "chance")
+    found = [(r["lang"], r["chance"], r["text"]) for r in picked.collect()]
+    missing = [la for la in bounds if la not in {f[0] for f in found}]
+    if missing:  # few rows, none of them below the bound
+        lowest = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct("chance", "text")).alias("x"))
+        found += [(r["lang"], r["x"]["chance"], r["x"]["text"]) for r in lowest.collect()]
+    return [(la, text) for la, _, text in sorted(found)]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

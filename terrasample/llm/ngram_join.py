@@ -13,14 +13,19 @@ Jaccard similarity is ``percent`` / 100 or more. Any partner of a set of n token
   a set in proportion to its size.
 
 Frequent are tokens that more than ``FREQUENT`` different sets have in their plain prefix (the t + 1 first by hash), and
-tokens that more than that many texts come to when they put rare ones in their place (texts of which ``MOSTLY`` of the
-plain prefix is frequent, copies of something, count all their tokens). The classes are kept in a bitmap of fixed
-size: a cell that holds a frequent token by chance makes others count as frequent, which costs combinations but no links.
+tokens that more than that many sets come to when they put rare ones in their place (sets of which ``MOSTLY`` of the
+plain prefix is frequent, copies of something, count all their tokens). The frequent tokens are kept in a bitmap of a
+size that follows from their number; where they would be more than a bitmap's capacity, the number of sets from which a
+token counts as frequent is doubled until they are not. A cell that holds a frequent token by chance makes others
+count as frequent. Classes only decide how a set is indexed: they cost candidates but no links.
 
 Equal sets are one node. Within the sets under a signature not all pairs are compared: first all with one pivot, the set
 with the fewest rare tokens; linked sets then are one component, and only pairs from different components that the
 sizes and rare tokens leave a chance are compared after that. Every comparison is an exact intersection. So no link that
 joins two components is lost, while a group of thousands of copies costs about as many comparisons as it has members.
+Sets under a very common signature are compared in blocks of ``SIDE`` sets, so no task has them all.
+
+Every text is read once: its tokens are written to a scratch table, and all later steps read that.
 
 Links are counted, where that is asked for, after the components are known: both ends of a link are in one component, so
 all pairs of different sets within each component are compared, exactly. Large components are split into blocks of about
@@ -41,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.llm._graph import components
-from terrasample.llm._scratch import BITMAP_BITS, Scratch, arrow_batches, bitmap_has, bitmap_of, only
+from terrasample.llm._scratch import CAPACITY, Bitmap, Scratch, arrow_batches, bitmap_of, only
 from terrasample.llm._text import mix64, shingle_hashes
 
 #: Sets that may share a token before it counts as frequent.
@@ -50,6 +55,8 @@ FREQUENT = 16
 PER_SUBCLASS = 8
 #: Part of the plain prefix.
 MOSTLY = 0.25
+#: Sets of a block under a signature whose sets are compared with each other.
+SIDE = 256
 #: Sets, and their tokens, of a block of a component in which links are counted.
 BLOCK = 256
 BLOCK_TOKENS = 1 << 18
@@ -112,63 +119,92 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _int64(flat))
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    h, at = shingle_hashes(column, k)
-    for i in range(len(at) - 1):
-        yield np.unique(h[at[i] : at[i + 1]])
+def _stored(column: pa.Array) -> Iterator[np.ndarray]:
+    """The token sets of a column of lists."""
+    flat, at = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.offsets)
+    at = at - at[0]
+    for i in range(len(column)):
+        yield flat[at[i] : at[i + 1]]
 
 
-def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``id, n, node, prefix`` of each document; a set without tokens has no node."""
+def token_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``id, h, t, n, node, prefix, tokens`` of each document, ``h`` and ``t`` the hashes of its id and text; a set without
+    tokens has no node."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, prefix = [], [], []
-            for s in _sets(batch.column(1), k):
-                n.append(len(s))
-                node.append(int(node_of(s).view(np.int64)) if len(s) else None)
-                prefix.append(s[: slack(len(s), percent) + 1] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], names=["id", "n", "node", "prefix"])
-
-    return docs.mapInArrow(run, f"id {kind}, n long, node long, prefix array<long>")
-
-
-def whole_sets(docs: DataFrame, k: int, ids: np.ndarray) -> DataFrame:
-    """``node, tokens`` of the documents whose id's hash is in the bitmap ``ids``. A node may come twice."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+            hashes, at = shingle_hashes(batch.column(3), k)
+            sets = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            node = pa.array([int(node_of(s).view(np.int64)) if len(s) else None for s in sets], pa.int64())
+            prefix = _lists([s[: slack(len(s), percent) + 1] if len(s) else s for s in sets])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), node, prefix, _lists(sets)], names=["id", "h", "t", "n", "node", "prefix", "tokens"])
+
+    rows = docs.select("id", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    return rows.mapInArrow(run, f"id {kind}, h long, t long, n long, node long, prefix array<long>, tokens array<long>")
+
+
+def _of(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, tokens`` of the sets in ``nodes`` (with ``least``, the least id of the rows that have the set). Rows are picked
+    where they lie, by a bitmap of the ids, which lets some others through; beyond its capacity by a join."""
+    wanted = nodes.select(F.xxhash64("least").alias("wanted"))
+    count = nodes.count()
+    if count > CAPACITY:
+        return rows.join(wanted.distinct(), F.col("h") == F.col("wanted"), "left_semi").select("node", "tokens")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "wanted", count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(bitmap_has(shared.value, np.asarray(batch.column(1)))))
-            tokens = [s for s in _sets(batch.column(0), k) if len(s)]
-            yield pa.RecordBatch.from_arrays([_int64(np.array([node_of(s) for s in tokens], dtype=np.uint64)), _lists(tokens)], names=["node", "tokens"])
+            yield batch.filter(pa.array(shared.value.has(np.asarray(batch.column(0))))).select([1, 2])
+
+    return rows.where("node is not null").select("h", "node", "tokens").mapInArrow(run, "node long, tokens array<long>")
+
 
-    return docs.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "node long, tokens array<long>")
+def _frequent(counts: DataFrame) -> tuple[Bitmap, int]:
+    """Bitmap of the tokens that more than a limit of sets have, and that limit: FREQUENT, or what keeps to the capacity."""
+    doublings = F.floor(F.log2(F.col("count") / FREQUENT)).cast("int")
+    sizes = {r["d"]: r["count"] for r in counts.where(F.col("count") > FREQUENT).groupBy(doublings.alias("d")).count().collect()}
+    low = 0
+    while sum(n for d, n in sizes.items() if d >= low) > CAPACITY:
+        low += 1
+    limit = FREQUENT << low if low else FREQUENT + 1
+    return bitmap_of(counts.where(F.col("count") >= limit), "token", sum(n for d, n in sizes.items() if d >= low)), limit
 
 
-def _instead(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def _instead(hot: DataFrame, percent: int, frequent: Bitmap) -> DataFrame:
     """``token`` rows: what sets with frequent tokens in their plain prefix would be indexed under besides it."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = hot.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0, dtype=np.uint64)]
-            for s in _sets(batch.column(1), k):
+            for s in _stored(batch.column(0)):
                 need = slack(len(s), percent) + 1
-                flags = bitmap_has(shared.value, s[:need]) if len(s) else np.zeros(0, dtype=bool)
+                flags = shared.value.has(s[:need])
                 if not flags.any():
                     continue
                 rest = s[need:]
                 if flags.mean() < MOSTLY:
-                    rest = rest[: int(np.searchsorted(np.cumsum(~bitmap_has(shared.value, rest)), flags.sum())) + 1]
+                    rest = rest[: int(np.searchsorted(np.cumsum(~shared.value.has(rest)), flags.sum())) + 1]
                 out.append(rest)
             yield pa.RecordBatch.from_arrays([_int64(np.concatenate(out))], names=["token"])
 
-    return docs.mapInArrow(run, "token long")
+    return hot.select("tokens").mapInArrow(run, "token long")
+
+
+def _hot(sets: DataFrame, frequent: Bitmap) -> DataFrame:
+    """``node, least`` of the sets that have a frequent token in their plain prefix."""
+    shared, kind = sets.sparkSession.sparkContext.broadcast(frequent), dict(sets.dtypes)["least"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.has(s).any() for s in _stored(batch.column(2))], pa.bool_())).select([0, 1])
+
+    return sets.select("node", "least", "prefix").mapInArrow(run, f"node long, least {kind}")
 
 
-def _singles(sets: DataFrame, frequent: np.ndarray, common: np.ndarray) -> DataFrame:
+def _singles(sets: DataFrame, frequent: Bitmap, common: Bitmap) -> DataFrame:
     """Signature rows of the sets whose plain prefix has no frequent token: those tokens that another set may have."""
     both = sets.sparkSession.sparkContext.broadcast((frequent, common))
 
@@ -180,8 +216,8 @@ def _singles(sets: DataFrame, frequent: np.ndarray, common: np.ndarray) -> DataF
             count = np.diff(np.asarray(lists.offsets))
             row = np.repeat(np.arange(len(count)), count)
             hot = np.zeros(len(count), dtype=bool)
-            hot[row[bitmap_has(frequent, flat)]] = True
-            take = ~hot[row] & bitmap_has(common, flat)
+            hot[row[frequent.has(flat)]] = True
+            take = ~hot[row] & common.has(flat)
             row = row[take]
             node, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             yield pa.RecordBatch.from_arrays([_int64(flat[take]), pa.array(node[row]), pa.array(n[row]), pa.array(n[row]), pa.array(np.zeros(len(row), dtype=bool))], names=["sig", "node", "n", "rare", "pair"])
@@ -189,36 +225,32 @@ def _singles(sets: DataFrame, frequent: np.ndarray, common: np.ndarray) -> DataF
     return sets.select("node", "n", "prefix").mapInArrow(run, "sig long, node long, n long, rare long, pair boolean")
 
 
-def _combined(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, ids: np.ndarray) -> DataFrame:
+def _combined(hot: DataFrame, percent: int, frequent: Bitmap) -> DataFrame:
     """The sets with frequent tokens in their plain prefix: ``node, n, rare``, the signatures ``one`` and ``two``, and how many
-    of ``one`` are in the plain prefix. Documents whose id's hash is not in the bitmap ``ids``, copies, are left out; a
-    copy that is in it by chance repeats its node's rows, which changes nothing."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, ids))
+    of ``one`` are in the plain prefix. A set that comes twice repeats its rows, which changes nothing."""
+    shared = hot.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frequent, ids = shared.value
-            batch = batch.filter(pa.array(bitmap_has(ids, np.asarray(batch.column(1)))))
-            nodes, numbers, ones, twos = [], [], [], []
-            for s in _sets(batch.column(0), k):
+            keep, numbers, ones, twos = [], [], [], []
+            for i, s in enumerate(_stored(batch.column(1))):
                 plain = s[: slack(len(s), percent) + 1]
-                if not len(s) or not bitmap_has(frequent, plain).any():
+                if not shared.value.has(plain).any():
                     continue
-                flags = bitmap_has(frequent, s)
+                flags = shared.value.has(s)
                 one, two = signatures(s, flags, percent)
-                nodes.append(node_of(s))
+                keep.append(i)
                 numbers.append((len(s), int((~flags).sum()), int((one <= plain[-1]).sum())))
                 ones.append(one)
                 twos.append(two)
             numbers = np.array(numbers, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays(
-                [_int64(np.array(nodes, dtype=np.uint64)), *[pa.array(numbers[:, i]) for i in range(3)], _lists(ones), _lists(twos)], names=["node", "n", "rare", "plain", "one", "two"]
-            )
+            node = batch.column(0).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([node, *[pa.array(numbers[:, i]) for i in range(3)], _lists(ones), _lists(twos)], names=["node", "n", "rare", "plain", "one", "two"])
 
-    return docs.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "node long, n long, rare long, plain long, one array<long>, two array<long>")
+    return hot.select("node", "tokens").mapInArrow(run, "node long, n long, rare long, plain long, one array<long>, two array<long>")
 
 
-def _signed(sets: DataFrame, common: np.ndarray) -> DataFrame:
+def _signed(sets: DataFrame, common: Bitmap) -> DataFrame:
     """Signature rows of ``_combined`` sets, without the single tokens that no other set has."""
     shared = sets.sparkSession.sparkContext.broadcast(common)
 
@@ -229,7 +261,7 @@ def _signed(sets: DataFrame, common: np.ndarray) -> DataFrame:
                 flat = np.asarray(batch.column(at).flatten()).view(np.uint64)
                 row = np.repeat(np.arange(len(node)), np.diff(np.asarray(batch.column(at).offsets)))
                 if not pair:
-                    take = bitmap_has(shared.value, flat)
+                    take = shared.value.has(flat)
                     flat, row = flat[take], row[take]
                 yield pa.RecordBatch.from_arrays(
                     [_int64(flat), pa.array(node[row]), pa.array(n[row]), pa.array(rare[row]), pa.array(np.full(len(row), pair))], names=["sig", "node", "n", "rare", "pair"]
@@ -254,20 +286,17 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(most >= _enough(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs that link, by exact intersection; only the texts of pairs that are still possible are read for it."""
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs that link, by exact intersection of the sets of those that are still possible."""
     pairs = scratch.table(_possible(pairs, sets, percent))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = bitmap_of(sets.join(ends, "node", "left_semi").select(F.xxhash64("least").alias("h")), "h")
-    tokens = scratch.table(whole_sets(docs, k, ids))
-    scratch.reclaim()
+    tokens = scratch.table(_of(rows, scratch.table(sets.join(ends, "node", "left_semi").select("node", "least")), scratch))
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     links = scratch.table(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b").distinct())
-    scratch.drop(tokens)
-    scratch.reclaim()
+    scratch.drop(tokens, pairs)
     return links
 
 
@@ -335,84 +364,117 @@ def _linked_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "node long, added long")
 
 
-def _counted(found: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def _counted(found: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``node, added``: rows of other sets that a set links with, for those with any."""
     members = found.join(sets.select("node", "least", "n", "copies"), "node")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int")
     members = members.join(members.groupBy(F.col("component").alias("c")).agg(blocks.alias("blocks")), F.col("component") == F.col("c"))
     members = scratch.table(members.select("node", "least", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")))
-    ids = bitmap_of(members.select(F.xxhash64("least").alias("h")), "h")
-    spread = whole_sets(docs, k, ids).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = _of(rows, members, scratch).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "copies", "own", "tokens")
     spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     out = scratch.table(_linked_in_blocks(spread, percent).groupBy("node").agg(F.sum("added").alias("added")))
     scratch.drop(members)
-    scratch.reclaim()
     return out
 
 
+def _apart(rest: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the sets under a signature that lie in different components and may link. Sets of a signature are dealt into
+    blocks of about SIDE, and every pair of blocks is joined by itself."""
+    sizes = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(SIDE)).cast("int").alias("g"))
+    dealt = rest.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("g", "o")
+    other = dealt.select("sig", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "rare", "component", "own")])
+    must = _enough(F.col("n"), F.col("n2"), percent)
+    chance = ~F.col("pair") | ((F.col("n") - F.col("rare") >= must) & (F.col("n2") - F.col("rare2") >= must))
+    sizes_fit = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    # a block with itself: each pair once; two blocks: the first's sets with the second's
+    once = F.when(F.col("i") == F.col("j"), F.col("node") < F.col("node2")).otherwise((F.col("own") == F.col("i")) & (F.col("own2") == F.col("j")))
+    both = dealt.join(other, ["sig", "i", "j"]).where(once & (F.col("component") != F.col("component2")) & sizes_fit & chance)
+    return both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links. With
     ``count`` also ``n_links``, the other rows that the row links with, those with an equal set among them."""
+    rows, sets, found, links = _linked(docs, k, percent, id_col, text_col, count)
+    labels = found.join(sets.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("of_component"))
+    labels = found.join(labels, "component").select(F.col("node").alias("v"), "of_component")
+    ids = sets.select("node", "least").join(labels, F.col("node") == F.col("v"), "left").select("node", F.coalesce("of_component", "least").alias("component_id"))
+    out = rows.select("id", "n", "node").join(ids, "node", "left")
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    if count:
+        copies = sets.select("node", "copies").join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"))
+        out = out.join(copies, "node", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns)
+
+
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, count: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Rows, different sets, the components of linked sets (``node, component``), and with ``count`` their links."""
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
     scratch = Scratch(spark, "ngram")
     docs = only(docs, id_col, text_col).toDF("id", "text")
 
-    rows = scratch.table(prefixes(docs, k, percent))
+    rows = scratch.table(token_sets(docs, k, percent))
     sets = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     sets = scratch.table(sets)
-    scratch.reclaim()
 
     # token classes
     counts = scratch.table(sets.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1"))
-    common = bitmap_of(counts, "token")
-    frequent = bitmap_of(counts.where(F.col("count") > FREQUENT), "token")
-    signed = _singles(sets, frequent, common)
+    known = counts.count()
+    common = bitmap_of(counts, "token", known)
+    frequent, limit = _frequent(counts)
     if frequent.any():
-        more = _instead(docs, k, percent, frequent).groupBy("token").count().where(F.col("count") > FREQUENT)
-        frequent = frequent | bitmap_of(more, "token")
-        hot = scratch.table(_combined(docs, k, percent, frequent, bitmap_of(sets.select(F.xxhash64("least").alias("h")), "h")))
-        beyond = F.slice("one", F.col("plain").cast("int") + 1, F.size("one"))
-        common = common | bitmap_of(hot.select(F.explode(beyond).alias("token")), "token")
-        signed = scratch.table(_singles(sets, frequent, common).unionByName(_signed(hot, common)))
-        scratch.drop(hot)
+        hot = scratch.table(_of(rows, scratch.table(_hot(sets, frequent)), scratch))
+        more = scratch.table(_instead(hot, percent, frequent).groupBy("token").count().where(F.col("count") >= limit))
+        extra = more.count()
+        if extra:  # of both kinds together, in one bitmap
+            both = counts.where(F.col("count") >= limit).select("token").unionAll(more.select("token"))
+            frequent = bitmap_of(both, "token", both.count())
+            hot_now = scratch.table(_of(rows, scratch.table(_hot(sets, frequent)), scratch))
+            scratch.drop(hot)
+            hot = hot_now
+        cold = _singles(sets, frequent, common)
+        combined = scratch.table(_combined(hot, percent, frequent))
+        scratch.drop(hot, more)
+        beyond = combined.select(F.explode(F.slice("one", F.col("plain").cast("int") + 1, F.size("one"))).alias("token"))
+        also = counts.select("token").unionAll(beyond)
+        common = bitmap_of(also, "token", also.count())
+        signed = scratch.table(cold.unionByName(_signed(combined, common)))
+        scratch.drop(combined)
     else:
-        signed = scratch.table(signed)
+        signed = scratch.table(_singles(sets, frequent, common))
     scratch.drop(counts)
-    scratch.reclaim()
 
     # all sets under a signature against its pivot
     pivots = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.expr("min_by(node, rare * 2147483648 + n)").alias("pivot"), F.min("n").alias("least_n"))
     pivots = pivots.where("m > 1").drop("m")
     shared = scratch.table(signed.join(pivots, "sig"))
+    scratch.drop(signed)
     size_ok = F.col("n") * 100 >= F.col("n2") * percent
     with_n = shared.where("node <> pivot").select("node", "n", "pivot").distinct()
     pivot_n = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"))
     first = with_n.join(pivot_n, "pivot").where(size_ok & (F.col("n2") * 100 >= F.col("n") * percent))
     first = scratch.table(first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    scratch.drop(signed)
-    scratch.reclaim()
-    links = _verified(first, docs, sets, k, percent, scratch)
+    links = _verified(first, rows, sets, percent, scratch)
     found = components(links, scratch)
 
     # the rest: pairs from different components that can still reach the similarity
     placed = shared.join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("component", F.coalesce("component", "node")).drop("v", "pivot")
     placed = scratch.table(placed)
+    scratch.drop(shared)
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
     reach = _enough(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)), percent)
-    rest = placed.join(mixed, "sig").where(~F.col("pair") | (F.col("n") - F.col("rare") >= reach)).select("sig", "node", "n", "rare", "pair", "component")
+    rest = placed.join(mixed, "sig").where(~F.col("pair") | (F.col("n") - F.col("rare") >= reach)).select("sig", "node", "n", "rare", "pair", "component").distinct()
     rest = scratch.table(rest)
-    scratch.drop(placed, shared)
-    other = rest.select("sig", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "rare", "component")])
-    must = _enough(F.col("n"), F.col("n2"), percent)
-    chance = ~F.col("pair") | ((F.col("n") - F.col("rare") >= must) & (F.col("n2") - F.col("rare2") >= must))
-    second = rest.join(other, "sig").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & size_ok & (F.col("n2") * 100 >= F.col("n") * percent) & chance)
-    second = second.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.table(second)
+    scratch.drop(placed)
+    second = scratch.table(_apart(rest, percent).join(first, ["a", "b"], "left_anti"))
     more = None
     if second.limit(1).count():
-        more = _verified(second, docs, sets, k, percent, scratch)
+        more = _verified(second, rows, sets, percent, scratch)
     if more is not None and more.limit(1).count():
         old = found.select(F.col("node").alias("v"), F.col("component").alias("c"))
         near = more.join(old, F.col("a") == F.col("v"), "left").select(F.coalesce("c", "a").alias("a"), "b")
@@ -422,40 +484,37 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         loose = ends.join(old, F.col("node") == F.col("v"), "left_anti").select("node", F.col("node").alias("component"))
         found = found.unionByName(loose).join(top, F.col("component") == F.col("t"), "left").select("node", F.coalesce("top", "component").alias("component"))
         found = scratch.table(found)
+    scratch.drop(first, rest, second)
+    return rows, sets, found, _counted(found, rows, sets, percent, scratch) if count else None
 
-    if count:
-        scratch.drop(first, rest, second)
-        links = _counted(found, docs, sets, k, percent, scratch)
 
-    labels = found.join(sets.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("of_component"))
-    labels = found.join(labels, "component").select(F.col("node").alias("v"), "of_component")
-    ids = sets.select("node", "least").join(labels, F.col("node") == F.col("v"), "left").select("node", F.coalesce("of_component", "least").alias("component_id"))
-    scratch.reclaim()
-    out = rows.select("id", "n", "node").join(ids, "node", "left")
-    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
-    if count:
-        copies = sets.select("node", "copies").join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"))
-        out = out.join(copies, "node", "left")
-        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.select(*columns)
-
-
-assert BITMAP_BITS % 32768 == 0  # whole buckets
-
-#: Most ids broadcast to filter texts where they lie; beyond it ids and texts are joined by a shuffle.
+#: Most rows of ids broadcast to filter texts where they lie; beyond it ids and texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; of rows that share id and text one."""
+    """``docs`` with one document of each component, the one with the smallest id (a null id is larger than any, and of equal
+    ids the text decides); of rows that share id and text one. A row is told by id and text, so rows that share an id
+    with another text go or stay by themselves."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    found = scratch.table(link(docs, k, percent, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), "component_id"))
-    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
+    rows, _, found, _ = _linked(docs, k, percent, id_col, text_col, False)
+    group = found.select(F.col("node").alias("v"), "component")
+    told = rows.select("id", "t", "node").join(group, F.col("node") == F.col("v"), "left").select("id", "t", F.coalesce("component", "node").alias("group"))
+    told = scratch.table(told)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("t").alias("t")))
+    kept = told.where("group is not null").groupBy(F.col("group").alias("g")).agg(first.alias("kept"))
+    gone = told.join(kept, F.col("group") == F.col("g")).where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("t") == F.col("kept.t"))))
+    gone = scratch.table(gone.select(F.col("id").alias("gone_id"), F.col("t").alias("gone_t")).distinct())
+    text_hash = F.xxhash64(F.col(f"`{text_col}`"))
+
+    def same(other: DataFrame) -> Column:
+        return docs[f"`{id_col}`"].eqNullSafe(other["gone_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == other["gone_t"])
+
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == F.col("gone"), "left_anti")
-    twice = scratch.table(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice")))
+    out = docs.join(F.broadcast(gone) if few else gone, same(gone), "left_anti")
+    twice = scratch.table(told.groupBy("id", "t").count().where("count > 1").select(F.col("id").alias("twice_id"), F.col("t").alias("twice_t")))
     if twice.limit(1).count():
-        same = F.col(f"`{id_col}`").eqNullSafe(F.col("twice"))
-        repeated = out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col])
-        out = out.join(twice, same, "left_anti").unionByName(repeated)
+        again = F.col(f"`{id_col}`").eqNullSafe(F.col("twice_id")) & (text_hash == F.col("twice_t"))
+        repeated = out.join(twice, again, "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(twice, again, "left_anti").unionByName(repeated)
     return out

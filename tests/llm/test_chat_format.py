@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,5 +36,12 @@ def test_parts(spark):
     assert [(a.type, a.ref, a.tokens) for a in r.attachments] == [("image", "a.png", 2), ("audio", "b.wav", 3), ("document", "c.pdf", 512)]
     assert r.formatted.count(C.PAD) == 517 and r.formatted.index("<|image|>") < r.formatted.index("<|audio|>") < r.formatted.index("done")
     assert len(C.parse(r.formatted)) == 1 and C.parse(r.formatted)[0][1].startswith("see <|im_end|> ")
-    with pytest.raises(ValueError, match="unknown"):
-        C.Visitor().visit({"type": "smell"})
+
+
+def test_unknown_parts_and_measures_that_are_no_numbers(spark):
+    none = {"text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+    parts = [{"type": "smell", **none, "ref": "x"}, {"type": "audio", **none, "seconds": float("nan")}, {"type": "image", **none, "width": -5, "height": 900_000}, {"type": None, **none, "text": "t"}, {"type": "no type", **none}]
+    df = spark.createDataFrame([(7, 0, "user", parts), (8, 0, "user", None)], f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    r = {x.conv_id: x for x in C.format_chats(df, parts_col="parts").collect()}
+    assert [(a.type, a.ref, a.tokens) for a in r[7].attachments] == [("smell", "x", 1), ("audio", "", 1), ("image", "", 1), ("no type", "", 1)]
+    assert r[7].formatted.count("<|unknown|>") == 2 and C.parse(r[8].formatted) == [("user", "")]

@@ -59,3 +59,14 @@ def test_held_out_accuracy(spark):
     model = L.fit(L.training_sample(docs.where(~held)))
     rows = L.identify(docs.where(held), model).collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+
+
+def test_sample_is_fair_to_small_languages(spark):
+    big = spark.range(30_000).selectExpr("id", "'big' AS lang", "concat('many words here ', id) AS text")
+    small = spark.range(3000).selectExpr("id", "'small' AS lang", "concat('weinig woorden ', id) AS text")
+    long = spark.range(3).selectExpr("id", "'long' AS lang", "concat(repeat('langue ', 20000), id) AS text")
+    got = Counter(la for la, _ in L.training_sample(big.union(small).union(long), id_col="id"))
+    assert got["small"] == 3000 and got["long"] == 3 and 6000 < got["big"] < 7400
+    many = spark.range(4000).selectExpr("id", "concat('l', id % 400) AS lang", "concat(repeat('ab ', 500), id) AS text")
+    found = L.training_sample(many, id_col="id")
+    assert len({la for la, _ in found}) == 400 and sum(len(t) for _, t in found) < 10_000_000

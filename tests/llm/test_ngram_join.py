@@ -106,4 +106,21 @@ def test_edges(spark):
     assert sorted(str(r.component_id) for r in got) == ["1", "1", "1", "1", "3", "None"]
     assert N.link(df.limit(0)).count() == 0
     kept = N.deduplicate(df).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None"]
+
+
+def test_rows_that_share_an_id_go_by_themselves(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, near), (5, near + " more"), (5, "an unrelated text with words of its own"), (None, near), (None, "x y z"), (7, None), (7, None), (8, "")], "doc_id long, text string")
+    kept = sorted(str((r.doc_id, r.text)) for r in N.deduplicate(df).collect())
+    assert kept == sorted(str(x) for x in [(1, near), (5, "an unrelated text with words of its own"), (None, "x y z"), (7, None), (8, "")])
+
+
+def test_blocks_and_limits_change_nothing(spark, rows, monkeypatch):
+    """Small blocks, few frequent tokens, and joins in place of bitmaps give the same components."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(rows, 5, 80)
+    monkeypatch.setattr(N, "SIDE", 3)
+    assert sorted(tuple(r) for r in N.link(df, 5, 80).collect()) == want
+    monkeypatch.setattr(N, "CAPACITY", 5)
+    assert sorted(tuple(r) for r in N.link(df, 5, 80).collect()) == want
