@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -91,24 +92,54 @@ def size_band(n: Column) -> Column:
     return F.when(n <= 40, "n <= 40").when(n <= 80, "40 < n <= 80").otherwise("n > 80")
 
 
-def moran_i(frame: DataFrame, value: str, coords: tuple[str, str] = ("x", "y"), k: int = 8, cell: float = 1.0) -> DataFrame:
-    """Moran's I with the k nearest neighbours of each unit, by (distance, unit).
+def nearest_pairs(rows: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+    """``unit, u2, place`` of the k nearest others of each of ``unit, a, b`` rows, by (distance, unit).
 
-    Candidates come from the buckets of side ``cell`` around a unit's own, so the join is on buckets; ``cell`` must be wide
-    enough that the nine buckets hold the k nearest.
+    Candidates of a unit are those in its own and the eight neighbouring buckets of side ``cell``. Whatever lies beyond
+    them is farther away than the nearest edge of that block, so a unit whose k-th candidate is within that edge is
+    settled; the others go on with buckets twice as wide, until their block holds all units. A round joins only units that
+    are not settled.
     """
+    box = rows.agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.count(F.lit(1)).alias("n")).first()
+    if not box["n"]:
+        return rows.select("unit", F.col("unit").alias("u2"), F.lit(0).alias("place"))
+    wide, high = box["a1"] - box["a0"], box["b1"] - box["b0"]
+    area = wide * high if wide > 0 and high > 0 else max(wide, high) ** 2 / box["n"]
+    cell = float(cell or max(math.sqrt(area * (k + 1) / box["n"]), max(wide, high) / 4096, 1e-12))
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    left, done = rows.select("unit", "a", "b"), None
+    while True:
+        whole = cell >= max(wide, high)
+        bucket = lambda c, low, cell=cell: F.floor((F.col(c) - F.lit(float(low))) / cell).cast("long")
+        right = rows.select(F.col("unit").alias("u2"), F.col("a").alias("a2"), F.col("b").alias("b2"), bucket("a", box["a0"]).alias("i"), bucket("b", box["b0"]).alias("j"))
+        asked = left.withColumn("i0", bucket("a", box["a0"])).withColumn("j0", bucket("b", box["b0"]))
+        spread = asked.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).withColumn("i", F.col("i0") + F.col("di")).withColumn("j", F.col("j0") + F.col("dj"))
+        pairs = spread.join(right, ["i", "j"]).where("unit <> u2")
+        d = (F.col("a") - F.col("a2")) * (F.col("a") - F.col("a2")) + (F.col("b") - F.col("b2")) * (F.col("b") - F.col("b2"))
+        pairs = pairs.select("unit", "u2", d.alias("d")).withColumn("place", F.row_number().over(W.partitionBy("unit").orderBy("d", "u2"))).where(F.col("place") <= k)
+        x, y = F.col("a") - F.lit(float(box["a0"])) - F.col("i0") * cell, F.col("b") - F.lit(float(box["b0"])) - F.col("j0") * cell
+        edge = F.least(x, cell - x, y, cell - y) + cell
+        far = pairs.where(F.col("place") == k).select(F.col("unit").alias("v"), F.col("d").alias("far"))
+        told = asked.join(far, F.col("unit") == F.col("v"), "left").select("unit", "a", "b", (F.lit(whole) | F.coalesce(F.col("far") < edge * edge * (1 - 1e-9), F.lit(False))).alias("settled"))
+        told = told.persist()
+        good = pairs.join(told.where("settled").select("unit"), "unit", "left_semi").select("unit", "u2", "place")
+        done = good if done is None else done.unionByName(good)
+        left = told.where(~F.col("settled")).drop("settled")
+        if whole or not left.limit(1).count():
+            return done
+        cell *= 2
+
+
+def moran_i(frame: DataFrame, value: str, coords: tuple[str, str] = ("x", "y"), k: int = 8, cell: float | None = None) -> DataFrame:
+    """Moran's I with the k nearest neighbours of each unit, by (distance, unit); ``n`` is the number of units that have
+    any. ``cell`` is only where the search starts, see ``nearest_pairs``."""
     a, b = coords
     rows = frame.select("unit", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(value).cast("double").alias("v"))
-    mean = rows.agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("N"))
+    mean = rows.agg(F.avg("v").alias("m"))
     rows = rows.crossJoin(F.broadcast(mean)).withColumn("e", F.col("v") - F.col("m"))
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = rows.withColumn("i", F.floor(F.col("a") / cell)).withColumn("j", F.floor(F.col("b") / cell))
-    right = left.select(F.col("unit").alias("u2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("e").alias("e2"), "i", "j")
-    right = right.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).select("u2", "a2", "b2", "e2", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    pairs = left.join(right, ["i", "j"]).where("unit <> u2")
-    d = (F.col("a") - F.col("a2")) * (F.col("a") - F.col("a2")) + (F.col("b") - F.col("b2")) * (F.col("b") - F.col("b2"))
-    place = F.row_number().over(W.partitionBy("unit").orderBy("d", "u2"))
-    lag = pairs.withColumn("d", d).withColumn("r", place).where(F.col("r") <= k).groupBy("unit").agg(F.avg("e2").alias("lag"), F.first("e").alias("e"))
+    pairs = nearest_pairs(rows, k, cell)
+    lag = pairs.join(rows.select(F.col("unit").alias("u2"), F.col("e").alias("e2")), "u2").groupBy("unit").agg(F.avg("e2").alias("lag"))
+    lag = lag.join(rows.select("unit", "e"), "unit")
     return lag.agg((F.sum(F.col("e") * F.col("lag")) / F.sum(F.col("e") * F.col("e"))).alias("moran_i"), F.count(F.lit(1)).alias("n"))
 
 
@@ -165,7 +196,7 @@ def average_cost_loop(start: float, allocate, average, rounds: int = 20, toleran
 
 def wide(df: DataFrame, keys: Sequence[str], column: str, value: str, levels: Sequence[str]) -> DataFrame:
     """A column for each of the known ``levels``; naming them spares a pass over the data."""
-    return df.groupBy(*keys).pivot(column, list(levels)).agg(F.first(value))
+    return df.groupBy(*keys).pivot(column, list(levels)).agg(F.min(value))
 
 
 def long(df: DataFrame, keys: Sequence[str], values: Sequence[str], column: str = "name", value: str = "value") -> DataFrame:

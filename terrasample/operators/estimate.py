@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +66,9 @@ def ht_variance(sample: Sample, z: Column, total: Column | None = None, neighbou
         parts = each.agg(F.avg("estimate").alias("own"), (F.var_samp("estimate") / d.replicates).alias("variance"), F.lit("replicates").alias("variance_method"))
         df = F.lit(d.replicates - 1)
     else:
-        least = rows.groupBy("_s").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"))
-        no_rows(least.where("n < 2"), "strata with fewer than two sampled units have no variance", "_s")
+        lone = [k for k, n in d.n.items() if n < 2]  # sizes are the design's: no pass over the frame
+        if lone:
+            raise ValueError(f"strata with fewer than two sampled units have no variance: {', '.join(lone[:5])}")
         if d.method == "srs":
             by = rows.groupBy("_s").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"), F.count(F.lit(1)).alias("n_frame"), F.var_samp(zs).alias("s2"))
             parts = by.agg(F.sum(srs_variance(F.col("n"), F.col("n_frame"), F.col("s2"))).alias("variance"))
@@ -91,33 +93,43 @@ def design_variance(sample: Sample, y: str, neighbours: int = 3) -> DataFrame:
 
 
 def ratio_estimator(sample: Sample, y: str, x: str, x_total: float | None = None) -> DataFrame:
-    """Total of ``y`` by its ratio to ``x``, of which the frame's total is known."""
+    """Total of ``y`` by its ratio to ``x``, of which the frame's total is known. All its variances are quadratic forms in
+    one covariance matrix of the two totals."""
     requires(sample.df, [y, x], "the sample")
-    sums = sample.df.agg(
-        F.sum(F.when(F.col("sampled"), F.col(y) / F.col("pi"))).alias("y"), F.sum(F.when(F.col("sampled"), F.col(x) / F.col("pi"))).alias("x"),
-        F.sum(F.col(x)).cast("double").alias("all"),
+    own = {k: F.when(F.col("sampled"), F.col(k).cast("double")) for k in (x, y)}
+    facts = sample.df.agg(
+        F.sum(F.col(x)).cast("double").alias("all"), F.count(F.lit(1)).alias("n_frame"), F.count(F.when(F.col("sampled"), 1)).alias("n"), F.var_samp(own[y]).alias("yy"),
+        F.covar_samp(own[y], own[x]).alias("xy"), F.var_samp(own[x]).alias("xx"),
     ).first()
-    if not sums["x"] or sums["x"] <= 0:
+    (total_y, total_x), v = ht_covariances(sample, [F.col(y), F.col(x)])
+    if not total_x > 0:
         raise ValueError(f"the estimated total of {x} must be positive")
-    known = float(x_total if x_total is not None else sums["all"])
-    ratio, grow = sums["y"] / sums["x"], (known / sums["x"]) ** 2
-    residual = ht_variance(sample, F.col(y) - ratio * F.col(x))
-    plain = ht_variance(sample, F.col(y)).select(F.col("variance").alias("variance_ht"))
-    out = residual.crossJoin(plain)
-    out = out.withColumn("total", F.lit(known * ratio)).withColumn("variance", F.col("variance") * grow).withColumn("variance_srs", F.col("variance_srs") * grow)
-    out = out.withColumn("se", F.sqrt("variance")).withColumn("cv", F.when(F.col("total") != 0, F.col("se") / F.abs("total")))
-    return out.withColumn("ratio", F.lit(ratio)).withColumn("x_total", F.lit(known)).drop("df")
+    known = float(x_total if x_total is not None else facts["all"])
+    ratio, grow = total_y / total_x, (known / total_x) ** 2
+    residual = lambda yy, xy, xx: max(0.0, yy - 2 * ratio * xy + ratio * ratio * xx)
+    n, everyone = facts["n"], facts["n_frame"]
+    srs = everyone**2 * (1 - n / everyone) * residual(facts["yy"] or 0.0, facts["xy"] or 0.0, facts["xx"] or 0.0) / n
+    variance, total, d = residual(v[0, 0], v[0, 1], v[1, 1]) * grow, known * ratio, sample.design
+    method = "replicates" if d.replicates > 1 else ("stratified " if len(d.n) > 1 else "") + ("srs" if d.method == "srs" else "local mean")
+    row = [total, variance, variance**0.5, variance**0.5 / abs(total) if total else None, srs * grow, n, everyone, method, float(v[0, 0]), ratio, known]
+    row = [float(z) if isinstance(z, np.floating) else z for z in row]
+    fields = "total double, variance double, se double, cv double, variance_srs double, n long, n_frame long, variance_method string, variance_ht double, ratio double, x_total double"
+    return sample.df.sparkSession.createDataFrame([row], fields)
 
 
 def point_estimator(hits: DataFrame, sample: Sample, neighbours: int = 3) -> DataFrame:
     """Total over establishments found at points: each hit counts y over its establishment's expected hits."""
     requires(hits, ["unit", "establishment", "y", "expected_hits"], "hits")
-    all_true(hits, e=(F.col("expected_hits") > 0, "expected hits must be positive"), y=(F.col("y").isNotNull(), "y is missing for some hit"))
-    no_rows(hits.join(sample.sampled(), "unit", "left_anti"), "hits refer to cells that are not sampled")
-    by_cell = hits.groupBy("unit").agg(F.sum(F.col("y") / F.col("expected_hits")).alias("_u"))
-    rows = sample.df.join(by_cell, "unit", "left").withColumn("_u", F.coalesce("_u", F.lit(0.0)))
+    # one pass over the hits; all that follows reads a row per cell and establishment
+    parts = hits.groupBy("unit", "establishment").agg(
+        F.sum(F.col("y") / F.col("expected_hits")).alias("_u"), F.count(F.lit(1)).alias("_hits"),
+        F.bool_and(F.coalesce(F.col("expected_hits") > 0, F.lit(False))).alias("_e"), F.bool_and(F.col("y").isNotNull()).alias("_y"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    all_true(parts, e=(F.col("_e"), "expected hits must be positive"), y=(F.col("_y"), "y is missing for some hit"))
+    no_rows(parts.select("unit").distinct().join(sample.sampled().select("unit"), "unit", "left_anti"), "hits refer to cells that are not sampled")
+    rows = sample.df.join(parts.groupBy("unit").agg(F.sum("_u").alias("_u")), "unit", "left").withColumn("_u", F.coalesce("_u", F.lit(0.0)))
     out = ht_variance(Sample(rows, sample.design), F.col("_u") * F.col("pi"), F.sum("_u"), neighbours)
-    count = hits.agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("establishment").alias("n_establishments"))
+    count = parts.agg(F.coalesce(F.sum("_hits"), F.lit(0)).alias("n_hits"), F.countDistinct("establishment").alias("n_establishments"))
     return out.crossJoin(count)
 
 
@@ -136,13 +148,15 @@ def segment_estimator(tracts: DataFrame, sample: Sample, kind: str = "closed", n
     needs = {"closed": ["y_tract"], "open": ["y_total", "headquarters"], "weighted": ["y_total", "share"]}
     value = segment_values(tracts, kind)
     requires(tracts, ["unit", *needs[kind]], "tracts")
-    no_rows(tracts.join(sample.sampled(), "unit", "left_anti"), "tracts refer to segments that are not sampled")
-    checks = {"v": (value.isNotNull(), "a tract's value is missing")}
+    valid = {"v": (value.isNotNull(), "a tract's value is missing")}
     if kind == "weighted":
-        checks["share"] = (F.col("share").between(0, 1), "shares must lie between 0 and 1")
-    all_true(tracts, **checks)
-    by_segment = tracts.groupBy("unit").agg(F.sum(value).alias("_v"))
-    rows = sample.df.join(by_segment, "unit", "left").withColumn("_v", F.coalesce("_v", F.lit(0.0)))
+        valid["share"] = (F.col("share").between(0, 1), "shares must lie between 0 and 1")
+    # one pass over the tracts; all that follows reads a row per segment
+    by_segment = tracts.groupBy("unit").agg(F.sum(value).alias("_v"), *[F.bool_and(F.coalesce(c, F.lit(False))).alias(f"_ok_{k}") for k, (c, _) in valid.items()])
+    by_segment = by_segment.persist(StorageLevel.MEMORY_AND_DISK)
+    no_rows(by_segment.join(sample.sampled().select("unit"), "unit", "left_anti"), "tracts refer to segments that are not sampled")
+    all_true(by_segment, **{k: (F.col(f"_ok_{k}"), message) for k, (_, message) in valid.items()})
+    rows = sample.df.join(by_segment.select("unit", "_v"), "unit", "left").withColumn("_v", F.coalesce("_v", F.lit(0.0)))
     return ht_variance(Sample(rows, sample.design), F.col("_v"), neighbours=neighbours).withColumn("type", F.lit(kind))
 
 

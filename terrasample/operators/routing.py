@@ -176,7 +176,7 @@ def route_tasks(spark: SparkSession, tasks: list[dict], solve_one) -> pd.DataFra
 
     def run(batches):
         for part in batches:
-            yield pd.DataFrame({"i": part["i"], "result": [json.dumps(solve_one(json.loads(t))) for t in part["task"]]})
+            yield pd.DataFrame({"i": part["i"], "result": [json.dumps(solve_one(json.loads(t)), default=float) for t in part["task"]]})
 
     found = rows.repartition(max(1, len(tasks)), "i").mapInPandas(run, "i int, result string").collect()
     return pd.DataFrame([(r["i"], json.loads(r["result"])) for r in sorted(found, key=lambda r: r["i"])], columns=["i", "result"])

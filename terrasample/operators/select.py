@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasample.functions.checks import all_true, distinct, requires, whole
+from terrasample.functions.checks import distinct, requires, whole
 from terrasample.functions.columns import HILBERT_BITS, hilbert, uniform
 from terrasample.functions.numeric import largest_remainder
 from terrasample.operators.ordering import lowest, running_total, with_index
@@ -160,11 +160,14 @@ def select_units(
         conditions["z"] = ((F.col(size) >= 0) & F.col(size).isNotNull(), f"size {size} must not be missing or negative")
     for i, c in enumerate(balance or []):
         conditions[f"b{i}"] = (F.col(c).isNotNull(), f"balancing variable {c} is missing for some unit")
-    all_true(frame, **conditions)
     distinct(frame, "unit", "units that are not distinct")
 
     z = F.col(size).cast("double") if size else F.lit(1.0)
-    rows = frame.groupBy(stratum.alias("s")).agg(F.count(F.lit(1)).alias("units"), F.sum(z).alias("t"), F.count(F.when(z > 0, 1)).alias("pos")).collect()
+    checks = [F.bool_and(F.coalesce(c, F.lit(False))).alias(f"ok_{k}") for k, (c, _) in conditions.items()]
+    rows = frame.groupBy(stratum.alias("s")).agg(F.count(F.lit(1)).alias("units"), F.sum(z).alias("t"), F.count(F.when(z > 0, 1)).alias("pos"), *checks).collect()
+    for k, (_, message) in conditions.items():
+        if not all(r[f"ok_{k}"] for r in rows):
+            raise ValueError(message)
     found = {r["s"]: r for r in rows}
     levels = [str(k) for k in levels] if levels else sorted(found)
     levels = [k for k in levels if k in found]

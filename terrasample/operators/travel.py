@@ -52,9 +52,11 @@ def travel_matrix(
     bases: DataFrame | None = None,
     speed: float | None = None,
     coords: list[str] | None = None,
+    **server,
 ) -> TravelMatrix:
     """Travel between all pairs of points: of a sample only the sampled ones. ``bases`` come first; ``speed`` turns
-    distances into minutes; ``detour`` multiplies straight lines. A supplied ``matrix`` has columns from, to, travel."""
+    distances into minutes; ``detour`` multiplies straight lines. A supplied ``matrix`` has columns from, to, travel. Method
+    'osrm' asks a routing server (``server``, ``measure``, ``profile``, ``block``, ``fetch``, see ``sources.osrm``)."""
     if isinstance(points, Sample):
         coords = coords or list(points.design.coords)
         points = points.sampled()
@@ -72,8 +74,14 @@ def travel_matrix(
         no_rows(points.join(matrix.select(F.col("from").alias("unit")), "unit", "left_anti"), "units without travel")
         return TravelMatrix(matrix.select("from", "to", "travel"), points, "supplied", unit or "travel", 1.0, tuple(coords))
     method = method or ("haversine" if coords == ["lat", "lon"] else "euclidean")
-    if method not in ("haversine", "euclidean"):
-        raise ValueError("method must be haversine or euclidean; see sources.osrm for a routing server")
+    if method == "osrm":
+        from terrasample.sources.osrm import osrm_table
+
+        if coords != ["lat", "lon"]:
+            raise ValueError("method osrm needs lat and lon")
+        return osrm_table(points, **server)[0]
+    if method not in ("haversine", "euclidean") or server:
+        raise ValueError("method must be haversine, euclidean or osrm, and only osrm takes a server's options")
     a, b = coords
     left = points.select(F.col("unit").alias("from"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     right = points.select(F.col("unit").alias("to"), F.col(a).cast("double").alias("_a2"), F.col(b).cast("double").alias("_b2"))

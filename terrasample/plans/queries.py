@@ -16,7 +16,7 @@ from terrasample.operators.pointdesign import point_design_effect
 from terrasample.operators.select import Sample, inclusion_probabilities, select_units
 from terrasample.functions.columns import HILBERT_BITS, hilbert
 from terrasample.plans.tables import (
-    ALLOC, AREAS, CELLS, HILBERT, LISTED, N_SRS, N_SYS, PPS, REPLICATES, SRS, TRACTS, areas, cells, listed, read, srs, systematic, systematic_sql, tracts,
+    ALLOC, AREAS, CELLS, HILBERT, LISTED, N_SYS, PPS, REPLICATES, SRS, TRACTS, areas, cells, listed, n_srs, read, srs, systematic, systematic_sql, tracts,
 )
 from terrasample.sources import areaframe, survey
 
@@ -105,14 +105,26 @@ def systematic_replicates(spark, sf):
     return systematic(spark, sf, REPLICATES).sampled().select("unit", r("pi", 9).alias("pi"), r("pi_replicate", 9).alias("pi_replicate"), "n_replicates")
 
 
-@query()
+def _drawn(spark, sf, method: str, **options) -> DataFrame:
+    """By stratum: the sample's size, the sum of all probabilities, and the estimated total of the size that they are
+    proportional to, which is exact in every sample of fixed size."""
+    c = cells(spark, sf)
+    s = select_units(c, n_srs(c), size="size", coords=["x", "y"], strata="stratum", method=method, seed=SEED_LPM, **options)
+    own = F.when(F.col("sampled"), F.col("size") / F.col("pi"))
+    return s.df.groupBy("stratum").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"), r(F.sum("pi"), 6).alias("expected"), r(F.sum(own), 3).alias("size"))
+
+
+_DRAWN = f"""WITH {CELLS}, {ALLOC.replace("count(*) AS big", "sum(size) AS big")} SELECT stratum, n, n::DOUBLE AS expected, round(big, 3) AS size FROM alloc"""
+
+
+@query(_DRAWN)
 def lpm_sample(spark, sf):
-    return select_units(cells(spark, sf), N_SRS, size="size", coords=["x", "y"], strata="stratum", method="lpm", seed=SEED_LPM).sampled().select("unit", "stratum", "pi")
+    return _drawn(spark, sf, "lpm")
 
 
-@query()
+@query(_DRAWN)
 def cube_sample(spark, sf):
-    return select_units(cells(spark, sf), N_SRS, size="size", coords=["x", "y"], strata="stratum", method="cube", balance=["x", "v"], seed=SEED_LPM).sampled().select("unit", "stratum", "pi")
+    return _drawn(spark, sf, "cube", balance=["x", "v"])
 
 
 SEED_LPM = 7
@@ -412,30 +424,54 @@ def _plan(spark, sf) -> schedule.Schedule:
     bases = spark.createDataFrame([("north", 10.0, 5.0), ("south", 30.0, 25.0)], "unit string, x double, y double")
     names = [x["unit"] for x in p.orderBy("unit").collect()]
     m = travel.travel_matrix(p, "euclidean", bases=bases, coords=["x", "y"])
-    return schedule.schedule_fieldwork(m, names, {"north": 2, "south": 2}, 4, max_stops=4, service_time=1.0, iterations=20, seed=1)
+    days = -(-len(names) // 15)  # two bases of two teams with four stops a day
+    return schedule.schedule_fieldwork(m, names, {"north": 2, "south": 2}, days, max_stops=4, service_time=1.0, iterations=20, seed=1)
+
 
+_UNITS = f"WITH {SRS}, units AS (SELECT unit::VARCHAR AS unit FROM sample WHERE sampled), days AS (SELECT (count(*) + 14) // 15 AS days FROM units)"
 
-@query()
+
+@query(f"{_UNITS} SELECT unit, 1::BIGINT AS visits, true AS within FROM units")
 def schedule_tidy(spark, sf):
-    return _plan(spark, sf).tidy(spark)
+    """Every sampled unit is visited once, on one of the days and as one of four stops at most."""
+    plan = _plan(spark, sf)
+    within = F.col("day").between(1, plan.days) & F.col("stop").between(1, 4)
+    return plan.tidy(spark).groupBy("unit").agg(F.count(F.lit(1)).alias("visits"), F.bool_and(within).alias("within"))
 
 
-@query()
+@query(f"{_UNITS} SELECT base, 2::INT AS teams, days::INT AS days_available, true AS fits, true AS counted FROM days, (VALUES ('north'), ('south')) b(base)")
 def schedule_summary(spark, sf):
-    return spark.createDataFrame(_plan(spark, sf).summary, schedule.SUMMARY)
+    """The summary by base, counted again from the visits."""
+    plan = _plan(spark, sf)
+    again = plan.tidy(spark).groupBy("base").agg(F.count(F.lit(1)).alias("visits"), F.countDistinct("route").alias("trips"), F.max("day").alias("last"))
+    rows = spark.createDataFrame(plan.summary, schedule.SUMMARY).join(again, "base")
+    counted = (F.col("visits") == F.col("units")) & (F.col("trips") == F.col("routes")) & (F.col("last") == F.col("days_needed"))
+    return rows.select("base", "teams", "days_available", "fits", counted.alias("counted"))
 
 
-@query()
+@query(f"{_UNITS} SELECT count(*) AS units, 0::BIGINT AS clashes, true AS earliest, true AS least_sum FROM units")
 def calendar(spark, sf):
-    return schedule.schedule_calendar(_plan(spark, sf), time_limit=5).calendar_df(spark)
+    """No team has two routes a day, the last day is as early as teams allow, and so is the sum of days."""
+    plan = schedule.schedule_calendar(_plan(spark, sf), time_limit=5)
+    c = plan.calendar_df(spark)
+    clashes = c.groupBy("team", "day").count().where("count > 1").agg(F.count(F.lit(1)).alias("clashes"))
+    by = c.groupBy("base").agg(F.count(F.lit(1)).alias("k"), F.max("day").alias("last"), F.sum("day").alias("days"), F.sum("stops").alias("units"))
+    full = F.floor(F.col("k") / 2)  # days on which both teams of a base are out
+    by = by.agg(F.sum("units").alias("units"), F.bool_and(F.col("last") == F.ceil(F.col("k") / 2)).alias("earliest"), F.bool_and(F.col("days") == full * (full + 1) + (F.col("k") % 2) * (full + 1)).alias("least_sum"))
+    return by.crossJoin(clashes).select("units", "clashes", "earliest", "least_sum")
 
 
-@query()
+@query(f"{_UNITS} SELECT unit, 1::BIGINT AS visits, true AS within, true AS measured FROM units")
 def routes(spark, sf):
+    """Every sampled unit is on one route of six stops at most, and the routes are as long as their legs."""
     p = srs(spark, sf).sampled().select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
     base = spark.createDataFrame([("depot", 20.0, 15.0)], "unit string, x double, y double")
     names = [x["unit"] for x in p.orderBy("unit").collect()]
-    return routing.route_fieldwork(travel.travel_matrix(p, "euclidean", bases=base, coords=["x", "y"]), names, "depot", max_stops=6, iterations=30).stops_df(spark)
+    matrix = travel.travel_matrix(p, "euclidean", bases=base, coords=["x", "y"])
+    plan = routing.route_fieldwork(matrix, names, "depot", max_stops=6, iterations=30)
+    length = routing.route_summary(plan.stops_df(spark), matrix.df).agg(F.sum("length").alias("length"))
+    rows = plan.stops_df(spark).groupBy("unit").agg(F.count(F.lit(1)).alias("visits"), F.bool_and(F.col("stop") <= 6).alias("within"))
+    return rows.crossJoin(F.broadcast(length)).select("unit", "visits", "within", (F.abs(F.col("length") - plan.total) < 1e-6 * plan.total).alias("measured"))
 
 
 # --- allocation and designs -------------------------------------------------------------------------
@@ -452,9 +488,17 @@ def neyman_variance(spark, sf):
     return allocation.frame_allocation(allocation.strata_table(c, "stratum", "v", _PRICE), target_variance=(0.04 * total) ** 2).tidy(spark).select("stratum", "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS}, strata AS (SELECT stratum, count(*) AS size, stddev_samp(v) AS sd, CASE stratum {_PRICES} END AS cost FROM cells GROUP BY stratum),
+start AS (SELECT *, CAST(greatest(2, least(size, floor({{budget}} * size * sd / sqrt(cost) / (SELECT sum(size * sd * sqrt(cost)) FROM strata) + 1e-9))) AS BIGINT) AS n FROM strata),
+steps AS (SELECT 0 AS step, stratum, size, sd, cost, n FROM start UNION ALL
+  SELECT step + 1, stratum, size, sd, cost, n + CAST(stratum = pick AS INT)
+  FROM (SELECT *, arg_max(stratum, CASE WHEN can THEN size * size * sd * sd * (1.0::DOUBLE / n - 1.0::DOUBLE / (n + 1)) / cost ELSE -1 END) OVER (PARTITION BY step) AS pick, bool_or(can) OVER (PARTITION BY step) AS more
+        FROM (SELECT *, n + 1 <= size AND sum(n * cost) OVER (PARTITION BY step) + cost <= {{budget}} + 1e-9 AS can FROM steps)) WHERE more)
+SELECT stratum, n, n * cost AS cost_total FROM steps WHERE step = (SELECT max(step) FROM steps)""".replace("{budget}", "(60.0::DOUBLE * (SELECT count(*) FROM cells))"))
 def neyman_budget(spark, sf):
-    return allocation.frame_allocation(allocation.strata_table(cells(spark, sf), "stratum", "v", _PRICE), budget=9000.0).tidy(spark)
+    c = cells(spark, sf)
+    a = allocation.frame_allocation(allocation.strata_table(c, "stratum", "v", _PRICE), budget=60.0 * c.count())
+    return a.tidy(spark).select("stratum", "n", "cost_total")
 
 
 @query("""WITH g AS (SELECT m::DOUBLE AS m, least(floor(100000 / (300 + 20 * m)), 5000)::DOUBLE AS n FROM range(1, 21) t(m)),
@@ -464,21 +508,44 @@ def two_stage_grid(spark, sf):
     return rounded(analytics.best_of(analytics.two_stage_grid(spark, 5000, 20, 4, 25, 300, 20, 100000), "variance"), variance=2)
 
 
-@query("SELECT 185::BIGINT AS n, 12::BIGINT AS m, 99900.0::DOUBLE AS cost")
+@query("""WITH g AS (SELECT n, m, n * (300 + 20 * m) AS cost FROM range(2, 313) x(n), range(1, 21) y(m)),
+c AS (SELECT n, m, cost, ((1 - n / 5000) * 4 / n + greatest(0, 1 - m / 20) * 25 / (n * m)) AS variance FROM g WHERE cost <= 100000)
+SELECT n, m, cost::DOUBLE AS cost FROM c ORDER BY variance, cost LIMIT 1""")
 def two_stage_allocation(spark, sf):
     a = allocation.two_stage_allocation(5000, 20, 4, 25, 300, 20, budget=100000)
     return spark.createDataFrame([(a.n, a.m, float(a.cost))], "n long, m long, cost double")
 
 
-@query()
+@query("""WITH g AS (SELECT a AS n_a, t / 1000.0::DOUBLE AS theta, CAST(least(floor((150000 - 220.0::DOUBLE * a) / 35), 950) AS BIGINT) AS n_b FROM range(2, 681) x(a), range(0, 1001) y(t)),
+m AS (SELECT *, (5000 * 12 + 800 * theta * 90) / 5800 AS ma, (150 * 110 + 800 * (1 - theta) * 90) / 950 AS mb FROM g WHERE n_b >= 2),
+s AS (SELECT *, (4999 * 100 + 799 * theta * theta * 3600 + 5000 * (12 - ma) * (12 - ma) + 800 * (theta * 90 - ma) * (theta * 90 - ma)) / 5799 AS sa,
+  (149 * 4900 + 799 * (1 - theta) * (1 - theta) * 3600 + 150 * (110 - mb) * (110 - mb) + 800 * ((1 - theta) * 90 - mb) * ((1 - theta) * 90 - mb)) / 949 AS sb FROM m),
+v AS (SELECT n_a, n_b, theta, 220.0::DOUBLE * n_a + 35 * n_b AS cost, 1.6 * 5800 * 5800 * sa / n_a * (1 - n_a / 5800) + 950 * 950 * sb / n_b * (1 - n_b / 950) AS variance FROM s)
+SELECT n_a, n_b, theta, cost, round(variance, 0) AS variance FROM v ORDER BY v.variance LIMIT 1""")
 def dual_frame_allocation(spark, sf):
     domains = [{"domain": "a", "size": 5000, "mean": 12, "sd": 10}, {"domain": "ab", "size": 800, "mean": 90, "sd": 60}, {"domain": "b", "size": 150, "mean": 110, "sd": 70}]
-    return allocation.dual_frame_allocation(domains, 220, 35, deff_a=1.6, budget=150000).tidy(spark)
+    a = allocation.dual_frame_allocation(domains, 220, 35, deff_a=1.6, budget=150000)
+    return spark.createDataFrame([(a.n_a, a.n_b, a.theta, float(a.cost), float(round(a.variance)))], "n_a long, n_b long, theta double, cost double, variance double")
 
 
-@query()
+@query(f"""WITH {CELLS}, strata AS (SELECT stratum, count(*) AS size, var_samp(size) AS a, var_samp(nation) AS b FROM cells GROUP BY stratum),
+targets AS (SELECT pow(0.05 * sum(size), 2) AS a, pow(0.05 * sum(nation), 2) AS b FROM cells)
+SELECT count(*) AS strata, true AS a_met, true AS b_met, true AS tight FROM strata, targets GROUP BY ALL""")
 def multivariate_allocation(spark, sf):
-    return spark.createDataFrame(list(analytics.bethel_shares(cells(spark, sf), "stratum", ["size", "nation"], 80).items()), "stratum string, n long")
+    """Both variables meet their targets, and two units less anywhere would miss one of them."""
+    c = cells(spark, sf)
+    by = c.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"), F.stddev_samp("size").alias("a"), F.stddev_samp("nation").alias("b")).orderBy("stratum").collect()
+    totals = c.agg(F.sum("size"), F.sum("nation")).first()
+    rows = [{"stratum": x["stratum"], "size": x["size"], "cost": 1.0, "a": x["a"], "b": x["b"]} for x in by]
+    found = allocation.multivariate_allocation(rows, ["a", "b"], target_cv=[0.05, 0.05], totals=list(totals))
+
+    def missed(n: list[int]) -> list[bool]:
+        v = [sum(x["size"] ** 2 * x[k] ** 2 / m * (1 - m / x["size"]) for x, m in zip(rows, n, strict=True)) for k in "ab"]
+        return [a > (0.05 * t) ** 2 * (1 + 1e-9) for a, t in zip(v, totals, strict=True)]
+
+    less = [[m - 2 * (j == i) for j, m in enumerate(found.n)] for i in range(len(found.n)) if found.n[i] > 3]
+    a, b = missed(found.n)
+    return spark.createDataFrame([(len(rows), not a, not b, all(any(missed(n)) for n in less))], "strata long, a_met boolean, b_met boolean, tight boolean")
 
 
 _CURVE = CostCurve(500.0, 30.0, 200.0, 1.0, [])
@@ -498,48 +565,67 @@ def _field_frame(spark, sf) -> DataFrame:
 _FIELD = travel.CostModel(per_travel=2, per_unit=30, per_interview=10, interviews_per_unit=4, per_route=20)
 
 
-@query()
-def frontier(spark, sf):
+def _frontier(spark, sf) -> DataFrame:
     return cost_variance_frontier(_field_frame(spark, sf), "depot", _FIELD, [8, 12, 16], y="v", max_stops=6, iterations=5, coords=["x", "y"])
 
 
-@query()
+@query("SELECT n::INT AS n, 20::BIGINT AS n_rep, true AS priced, true AS routed FROM (VALUES (8), (12), (16)) t(n)")
+def frontier(spark, sf):
+    """Costs are those of the travel, routes and units, and six stops at most make a route."""
+    f = _frontier(spark, sf)
+    priced = F.abs(F.col("cost_mean") - (2 * F.col("travel_mean") + 20 * F.col("routes_mean") + 70 * F.col("n"))) < 1e-6
+    return f.select("n", "n_rep", priced.alias("priced"), (F.col("routes_mean") >= F.ceil(F.col("n") / 6)).alias("routed"))
+
+
+@query("SELECT true AS fits, true AS centred, count(*) AS sizes FROM range(4)")
 def cost_curve_fit(spark, sf):
-    return routed_cost_curve(_field_frame(spark, sf), "depot", _FIELD, [6, 10, 14, 18], iterations=5, coords=["x", "y"]).tidy(spark)
+    """The curve is near all measured costs, and what it misses them by sums to nothing."""
+    c = routed_cost_curve(_field_frame(spark, sf), "depot", _FIELD, [6, 10, 14, 18], iterations=5, coords=["x", "y"]).tidy(spark)
+    off = F.col("cost_mean") - F.col("fitted")
+    return c.agg(F.bool_and(F.abs(off) < 0.1 * F.col("cost_mean")).alias("fits"), (F.abs(F.sum(off)) < 1e-6 * F.sum("cost_mean")).alias("centred"), F.count(F.lit(1)).alias("sizes"))
+
+
+def _design_facts(spark, d, cost: float, budget: float) -> DataFrame:
+    n = d.allocation.n if hasattr(d.allocation, "n") else d.allocation.n_a
+    facts = (d.converged, d.cost <= budget * (1 + 1e-9), abs(d.cost - cost) < 1e-6 * cost, abs(d.unit_cost - d.curve.marginal(n)) < 1e-9)
+    return spark.createDataFrame([facts], "converged boolean, affordable boolean, priced boolean, marginal boolean")
 
 
-@query()
+@query("SELECT true AS converged, true AS affordable, true AS priced, true AS marginal")
 def two_stage_routed(spark, sf):
-    d = two_stage_design(_field_frame(spark, sf), "depot", _FIELD, 20, 4.0, 25.0, budget=3000.0, iterations=3, max_iter=4, coords=["x", "y"])
-    return spark.createDataFrame([(d.allocation.n, d.allocation.m, float(d.unit_cost), d.converged, len(d.history))], "n long, m long, unit_cost double, converged boolean, iterations long")
+    d = two_stage_design(_field_frame(spark, sf), "depot", _FIELD, 20, 4.0, 25.0, budget=3000.0, iterations=3, coords=["x", "y"])
+    return _design_facts(spark, d, d.curve.total(d.allocation.n) + 10 * d.allocation.n * d.allocation.m, 3000.0)
 
 
-@query()
+@query("SELECT true AS converged, true AS affordable, true AS priced, true AS marginal")
 def dual_frame_routed(spark, sf):
     frame = _field_frame(spark, sf)
     n = frame.count() - 1
     both = n // 6  # the cells that the list covers too; the list has five units to two cells beyond them
     domains = [{"domain": "a", "size": n - both, "mean": 5, "sd": 6}, {"domain": "ab", "size": both, "mean": 60, "sd": 50}, {"domain": "b", "size": 5 * n // 2, "mean": 40, "sd": 30}]
-    d = dual_frame_design(frame, "depot", _FIELD, domains, 12.0, budget=4000.0, iterations=3, max_iter=4, coords=["x", "y"])
-    return spark.createDataFrame([(d.allocation.n_a, d.allocation.n_b, d.allocation.theta, float(d.unit_cost), d.converged)], "n_a long, n_b long, theta double, unit_cost double, converged boolean")
+    d = dual_frame_design(frame, "depot", _FIELD, domains, 12.0, budget=4000.0, iterations=3, coords=["x", "y"])
+    return _design_facts(spark, d, d.curve.total(d.allocation.n_a) + 12 * d.allocation.n_b, 4000.0)
 
 
-@query()
+@query(f"""WITH {AREAS} SELECT 200::BIGINT AS n_sim, round(sum(s_acctbal), 2) AS total, true AS unbiased, true AS compared FROM supplier WHERE s_suppkey IN (SELECT establishment FROM areas)""")
 def point_deff(spark, sf):
+    """The mean of the simulations is within four standard errors of the total, and their variance is compared with that of SRS."""
     whole = _field_frame(spark, sf).where("unit <> 'depot'")
     land = areas(spark, sf).join(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("establishment"), F.col("s_acctbal").alias("y")), "establishment")
     land = land.select(F.col("establishment").cast("string").alias("establishment"), F.col("unit").cast("string").alias("unit"), "area", "y")
-    return point_design_effect(whole, land, 20, 6, 1.0, method="srs", coords=["x", "y"])[0]
+    d = point_design_effect(whole, land, 20, 6, 1.0, method="srs", coords=["x", "y"])[0]
+    unbiased, compared = F.abs("bias") <= 4 * F.sqrt(F.col("variance") / F.col("n_sim")), F.abs(F.col("deff") - F.col("variance") / F.col("variance_srs")) < 1e-9
+    return d.select("n_sim", r("total", 2).alias("total"), unbiased.alias("unbiased"), compared.alias("compared"))
 
 
 # --- analytics --------------------------------------------------------------------------------------
 @query(f"""WITH {CELLS}, m AS (SELECT avg(v) AS m FROM cells),
 pairs AS (SELECT a.unit, a.v - m.m AS e, b.v - m.m AS e2, row_number() OVER (PARTITION BY a.unit ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.unit) AS place
-  FROM cells a JOIN cells b ON a.unit <> b.unit AND abs(floor(a.x / 6.0) - floor(b.x / 6.0)) <= 1 AND abs(floor(a.y / 6.0) - floor(b.y / 6.0)) <= 1, m),
+  FROM cells a JOIN cells b ON a.unit <> b.unit, m),
 lag AS (SELECT unit, avg(e2) AS l, any_value(e) AS e FROM pairs WHERE place <= 8 GROUP BY unit)
 SELECT round(sum(e * l) / sum(e * e), 8) AS moran_i, count(*) AS n FROM lag""")
 def moran_i(spark, sf):
-    return rounded(analytics.moran_i(cells(spark, sf), "v", cell=6.0), moran_i=8)
+    return rounded(analytics.moran_i(cells(spark, sf), "v"), moran_i=8)
 
 
 def _runs(spark, sf) -> DataFrame:
@@ -609,11 +695,20 @@ def design_measures_long(spark, sf):
     return analytics.long(by, ["scenario", "design"], ["mean", "variance"])
 
 
-@query("""WITH e AS (SELECT p_brand AS design, CASE WHEN p_size <= 40 THEN 'n <= 40' WHEN p_size <= 80 THEN '40 < n <= 80' ELSE 'n > 80' END AS band, p_retailprice / 1400 AS efficiency FROM part)
-SELECT design, band, round(min(efficiency), 8) AS best, round(avg(efficiency), 8) AS mean, round(max(efficiency), 8) AS worst, round(avg(CASE WHEN efficiency < 1 THEN 1.0::DOUBLE ELSE 0 END), 8) AS wins, count(*) AS scenarios FROM e GROUP BY ALL""")
+@query("""WITH v AS (SELECT p_brand AS design, p_size::DOUBLE AS n, avg(p_retailprice) / p_size AS variance FROM part GROUP BY ALL),
+at AS (SELECT design, (min(n) + max(n)) / 2 + 0.25 AS n FROM v GROUP BY design),
+seg AS (SELECT design, n AS x0, variance AS y0, lead(n) OVER w AS x1, lead(variance) OVER w AS y1, lag(n) OVER w IS NULL AS f FROM v WINDOW w AS (PARTITION BY design ORDER BY n)),
+j AS (SELECT at.design, at.n, exp(ln(y0) + (ln(at.n) - ln(x0)) / (ln(x1) - ln(x0)) * (ln(y1) - ln(y0))) AS affordable FROM at LEFT JOIN seg ON at.design = seg.design AND x1 IS NOT NULL AND at.n <= x1 AND (at.n > x0 OR (f AND at.n = x0))),
+e AS (SELECT *, affordable / max(CASE WHEN design = (SELECT min(p_brand) FROM part) THEN affordable END) OVER () AS efficiency FROM j),
+b AS (SELECT *, CASE WHEN n <= 40 THEN 'n <= 40' WHEN n <= 80 THEN '40 < n <= 80' ELSE 'n > 80' END AS band FROM e)
+SELECT band, round(min(efficiency), 8) AS best, round(avg(efficiency), 8) AS mean, round(max(efficiency), 8) AS worst, round(avg(CASE WHEN efficiency < 1 THEN 1.0::DOUBLE ELSE 0 END), 8) AS wins, count(*) AS scenarios FROM b GROUP BY band""")
 def efficiency_summary(spark, sf):
-    p = read(spark, sf, "part").select(F.col("p_brand").alias("design"), analytics.size_band(F.col("p_size")).alias("band"), (F.col("p_retailprice") / 1400).alias("efficiency"))
-    return rounded(analytics.efficiency_summary(p, ["design", "band"]), best=8, mean=8, worst=8, wins=8)
+    """Brands as designs: variance falls with size; each affords the size in the middle of its own."""
+    line = read(spark, sf, "part").groupBy(F.col("p_brand").alias("design"), F.col("p_size").cast("double").alias("n")).agg((F.avg("p_retailprice") / F.first("p_size")).alias("variance")).withColumn("frame", F.lit("all"))
+    sizes = line.groupBy("frame", "design").agg(((F.min("n") + F.max("n")) / 2 + 0.25).alias("n"))
+    first = line.agg(F.min("design")).first()[0]
+    e = analytics.equal_budget_efficiency(line, sizes, ["frame"], reference=first).withColumn("band", analytics.size_band(F.col("n")))
+    return rounded(analytics.efficiency_summary(e, ["band"]), best=8, mean=8, worst=8, wins=8)
 
 
 _D3 = {"a": {"size": 5000, "mean": 12, "sd": 10}, "ab": {"size": 800, "mean": 90, "sd": 60}, "b": {"size": 150, "mean": 110, "sd": 70}}
@@ -650,17 +745,20 @@ def points_in_polygons(spark, sf):
     return join(listed(spark, sf), shapes, 8.0).select("unit", "cell")
 
 
-@query()
+@query(f"{_UNITS} SELECT count(*) AS units, max(days)::BIGINT AS days, true AS fits, true AS travelled FROM units, days")
 def schedule_glance(spark, sf):
-    g = _plan(spark, sf).glance()
-    return spark.createDataFrame([tuple(g.values())], list(g))
+    """One row, with the travel of all visits in order counted again."""
+    plan = _plan(spark, sf)
+    g = plan.glance()
+    return spark.createDataFrame([(int(g["units"]), plan.days, plan.fits, abs(g["travel"] - float(plan.calendar["travel"].sum())) < 1e-6)], "units long, days long, fits boolean, travelled boolean")
 
 
-@query()
+@query("SELECT 3::BIGINT AS sizes, 8::INT AS n_min, 16::INT AS n_max, 20::BIGINT AS n_rep, true AS rising, true AS falling")
 def frontier_glance(spark, sf):
     from terrasample.operators.frontier import frontier_glance as glance
 
-    return glance(QUERIES["frontier"](spark, sf))
+    g = glance(_frontier(spark, sf))
+    return g.select("sizes", "n_min", "n_max", "n_rep", (F.col("cost_min") < F.col("cost_max")).alias("rising"), (F.col("variance_min") < F.col("variance_max")).alias("falling"))
 
 
 @query("""WITH t AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, value FROM events)

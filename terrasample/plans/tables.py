@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from terrasample.operators.select import Sample, select_units
 
-SEED, N_SRS, N_SYS, REPLICATES = 1, 60, 40, 4
+SEED, REPLICATES = 1, 4
+#: Sampled cells: a share of the frame, and at least so many.
+SHARE_SRS, LEAST_SRS, SHARE_SYS, LEAST_SYS = 25, 60, 40, 40
+N_SRS = f"(SELECT greatest({LEAST_SRS}, count(*) // {SHARE_SRS}) FROM cells)"
+N_SYS = f"(SELECT greatest({LEAST_SYS}, count(*) // {SHARE_SYS}) FROM cells)"
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -27,8 +31,13 @@ CELLS = """cells AS (SELECT c_custkey AS unit, c_custkey % 40 AS x, CAST(floor(c
   CAST((1 + c_nationkey) * (1 + c_nationkey) AS DOUBLE) AS size, c_nationkey AS nation FROM customer)"""
 
 
+def n_srs(c: DataFrame) -> int:
+    return max(LEAST_SRS, c.count() // SHARE_SRS)
+
+
 def srs(spark: SparkSession, sf: str) -> Sample:
-    return select_units(cells(spark, sf), N_SRS, strata="stratum", method="srs", seed=SEED)
+    c = cells(spark, sf)
+    return select_units(c, n_srs(c), strata="stratum", method="srs", seed=SEED)
 
 
 ALLOC = f"""levels AS (SELECT stratum, count(*) AS big, row_number() OVER (ORDER BY stratum) AS k FROM cells GROUP BY stratum),
@@ -42,7 +51,8 @@ sample AS (SELECT *, place <= n AS sampled, n::DOUBLE / big AS pi FROM drawn)"""
 
 
 def systematic(spark: SparkSession, sf: str, replicates: int = 1) -> Sample:
-    return select_units(cells(spark, sf), N_SYS, size="size", coords=["x", "y"], method="systematic", replicates=replicates, seed=SEED)
+    c = cells(spark, sf)
+    return select_units(c, max(LEAST_SYS, c.count() // SHARE_SYS), size="size", coords=["x", "y"], method="systematic", replicates=replicates, seed=SEED)
 
 
 HILBERT = """grid AS (SELECT unit, CAST(floor((x - (SELECT min(x) FROM cells))::DOUBLE / (SELECT max(x) - min(x) FROM cells) * 65535) AS BIGINT) AS hx,
