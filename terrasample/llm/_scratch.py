@@ -54,6 +54,21 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+_MADE: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Whatever scratch folders are made meanwhile are removed at the end; what was read from them must be written by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for scratch in _MADE[before:]:
+            remove(scratch.spark, scratch.root)
+        del _MADE[before:]
+
+
 class Scratch:
     """Tables written below the shared folder, so that a lost executor costs no recomputation; ``drop``
     removes those that are no longer read."""
@@ -62,6 +77,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _MADE.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1

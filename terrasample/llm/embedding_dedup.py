@@ -109,24 +109,26 @@ def tables_for(dim: int, k: int, cosine: float) -> int:
     return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(p, 0.999))))
 
 
-def _vectors(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
-    """Each row's vector in double precision, None for those that link with nothing."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        x = None
-        if v.is_valid:
-            raw = v.values
-            if len(raw) and not raw.null_count:
-                x = np.asarray(raw, dtype=np.float64)
-                if not np.isfinite(x).all() or not x.any():
-                    x = None
-        out.append(x)
-    return out, np.array([x is not None for x in out], dtype=bool)
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All components in double precision, where each row's begin, and its length: 0 for rows that link with nothing."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    flat = np.asarray(values.cast(pa.float64()).fill_null(float("nan")), dtype=np.float64)
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    size = np.where(np.asarray(column.is_valid()), size, 0)
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    odd, some = sums(~np.isfinite(flat)), sums(flat != 0)
+    good = (odd[start + size] == odd[start]) & (some[start + size] > some[start])
+    return flat, start, np.where(good, size, 0)
 
 
 def _tags(labels: list) -> np.ndarray:
     """64-bit hashes of whole labels."""
-    return np.frombuffer(b"".join(hashlib.blake2b(str(x).encode(), digest_size=8).digest() for x in labels), dtype=np.uint64)
+    known: dict = {}
+    for x in labels:
+        if x not in known:
+            known[x] = int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "little")
+    return np.array([known[x] for x in labels], dtype=np.uint64)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
@@ -135,19 +137,17 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, _ = _vectors(batch.column("vec"))
+            flat, start, size = _vectors(batch.column("vec"))
             labels = batch.column("label").to_pylist()
-            node, dim = [], []
-            for x, label in zip(vectors, labels, strict=True):
-                if x is None or label is None:
-                    node.append(None)
-                    dim.append(0)
-                    continue
-                # + 0.0 makes the two zeros equal
-                bits = mix64((x + 0.0).view(np.uint64) + mix64(np.arange(1, len(x) + 1, dtype=np.uint64)))
-                node.append(int(mix64(np.array([np.add.reduce(bits) ^ mix64(_tags([label]))[0]]))[0].view(np.int64)))
-                dim.append(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(node, pa.int64()), pa.array(dim, pa.int32()), batch.column("vec")], names=["id", "label", "node", "dim", "vec"])
+            size = np.where([x is not None for x in labels], size, 0)
+            tags, node = mix64(_tags(labels)), np.zeros(len(size), dtype=np.uint64)
+            for d in np.unique(size[size > 0]):
+                own = np.flatnonzero(size == d)
+                x = flat[start[own][:, None] + np.arange(d)] + 0.0  # makes the two zeros equal
+                bits = mix64(x.view(np.uint64) + mix64(np.arange(1, d + 1, dtype=np.uint64)))
+                node[own] = mix64(np.add.reduce(bits, axis=1) ^ tags[own])
+            node = pa.array(node.view(np.int64), mask=size == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), node, pa.array(size.astype(np.int32)), batch.column("vec")], names=["id", "label", "node", "dim", "vec"])
 
     return rows.mapInArrow(run, f"id {types['id']}, label {types['label']}, node long, dim int, vec {types['vec']}")
 
@@ -159,21 +159,19 @@ def _hashed(nodes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = {d: rotations(d, k * t) for d, (k, t) in plan.items()}
         for batch in batches:
-            vectors, _ = _vectors(batch.column("vec"))
-            labels = batch.column("label").to_pylist()
-            codes: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(vectors)
-            dims = np.array([len(v) for v in vectors])
-            for d in np.unique(dims):
-                which = np.flatnonzero(dims == d)
-                x = np.stack([vectors[i] for i in which])
+            flat, start, size = _vectors(batch.column("vec"))
+            tags = _tags(batch.column("label").to_pylist())
+            width = np.array([plan[int(d)][1] * (1 + PROBES) for d in size], dtype=np.int64)
+            at = np.concatenate([[0], np.cumsum(width)])
+            codes = np.zeros(at[-1], dtype=np.uint64)
+            for d in np.unique(size):
+                which = np.flatnonzero(size == d)
+                x = flat[start[which][:, None] + np.arange(d)]
                 x = x / np.abs(x).max(1)[:, None]
                 x /= np.linalg.norm(x, axis=1)[:, None]
-                tag = _tags([labels[i] for i in which])
-                own = mix64(buckets(x, *plan[int(d)], signs[int(d)]) ^ mix64(tag + np.uint64(d))[:, None])
-                for i, c in zip(which, own, strict=True):
-                    codes[i] = c
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes).view(np.int64)))
+                own = mix64(buckets(x, *plan[int(d)], signs[int(d)]) ^ mix64(tags[which] + np.uint64(d))[:, None])
+                codes[at[which][:, None] + np.arange(own.shape[1])] = own
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(codes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "codes"])
 
     fields = ", ".join(f"{c} {t}" for c, t in types.items())
@@ -280,8 +278,8 @@ def link(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_
     scratch = Scratch(spark, "embedding")
     rows = only(table, id_col, vector_col, label_col).toDF("id", "vec", "label")
     rows = scratch.table(nodes_of(rows))
-    same = rows.where("node is not null").groupBy("node")
-    nodes = scratch.table(same.agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
+    same = rows.where("node is not null").groupBy("node", "label")
+    nodes = scratch.table(same.agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
 
     plan = {}
     for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).collect():

@@ -14,6 +14,7 @@ counted again, other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -51,7 +52,7 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         table = byte_alphabet()
-        self.spell = [table[b] for b in range(256)]
+        self.spell, self.back = [table[b] for b in range(256)], {c: b for b, c in table.items()}
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.pattern = re.compile(PLAIN_TOKEN)
@@ -68,8 +69,7 @@ class Counter:
 
     def prove(self) -> frozenset[str]:
         """Vocabulary strings, as text, that the merges give back as one token."""
-        back = {c: b for b, c in byte_alphabet().items()}
-        out = set()
+        back, out = self.back, set()
         for token in self.tokenizer.get_vocab(with_added_tokens=False):
             if all(c in back for c in token) and self.merged(token) == 1:
                 try:
@@ -81,7 +81,7 @@ class Counter:
     def pieces(self, text: str) -> list[str]:
         if self.plain.fullmatch(text):
             return self.pattern.findall(text)
-        back = {c: b for b, c in byte_alphabet().items()}
+        back = self.back
         found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(back[c] for c in p).decode("utf-8", "surrogateescape") for p, _ in found]
 
@@ -114,6 +114,12 @@ class Counter:
 _COUNTERS: dict[int, Counter] = {}
 
 
+@functools.lru_cache(maxsize=8)
+def proven_strings(vocabulary: str) -> frozenset[str]:
+    """The vocabulary's proof, made once in a process."""
+    return Counter(vocabulary).prove()
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -123,7 +129,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, id_col
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
     vocabulary = Path(vocabulary_path).read_text(encoding="utf-8")
-    proven = Counter(vocabulary).prove()
+    proven = proven_strings(vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, proven))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +138,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, id_col
         if counter is None:
             counter = _COUNTERS[hash(words)] = Counter(words, known)
         for batch in batches:
-            n = pa.array([counter(t.as_py()) for t in batch.column(1)], type=pa.int64())
+            n = pa.array(map(counter, batch.column(1).to_pylist()), type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=["id", "n_bytes", "n_tokens"])
 
     rows = only(docs, id_col, text_col).select(
