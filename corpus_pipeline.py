@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrasample.llm import decontamination, language_id, mixing, ngram_join, sharding
-from terrasample.llm._scratch import Scratch
+from terrasample.llm._scratch import Scratch, temporary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which shard each document of the mix was written to. What a stage left in the shared folder goes when the next
+    stage's result is written; the shards stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     for _, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        with temporary():
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
