@@ -15,7 +15,7 @@ from terrasample.functions.checks import distinct, requires, whole
 from terrasample.functions.columns import HILBERT_BITS, hilbert, uniform
 from terrasample.functions.numeric import largest_remainder
 from terrasample.operators.ordering import lowest, running_total, with_index
-from terrasample.operators.spatial import cube, local_pivotal
+from terrasample.operators.spatial import cube, cube_flight, local_pivotal, pivotal_flight
 
 METHODS = ("lpm", "systematic", "srs", "cube")
 ONE = "all"
@@ -132,8 +132,8 @@ def select_units(
     balance: list[str] | None = None,
     levels: list[str] | None = None,
 ) -> Sample:
-    """Draw a sample. SRS and systematic are plain DataFrame plans; local pivotal and cube draws, sequential within a
-    stratum, run as one task per stratum. Strata in ``levels`` order, or sorted."""
+    """Draw a sample. SRS and systematic are plain DataFrame plans; local pivotal and cube draws run in blocks along the
+    Hilbert curve, a task each. Strata in ``levels`` order, or sorted."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     seed, replicates = whole(seed, "seed"), whole(replicates, "replicates", 1)
@@ -197,7 +197,7 @@ def select_units(
     elif method == "systematic":
         rows = _systematic(rows, coords, n_h, seed, replicates, levels)
     else:
-        rows = _sequential(rows, coords, method, balance or [], seed, levels)
+        rows = _sequential(rows, coords, method, balance or [], seed, sizes)
     return Sample(rows.drop("_s", "_z", "_p", "_u", "_n", "_all"), design)
 
 
@@ -225,21 +225,50 @@ def _systematic(rows: DataFrame, coords: list[str], n_h: dict[str, int], seed: i
     return rows.drop("_h", "_q", "_c")
 
 
-def _sequential(rows: DataFrame, coords: list[str], method: str, balance: list[str], seed: int, levels: list[str]) -> DataFrame:
-    numbers = {k: i for i, k in enumerate(levels, 1)}
+#: Units of a block that one task draws from.
+BLOCK = 20_000
+
+
+def _sequential(rows: DataFrame, coords: list[str], method: str, balance: list[str], seed: int, sizes: dict[str, int]) -> DataFrame:
+    """Draws that are sequential by nature. A stratum is cut along the Hilbert curve into blocks of BLOCK units. Each block, a
+    task, decides all of its units but the few that its own sums leave open: one of a pivotal draw, about as many as there
+    are variables of a cube draw. One task per stratum then decides those. Probabilities, the sample's size and the
+    balance are kept by every step, so they hold for the whole."""
+    numbers = {k: i for i, k in enumerate(sizes, 1)}
     kind = dict(rows.dtypes)["unit"]
+    columns = list(dict.fromkeys(["_s", "unit", "_p", *coords, *balance]))
+
+    def sums(pdf: pd.DataFrame) -> np.ndarray:
+        p = pdf["_p"].to_numpy(float)
+        return np.column_stack([p, pdf[balance].to_numpy(float)]) if balance else p[:, None]
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit", kind="stable")
-        s = task_seed(seed * 100 + numbers[key[0]])
-        p = pdf["_p"].to_numpy(float)
-        if method == "lpm":
-            chosen = local_pivotal(pdf[coords].to_numpy(float), p, s)
-        else:
-            chosen = cube(np.column_stack([p, pdf[balance].to_numpy(float)]) if balance else p[:, None], p, s)
+        s, p = task_seed(seed * 100 + numbers[key[0]]), pdf["_p"].to_numpy(float)
+        open_p = pdf["_left"].to_numpy(float) if "_left" in pdf else p
+        chosen = local_pivotal(pdf[coords].to_numpy(float), open_p, s) if method == "lpm" else cube(sums(pdf), p, s, open_p)
         return pdf.loc[chosen, ["unit"]]
 
-    columns = list(dict.fromkeys(["_s", "unit", "_p", *coords, *balance]))
-    chosen = rows.select(*columns).groupBy("_s").applyInPandas(draw, f"unit {kind}").withColumnRenamed("unit", "_unit")
+    if max(sizes.values()) <= BLOCK:
+        chosen = rows.select(*columns).groupBy("_s").applyInPandas(draw, f"unit {kind}")
+    else:
+        span = rows.agg(*[f(c).cast("double").alias(f"{f.__name__}_{i}") for i, c in enumerate(coords[:2]) for f in (F.min, F.max)]).first()
+        top = (1 << HILBERT_BITS) - 1
+        cell = [F.floor((F.col(c).cast("double") - span[f"min_{i}"]) / max(span[f"max_{i}"] - span[f"min_{i}"], 1e-300) * top).cast("long") for i, c in enumerate(coords[:2])]
+        placed = rows.select(*columns, hilbert(*(cell if len(cell) > 1 else [cell[0], F.lit(0).cast("long")])).alias("_h"), F.lit(1).alias("_one"))
+        placed = running_total(placed, ["_s"], ["_h", "unit"], F.shiftright("_h", HILBERT_BITS), "_one", "_n")
+        placed = placed.withColumn("_block", F.floor((F.col("_n") - 1) / BLOCK)).select(*columns, "_block")
+
+        def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("unit", kind="stable")
+            s, p = task_seed(seed * 100 + numbers[key[0]], "block", key[1]), pdf["_p"].to_numpy(float)
+            left = pivotal_flight(pdf[coords].to_numpy(float), p, s) if method == "lpm" else cube_flight(sums(pdf), p, s)
+            return pdf.assign(_left=left).loc[left > 0, [*columns, "_left"]]
+
+        fields = ", ".join(f"`{c}` {t}" for c, t in placed.select(*columns).dtypes)
+        decided = placed.groupBy("_s", "_block").applyInPandas(decide, f"{fields}, _left double").persist()
+        last = decided.where("_left < 1").groupBy("_s").applyInPandas(draw, f"unit {kind}")
+        chosen = decided.where("_left = 1").select("unit").unionByName(last)
+    chosen = chosen.withColumnRenamed("unit", "_unit")
     out = rows.join(chosen, F.col("unit") == F.col("_unit"), "left").withColumn("sampled", F.col("_unit").isNotNull())
     return out.withColumn("pi", F.col("_p")).drop("_unit")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Units up to which routes are optimal by dynamic programming over subsets.
-EXACT = 11
+EXACT = 13
 
 
 @dataclass
@@ -63,90 +63,87 @@ def feasible(p: Problem, depot: int, route: list[int]) -> bool:
     )
 
 
+def _tours(p: Problem, depot: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By subset of the units (a bit each): the length of its shortest tour from the depot, the tour's last unit, and the
+    unit before each last one. Subsets of a size are done together."""
+    d, u, n = p.travel, p.units, len(p.units)
+    inner, sets = d[np.ix_(u, u)], np.arange(1 << n)
+    cost, back = np.full((1 << n, n), math.inf), np.full((1 << n, n), -1, dtype=np.int8)
+    cost[1 << np.arange(n), np.arange(n)] = d[depot, u]
+    for k in range(2, n + 1):
+        own = sets[sizes == k]
+        for j in range(n):
+            these = own[(own >> j) & 1 == 1]
+            reach = cost[these ^ (1 << j)] + inner[:, j]
+            before = reach.argmin(1)
+            cost[these, j], back[these, j] = reach[np.arange(len(these)), before], before
+    home = cost + d[u, depot]
+    last = home.argmin(1)
+    return home[sets, last], last, back
+
+
+def _parts(s: int) -> np.ndarray:
+    """All subsets of ``s`` that have its lowest bit."""
+    out = np.array([s & -s])
+    rest = s & (s - 1)
+    while rest:
+        out = np.concatenate([out, out | (rest & -rest)])
+        rest &= rest - 1
+    return out
+
+
 def _exact(p: Problem) -> tuple[list[tuple[int, list[int]]], float] | None:
     """Optimal routes: the shortest tour of every subset from every depot, then the cheapest partition."""
-    n = len(p.units)
-    d, u = p.travel, p.units
-    full = (1 << n) - 1
-    best_tour = np.full(1 << n, math.inf)
-    tour_of: dict[int, tuple[int, list[int]]] = {}
-    sums = np.zeros(1 << n)
-    load = np.zeros(1 << n)
-    for s in range(1, 1 << n):
-        low = (s & -s).bit_length() - 1
-        sums[s] = sums[s & (s - 1)] + p.service[u[low]]
-        load[s] = load[s & (s - 1)] + p.demand[u[low]]
-    inner = d[np.ix_(u, u)]
-    for depot in p.depots:
-        cost = np.full((1 << n, n), math.inf)
-        back = np.full((1 << n, n), -1, dtype=np.int8)
-        for j in range(n):
-            cost[1 << j, j] = d[depot, u[j]]
-        for s in range(1, 1 << n):
-            ends = [j for j in range(n) if s >> j & 1]
-            if len(ends) < 2:
-                continue
-            for j in ends:
-                before = s & ~(1 << j)
-                reach = cost[before] + inner[:, j]
-                i = int(reach.argmin())
-                cost[s, j], back[s, j] = reach[i], i
-        home = cost + d[u, depot][None, :]
-        last = home.argmin(1)
-        length = home[np.arange(1 << n), last]
-        for s in range(1, 1 << n):
-            if length[s] < best_tour[s] - 1e-12 and bin(s).count("1") <= p.max_stops and load[s] <= p.capacity + 1e-9 and length[s] + sums[s] <= p.max_length + 1e-9:
-                best_tour[s] = length[s]
-                route, at, j = [], s, int(last[s])
-                while j >= 0:
-                    route.append(u[j])
-                    at, j = at & ~(1 << j), int(back[at, j])
-                tour_of[s] = (depot, route[::-1])
     limited = p.fleet is not None and any(f is not None for f in p.fleet)
     if limited and len(p.depots) > 1:
         return None
-    most = p.fleet[0] if limited else None
-    price = best_tour + p.route_cost
-    layers = [np.full(1 << n, math.inf)]
-    layers[0][0] = 0.0
-    choice: list[np.ndarray] = []
-    if most is None:
-        value, pick = np.full(1 << n, math.inf), np.zeros(1 << n, dtype=np.int64)
-        value[0] = 0.0
-        for s in range(1, 1 << n):
-            low = s & -s
-            sub = s
-            while sub:
-                if sub & low and price[sub] + value[s ^ sub] < value[s] - 1e-12:
-                    value[s], pick[s] = price[sub] + value[s ^ sub], sub
-                sub = (sub - 1) & s
-        if not math.isfinite(value[full]):
-            return None
-        out, s = [], full
-        while s:
-            out.append(tour_of[int(pick[s])])
-            s ^= int(pick[s])
-        return out, float(value[full])
-    for _ in range(most):
-        before, value, pick = layers[-1], layers[-1].copy(), np.zeros(1 << n, dtype=np.int64)
-        for s in range(1, 1 << n):
-            low, sub = s & -s, s
-            while sub:
-                if sub & low and price[sub] + before[s ^ sub] < value[s] - 1e-12:
-                    value[s], pick[s] = price[sub] + before[s ^ sub], sub
-                sub = (sub - 1) & s
-        layers.append(value)
-        choice.append(pick)
-    if not math.isfinite(layers[-1][full]):
+    n, u = len(p.units), p.units
+    full = (1 << n) - 1
+    has = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)
+    sizes, busy, load = has.sum(1), has @ p.service[u], has @ p.demand[u]
+    allowed = (sizes <= p.max_stops) & (load <= p.capacity + 1e-9)
+    best, by, found = np.full(1 << n, math.inf), np.full(1 << n, -1), []
+    for i, depot in enumerate(p.depots):
+        length, last, back = _tours(p, depot, sizes)
+        better = allowed & (length + busy <= p.max_length + 1e-9) & (length < best - 1e-12)
+        best[better], by[better] = length[better], i
+        found.append((last, back))
+    best[0] = math.inf
+
+    def route(s: int) -> tuple[int, list[int]]:
+        last, back = found[by[s]]
+        out, j = [], int(last[s])
+        while j >= 0:
+            out.append(u[j])
+            s, j = s & ~(1 << j), int(back[s, j])
+        return p.depots[by[int(sum(1 << u.index(x) for x in out))]], out[::-1]
+
+    price = best + p.route_cost
+    # value[s]: the cheapest routes through s, with as many routes as the layer allows
+    value = np.full(1 << n, math.inf)
+    value[0] = 0.0
+    choices: list[np.ndarray] = []
+    for _ in range(min(n, p.fleet[0]) if limited else 1):
+        before = value if not limited else value.copy()
+        value, pick = before.copy(), np.zeros(1 << n, dtype=np.int64)
+        for s in range(1, full + 1):
+            parts = _parts(s)
+            sums = price[parts] + (value if not limited else before)[s ^ parts]
+            i = int(sums.argmin())
+            if sums[i] < value[s] - 1e-12:
+                value[s], pick[s] = sums[i], parts[i]
+        choices.append(pick)
+    if not math.isfinite(value[full]):
         return None
-    out, s, k = [], full, most
+    out, s, layer = [], full, len(choices) - 1
     while s:
-        sub = int(choice[k - 1][s])
-        k -= 1
-        if sub:
-            out.append(tour_of[sub])
-            s ^= sub
-    return out, float(layers[-1][full])
+        part = int(choices[layer][s])
+        if part:
+            out.append(route(part))
+            s ^= part
+        if limited:
+            layer -= 1
+    return out, float(value[full])
 
 
 def _tour(d: np.ndarray, depot: int, route: list[int], passes: int = 20) -> list[int]:

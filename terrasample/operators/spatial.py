@@ -126,19 +126,17 @@ class _Open:
         return found
 
 
-def local_pivotal(x: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
+def pivotal_flight(x: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
     """Local pivotal method 2 (Grafström, Lundström and Schelin 2012): a random undecided unit fights its nearest
-    undecided neighbour until all are decided. Returns booleans; the sample size is fixed if the sum of ``pi`` is whole."""
+    undecided neighbour until at most one is undecided. Returns probabilities: 1, 0, and of that one what is left."""
     random = Random(int(seed))
     eps = 1e-9
     p = [float(v) for v in pi]
-    chosen = np.array([v >= 1 - eps for v in p], dtype=bool)
     units = [u for u, v in enumerate(p) if eps < v < 1 - eps]
-    if not units:
-        return chosen
-    where = {u: n for n, u in enumerate(units)}
-    near = _Open(np.asarray(x, dtype=float))
-    near.build(units)
+    if units:
+        where = {u: n for n, u in enumerate(units)}
+        near = _Open(np.asarray(x, dtype=float))
+        near.build(units)
     while len(units) > 1:
         if len(units) * 4 < near.built:
             near.build(units)
@@ -153,49 +151,68 @@ def local_pivotal(x: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
             p[i], p[j] = (1.0, total - 1) if total >= 2 or u < (1 - b) / (2 - total) else (total - 1, 1.0)
         for k in (i, j):
             if not eps < p[k] < 1 - eps:
-                chosen[k] = p[k] > 0.5
                 near.drop(k)
                 at, last = where.pop(k), units.pop()
                 if last != k:
                     units[at] = last
                     where[last] = at
-    for k in units:
-        chosen[k] = random.random() < p[k]
-    return chosen
+    out = np.array(p)
+    out[out <= eps], out[out >= 1 - eps] = 0.0, 1.0
+    return out
+
+
+def local_pivotal(x: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
+    """Whether each unit is drawn; the sample size is fixed if the sum of ``pi`` is whole."""
+    p = pivotal_flight(x, pi, seed)
+    return p > Random(int(seed) + 1).random()
 
 
-def cube(balance: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
-    """Cube method (Deville and Tillé 2004): fast flight on rows of balancing variables (the first is ``pi``, which
-    fixes the size), landing by dropping the last variables one by one."""
-    random = np.random.default_rng(seed)
-    p = np.array(pi, dtype=float)
+def _flight(a: np.ndarray, p: np.ndarray, q: int, order: np.ndarray, random: np.random.Generator) -> None:
+    """Move probabilities, ``q`` of whose balancing sums stay as they are, until too few are undecided to go on."""
     eps = 1e-9
-    a = np.divide(balance, p[:, None], out=np.zeros_like(balance, dtype=float), where=p[:, None] > eps)
+    free = [int(i) for i in order if eps < p[i] < 1 - eps]
+    at, block = 0, []
+    while True:
+        while at < len(free) and len(block) < q + 1:
+            block.append(free[at])
+            at += 1
+        if not block:
+            return
+        m = a[block][:, :q].T
+        if len(block) <= q and np.linalg.matrix_rank(m, tol=1e-8) >= len(block):
+            return  # fewer units than sums, and no direction is left
+        u = np.linalg.svd(m)[2][-1] if q else np.eye(len(block))[0]
+        if q and np.abs(m @ u).max() > 1e-6 * max(1.0, np.abs(m).max()):
+            return
+        now = p[block]
+        up = np.min(np.where(u > 1e-12, (1 - now) / np.where(u > 1e-12, u, 1), np.where(u < -1e-12, -now / np.where(u < -1e-12, u, 1), np.inf)))
+        down = np.min(np.where(u > 1e-12, now / np.where(u > 1e-12, u, 1), np.where(u < -1e-12, (now - 1) / np.where(u < -1e-12, u, 1), np.inf)))
+        step = up if random.random() < down / (up + down) else -down
+        p[block] = np.clip(now + step * u, 0, 1)
+        block = [i for i in block if eps < p[i] < 1 - eps]
+
+
+def _per_unit(balance: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.divide(balance, p[:, None], out=np.zeros_like(balance, dtype=float), where=p[:, None] > 1e-9)
+
+
+def cube_flight(balance: np.ndarray, pi: np.ndarray, seed: int) -> np.ndarray:
+    """The flight of the cube method (Deville and Tillé 2004): probabilities of which about as many are undecided as there
+    are balancing variables. The first variable is ``pi``, which fixes the size."""
+    random, p = np.random.default_rng(seed), np.array(pi, dtype=float)
+    _flight(_per_unit(balance, p), p, balance.shape[1], random.permutation(len(p)), random)
+    p[p <= 1e-9], p[p >= 1 - 1e-9] = 0.0, 1.0
+    return p
+
+
+def cube(balance: np.ndarray, pi: np.ndarray, seed: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Flight, then landing by dropping the last variables one by one. ``start`` are probabilities that a flight has left,
+    for which the sums are those of ``pi``."""
+    random, p = np.random.default_rng(seed), np.array(pi if start is None else start, dtype=float)
+    a = _per_unit(balance, np.array(pi, dtype=float))
     order = random.permutation(len(p))
     for q in range(balance.shape[1], -1, -1):
-        free = [int(i) for i in order if eps < p[i] < 1 - eps]
-        block: list[int] = []
-        while True:
-            while free and len(block) < q + 1:
-                block.append(free.pop(0))
-            if len(block) < q + 1 or not block:
-                if len(block) == 0 or (q == 0 and not block):
-                    break
-                if len(block) <= q:
-                    # fewer units than variables: go on only while a direction is left
-                    m = a[block][:, :q].T
-                    if np.linalg.matrix_rank(m, tol=1e-8) >= len(block):
-                        break
-            m = a[block][:, :q].T
-            u = np.linalg.svd(m)[2][-1] if q else np.eye(len(block))[0]
-            if q and np.abs(m @ u).max() > 1e-6 * max(1.0, np.abs(m).max()):
-                break
-            now = p[block]
-            up = np.min(np.where(u > 1e-12, (1 - now) / np.where(u > 1e-12, u, 1), np.where(u < -1e-12, -now / np.where(u < -1e-12, u, 1), np.inf)))
-            down = np.min(np.where(u > 1e-12, now / np.where(u > 1e-12, u, 1), np.where(u < -1e-12, (now - 1) / np.where(u < -1e-12, u, 1), np.inf)))
-            step = up if random.random() < down / (up + down) else -down
-            p[block] = np.clip(now + step * u, 0, 1)
-            block = [i for i in block if eps < p[i] < 1 - eps]
+        _flight(a, p, q, order, random)
     return p >= 0.5
 
 

@@ -7,7 +7,8 @@ import pytest
 
 from terrasample.operators.routing import legs, route_fieldwork, route_summary
 from terrasample.operators.schedule import schedule_calendar, schedule_fieldwork
-from terrasample.operators.solver import EXACT, Infeasible, route_length
+from terrasample.operators import solver
+from terrasample.operators.solver import EXACT, Infeasible, Problem, route_length
 from terrasample.operators.travel import CostModel
 
 
@@ -34,6 +35,32 @@ def test_exact_against_brute_force():
     assert r.total == pytest.approx(brute(d, range(1, 8), 3)) and r.optimal and sorted(u for *_, u in r.stops) == sorted(names[1:])
 
 
+def test_thirteen_units_are_solved_exactly():
+    d, names = square(13, 6)
+    r = route_fieldwork((d, names), names[1:], "depot", max_stops=5, service_time=0.1, max_length=60)
+    assert r.optimal and sorted(u for *_, u in r.stops) == sorted(names[1:]) and max(r.durations) <= 60 and r.n_routes >= 3
+    searched = solver._search(Problem(d, [0], list(range(1, 14)), np.full(14, 0.1), np.zeros(14), 60, 5), 40, None, 1)[0]
+    assert r.total <= sum(route_length(d, k, x) for k, x in searched) + 1e-9
+
+
+@pytest.mark.parametrize("fleet", [None, [2], [3]])
+def test_exact_with_a_fleet_and_two_depots(fleet):
+    d, _ = square(7, 11)
+    p = Problem(d, [0] if fleet else [0, 7], list(range(1, 7)), np.zeros(8), np.ones(8), max_stops=4, capacity=3.0 if fleet == [2] else 4.0, route_cost=1.0, fleet=fleet)
+    routes, value = solver._exact(p)
+    best = math.inf
+    for order in itertools.permutations(p.units):
+        for cuts in range(1 << 5):
+            parts, at = [], 0
+            for i in range(6):
+                if i == 5 or cuts >> i & 1:
+                    parts.append(list(order[at : i + 1]))
+                    at = i + 1
+            if all(len(x) <= min(4, p.capacity) for x in parts) and (fleet is None or len(parts) <= fleet[0]):
+                best = min(best, sum(min(route_length(d, k, x) for k in p.depots) + 1.0 for x in parts))
+    assert value == pytest.approx(best) and value == pytest.approx(sum(route_length(d, k, x) + 1.0 for k, x in routes))
+
+
 def test_asymmetric_total_is_the_sum_of_legs():
     d = np.random.default_rng(2).uniform(1, 10, (9, 9))
     np.fill_diagonal(d, 0)

@@ -7,6 +7,7 @@ from terrasample.operators.ordering import lowest, running_total, with_index
 from terrasample.operators.points import expected_hits, select_points
 from terrasample.operators.overlap import frame_overlap
 from terrasample.operators.select import select_units
+from terrasample.operators import spatial
 from terrasample.operators.spatial import cube, local_pivotal, neighbours
 
 
@@ -122,3 +123,31 @@ def test_segments(spark, grid):
     lost = tracts.withColumn("unit", F.lit("nowhere"))
     with pytest.raises(ValueError, match="not sampled"):
         segment_estimator(lost, s)
+
+
+@pytest.mark.parametrize(("method", "options"), [("lpm", {}), ("lpm", {"size": "size"}), ("cube", {"size": "size", "balance": ["x", "crop"]})])
+def test_draws_in_blocks(grid, monkeypatch, method, options):
+    from terrasample.operators import select
+
+    monkeypatch.setattr(select, "BLOCK", 12)
+    s = select_units(grid, 30, method=method, strata="h", seed=4, **options)
+    again = select_units(grid.repartition(3), 30, method=method, strata="h", seed=4, **options)
+    assert {r.unit for r in s.sampled().collect()} == {r.unit for r in again.sampled().collect()}
+    by = {r.h: r for r in s.df.groupBy("h").agg(F.count(F.when(F.col("sampled"), 1)).alias("n"), F.sum("pi").alias("e")).collect()}
+    assert all(r.n == pytest.approx(r.e) for r in by.values()) and sum(r.n for r in by.values()) == 30
+    if method == "cube":  # the sums are kept but for the landing of a few units
+        e = s.df.agg(F.sum(F.when(F.col("sampled"), F.col("x") / F.col("pi"))), F.sum("x")).first()
+        assert e[0] == pytest.approx(e[1], rel=0.25)
+
+
+def test_flights_leave_few_open():
+    r = np.random.default_rng(0)
+    x, p = r.random((300, 2)), r.uniform(0.05, 0.6, 300)
+    p *= 70 / p.sum()
+    a = spatial.pivotal_flight(x, p, 1)
+    assert ((a > 0) & (a < 1)).sum() <= 1 and a.sum() == pytest.approx(70)
+    balance = np.column_stack([p, x * p[:, :1] if p.ndim > 1 else x * p[:, None]])
+    c = spatial.cube_flight(balance, p, 1)
+    assert ((c > 0) & (c < 1)).sum() <= 3 and np.allclose(balance.T @ (c / p), balance.sum(0))
+    hits = sum(spatial.local_pivotal(x, p, s) for s in range(300)) / 300
+    assert abs(hits - p).max() < 0.13
