@@ -25,7 +25,9 @@ sizes and rare tokens leave a chance are compared after that. Every comparison i
 joins two components is lost, while a group of thousands of copies costs about as many comparisons as it has members.
 Sets under a very common signature are compared in blocks of ``SIDE`` sets, so no task has them all.
 
-Every text is read once: its tokens are written to a scratch table, and all later steps read that.
+Whole sets are never stored or shuffled but for those that are compared: they would be several times the texts' size. The
+steps that need more than a prefix (what replaces frequent tokens, combinations, comparison) make them from the texts again,
+for the rows that a bitmap of ids lets through.
 
 Links are counted, where that is asked for, after the components are known: both ends of a link are in one component, so
 all pairs of different sets within each component are compared, exactly. Large components are split into blocks of about
@@ -119,46 +121,55 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _int64(flat))
 
 
-def _stored(column: pa.Array) -> Iterator[np.ndarray]:
-    """The token sets of a column of lists."""
-    flat, at = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.offsets)
-    at = at - at[0]
-    for i in range(len(column)):
-        yield flat[at[i] : at[i + 1]]
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    h, at = shingle_hashes(column, k)
+    for i in range(len(at) - 1):
+        yield np.unique(h[at[i] : at[i + 1]])
 
 
-def token_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``id, h, t, n, node, prefix, tokens`` of each document, ``h`` and ``t`` the hashes of its id and text; a set without
-    tokens has no node."""
+def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``id, t, n, node, prefix`` of each document, ``t`` the hash of its text; a set without tokens has no node."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, at = shingle_hashes(batch.column(3), k)
-            sets = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            node = pa.array([int(node_of(s).view(np.int64)) if len(s) else None for s in sets], pa.int64())
-            prefix = _lists([s[: slack(len(s), percent) + 1] if len(s) else s for s in sets])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), node, prefix, _lists(sets)], names=["id", "h", "t", "n", "node", "prefix", "tokens"])
-
-    rows = docs.select("id", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(run, f"id {kind}, h long, t long, n long, node long, prefix array<long>, tokens array<long>")
-
-
-def _of(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, tokens`` of the sets in ``nodes`` (with ``least``, the least id of the rows that have the set). Rows are picked
-    where they lie, by a bitmap of the ids, which lets some others through; beyond its capacity by a join."""
-    wanted = nodes.select(F.xxhash64("least").alias("wanted"))
-    count = nodes.count()
+            n, node, prefix = [], [], []
+            for s in _sets(batch.column(2), k):
+                n.append(len(s))
+                node.append(int(node_of(s).view(np.int64)) if len(s) else None)
+                prefix.append(s[: slack(len(s), percent) + 1].copy() if len(s) else s)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], names=["id", "t", "n", "node", "prefix"])
+
+    return docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"id {kind}, t long, n long, node long, prefix array<long>")
+
+
+def _picked(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Bitmap | None]:
+    """``h, text`` of the documents that may hold one of the sets ``nodes`` (with ``least``, the least id that has the set),
+    and the bitmap of the hashes of these ids to filter them by where they lie. Beyond a bitmap's capacity they are
+    joined by a shuffle, and there is none."""
+    wanted, count = nodes.select(F.xxhash64("least").alias("wanted")), nodes.count()
+    rows = docs.select(F.xxhash64("id").alias("h"), "text")
     if count > CAPACITY:
-        return rows.join(wanted.distinct(), F.col("h") == F.col("wanted"), "left_semi").select("node", "tokens")
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "wanted", count))
+        return rows.join(wanted.distinct(), F.col("h") == F.col("wanted"), "left_semi"), None
+    return rows, bitmap_of(wanted, "wanted", count)
+
+
+def _through(batch: pa.RecordBatch, ids: Bitmap | None) -> pa.Array:
+    """Texts of a batch of ``h, text`` that the bitmap lets through."""
+    return batch.column(1) if ids is None else batch.column(1).filter(pa.array(ids.has(np.asarray(batch.column(0)))))
+
+
+def whole_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
+    """``node, tokens`` of the sets in ``nodes``, and of some others. A node may come twice."""
+    rows, ids = _picked(docs, nodes)
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(np.asarray(batch.column(0))))).select([1, 2])
+            tokens = [s for s in _sets(_through(batch, shared.value), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([_int64(np.array([node_of(s) for s in tokens], dtype=np.uint64)), _lists(tokens)], names=["node", "tokens"])
 
-    return rows.where("node is not null").select("h", "node", "tokens").mapInArrow(run, "node long, tokens array<long>")
+    return rows.mapInArrow(run, "node long, tokens array<long>")
 
 
 def _frequent(counts: DataFrame) -> tuple[Bitmap, int]:
@@ -172,36 +183,27 @@ def _frequent(counts: DataFrame) -> tuple[Bitmap, int]:
     return bitmap_of(counts.where(F.col("count") >= limit), "token", sum(n for d, n in sizes.items() if d >= low)), limit
 
 
-def _instead(hot: DataFrame, percent: int, frequent: Bitmap) -> DataFrame:
+def _instead(texts: tuple[DataFrame, Bitmap | None], k: int, percent: int, frequent: Bitmap) -> DataFrame:
     """``token`` rows: what sets with frequent tokens in their plain prefix would be indexed under besides it."""
-    shared = hot.sparkSession.sparkContext.broadcast(frequent)
+    rows, ids = texts
+    shared = rows.sparkSession.sparkContext.broadcast((frequent, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            frequent, ids = shared.value
             out = [np.zeros(0, dtype=np.uint64)]
-            for s in _stored(batch.column(0)):
+            for s in _sets(_through(batch, ids), k):
                 need = slack(len(s), percent) + 1
-                flags = shared.value.has(s[:need])
+                flags = frequent.has(s[:need]) if len(s) else np.zeros(0, dtype=bool)
                 if not flags.any():
                     continue
                 rest = s[need:]
                 if flags.mean() < MOSTLY:
-                    rest = rest[: int(np.searchsorted(np.cumsum(~shared.value.has(rest)), flags.sum())) + 1]
+                    rest = rest[: int(np.searchsorted(np.cumsum(~frequent.has(rest)), flags.sum())) + 1]
                 out.append(rest)
             yield pa.RecordBatch.from_arrays([_int64(np.concatenate(out))], names=["token"])
 
-    return hot.select("tokens").mapInArrow(run, "token long")
-
-
-def _hot(sets: DataFrame, frequent: Bitmap) -> DataFrame:
-    """``node, least`` of the sets that have a frequent token in their plain prefix."""
-    shared, kind = sets.sparkSession.sparkContext.broadcast(frequent), dict(sets.dtypes)["least"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.has(s).any() for s in _stored(batch.column(2))], pa.bool_())).select([0, 1])
-
-    return sets.select("node", "least", "prefix").mapInArrow(run, f"node long, least {kind}")
+    return rows.mapInArrow(run, "token long")
 
 
 def _singles(sets: DataFrame, frequent: Bitmap, common: Bitmap) -> DataFrame:
@@ -225,29 +227,32 @@ def _singles(sets: DataFrame, frequent: Bitmap, common: Bitmap) -> DataFrame:
     return sets.select("node", "n", "prefix").mapInArrow(run, "sig long, node long, n long, rare long, pair boolean")
 
 
-def _combined(hot: DataFrame, percent: int, frequent: Bitmap) -> DataFrame:
+def _combined(texts: tuple[DataFrame, Bitmap | None], k: int, percent: int, frequent: Bitmap) -> DataFrame:
     """The sets with frequent tokens in their plain prefix: ``node, n, rare``, the signatures ``one`` and ``two``, and how many
     of ``one`` are in the plain prefix. A set that comes twice repeats its rows, which changes nothing."""
-    shared = hot.sparkSession.sparkContext.broadcast(frequent)
+    rows, ids = texts
+    shared = rows.sparkSession.sparkContext.broadcast((frequent, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, numbers, ones, twos = [], [], [], []
-            for i, s in enumerate(_stored(batch.column(1))):
+            frequent, ids = shared.value
+            nodes, numbers, ones, twos = [], [], [], []
+            for s in _sets(_through(batch, ids), k):
                 plain = s[: slack(len(s), percent) + 1]
-                if not shared.value.has(plain).any():
+                if not len(s) or not frequent.has(plain).any():
                     continue
-                flags = shared.value.has(s)
+                flags = frequent.has(s)
                 one, two = signatures(s, flags, percent)
-                keep.append(i)
+                nodes.append(node_of(s))
                 numbers.append((len(s), int((~flags).sum()), int((one <= plain[-1]).sum())))
                 ones.append(one)
                 twos.append(two)
             numbers = np.array(numbers, dtype=np.int64).reshape(-1, 3)
-            node = batch.column(0).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([node, *[pa.array(numbers[:, i]) for i in range(3)], _lists(ones), _lists(twos)], names=["node", "n", "rare", "plain", "one", "two"])
+            yield pa.RecordBatch.from_arrays(
+                [_int64(np.array(nodes, dtype=np.uint64)), *[pa.array(numbers[:, i]) for i in range(3)], _lists(ones), _lists(twos)], names=["node", "n", "rare", "plain", "one", "two"]
+            )
 
-    return hot.select("node", "tokens").mapInArrow(run, "node long, n long, rare long, plain long, one array<long>, two array<long>")
+    return rows.mapInArrow(run, "node long, n long, rare long, plain long, one array<long>, two array<long>")
 
 
 def _signed(sets: DataFrame, common: Bitmap) -> DataFrame:
@@ -286,11 +291,11 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(most >= _enough(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that link, by exact intersection of the sets of those that are still possible."""
     pairs = scratch.table(_possible(pairs, sets, percent))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    tokens = scratch.table(_of(rows, scratch.table(sets.join(ends, "node", "left_semi").select("node", "least")), scratch))
+    tokens = scratch.table(whole_sets(docs, k, scratch.table(sets.join(ends, "node", "left_semi").select("node", "least"))))
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -364,13 +369,13 @@ def _linked_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "node long, added long")
 
 
-def _counted(found: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _counted(found: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """``node, added``: rows of other sets that a set links with, for those with any."""
     members = found.join(sets.select("node", "least", "n", "copies"), "node")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int")
     members = members.join(members.groupBy(F.col("component").alias("c")).agg(blocks.alias("blocks")), F.col("component") == F.col("c"))
     members = scratch.table(members.select("node", "least", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")))
-    spread = _of(rows, members, scratch).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = whole_sets(docs, k, members).join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "copies", "own", "tokens")
     spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     out = scratch.table(_linked_in_blocks(spread, percent).groupBy("node").agg(F.sum("added").alias("added")))
@@ -418,7 +423,7 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     scratch = Scratch(spark, "ngram")
     docs = only(docs, id_col, text_col).toDF("id", "text")
 
-    rows = scratch.table(token_sets(docs, k, percent))
+    rows = scratch.table(prefixes(docs, k, percent))
     sets = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     sets = scratch.table(sets)
 
@@ -428,23 +433,16 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     common = bitmap_of(counts, "token", known)
     frequent, limit = _frequent(counts)
     if frequent.any():
-        hot = scratch.table(_of(rows, scratch.table(_hot(sets, frequent)), scratch))
-        more = scratch.table(_instead(hot, percent, frequent).groupBy("token").count().where(F.col("count") >= limit))
-        extra = more.count()
-        if extra:  # of both kinds together, in one bitmap
-            both = counts.where(F.col("count") >= limit).select("token").unionAll(more.select("token"))
-            frequent = bitmap_of(both, "token", both.count())
-            hot_now = scratch.table(_of(rows, scratch.table(_hot(sets, frequent)), scratch))
-            scratch.drop(hot)
-            hot = hot_now
-        cold = _singles(sets, frequent, common)
-        combined = scratch.table(_combined(hot, percent, frequent))
-        scratch.drop(hot, more)
+        texts = _picked(docs, sets)
+        more = scratch.table(_instead(texts, k, percent, frequent).groupBy("token").count().where(F.col("count") >= limit).select("token"))
+        both = counts.where(F.col("count") >= limit).select("token").unionAll(more)
+        frequent = bitmap_of(both, "token", both.count())
+        combined = scratch.table(_combined(texts, k, percent, frequent))
         beyond = combined.select(F.explode(F.slice("one", F.col("plain").cast("int") + 1, F.size("one"))).alias("token"))
         also = counts.select("token").unionAll(beyond)
         common = bitmap_of(also, "token", also.count())
-        signed = scratch.table(cold.unionByName(_signed(combined, common)))
-        scratch.drop(combined)
+        signed = scratch.table(_singles(sets, frequent, common).unionByName(_signed(combined, common)))
+        scratch.drop(combined, more)
     else:
         signed = scratch.table(_singles(sets, frequent, common))
     scratch.drop(counts)
@@ -459,7 +457,7 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     pivot_n = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n2"))
     first = with_n.join(pivot_n, "pivot").where(size_ok & (F.col("n2") * 100 >= F.col("n") * percent))
     first = scratch.table(first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    links = _verified(first, rows, sets, percent, scratch)
+    links = _verified(first, docs, sets, k, percent, scratch)
     found = components(links, scratch)
 
     # the rest: pairs from different components that can still reach the similarity
@@ -474,7 +472,7 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     second = scratch.table(_apart(rest, percent).join(first, ["a", "b"], "left_anti"))
     more = None
     if second.limit(1).count():
-        more = _verified(second, rows, sets, percent, scratch)
+        more = _verified(second, docs, sets, k, percent, scratch)
     if more is not None and more.limit(1).count():
         old = found.select(F.col("node").alias("v"), F.col("component").alias("c"))
         near = more.join(old, F.col("a") == F.col("v"), "left").select(F.coalesce("c", "a").alias("a"), "b")
@@ -485,7 +483,7 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
         found = found.unionByName(loose).join(top, F.col("component") == F.col("t"), "left").select("node", F.coalesce("top", "component").alias("component"))
         found = scratch.table(found)
     scratch.drop(first, rest, second)
-    return rows, sets, found, _counted(found, rows, sets, percent, scratch) if count else None
+    return rows, sets, found, _counted(found, docs, sets, k, percent, scratch) if count else None
 
 
 #: Most rows of ids broadcast to filter texts where they lie; beyond it ids and texts are joined by a shuffle.
