@@ -16,7 +16,7 @@ from terrasample.operators.pointdesign import point_design_effect
 from terrasample.operators.select import Sample, inclusion_probabilities, select_units
 from terrasample.functions.columns import HILBERT_BITS, hilbert
 from terrasample.plans.tables import (
-    ALLOC, AREAS, CELLS, HILBERT, LISTED, N_SYS, PPS, REPLICATES, SRS, TRACTS, areas, cells, listed, n_srs, read, srs, systematic, systematic_sql, tracts,
+    ALLOC, AREAS, CELLS, HILBERT, LEAST_SRS, LISTED, N_SRS, N_SYS, PPS, REPLICATES, SEED, SRS, TRACTS, areas, cells, listed, n_srs, read, srs, systematic, systematic_sql, tracts,
 )
 from terrasample.sources import areaframe, survey
 
@@ -419,8 +419,14 @@ def route_segments(spark, sf):
     return routing.route_segments(_given_routes(spark, sf), units, ("x", "y"))
 
 
+def _field_sample(spark, sf) -> DataFrame:
+    """All units of a design of 60, what the teams of the plan below can visit."""
+    s = select_units(cells(spark, sf), LEAST_SRS, strata="stratum", method="srs", seed=SEED)
+    return s.sampled().select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
+
+
 def _plan(spark, sf) -> schedule.Schedule:
-    p = srs(spark, sf).sampled().select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
+    p = _field_sample(spark, sf)
     bases = spark.createDataFrame([("north", 10.0, 5.0), ("south", 30.0, 25.0)], "unit string, x double, y double")
     names = [x["unit"] for x in p.orderBy("unit").collect()]
     m = travel.travel_matrix(p, "euclidean", bases=bases, coords=["x", "y"])
@@ -428,7 +434,7 @@ def _plan(spark, sf) -> schedule.Schedule:
     return schedule.schedule_fieldwork(m, names, {"north": 2, "south": 2}, days, max_stops=4, service_time=1.0, iterations=20, seed=1)
 
 
-_UNITS = f"WITH {SRS}, units AS (SELECT unit::VARCHAR AS unit FROM sample WHERE sampled), days AS (SELECT (count(*) + 14) // 15 AS days FROM units)"
+_UNITS = f"WITH {SRS.replace(N_SRS, str(LEAST_SRS))}, units AS (SELECT unit::VARCHAR AS unit FROM sample WHERE sampled), days AS (SELECT (count(*) + 14) // 15 AS days FROM units)"
 
 
 @query(f"{_UNITS} SELECT unit, 1::BIGINT AS visits, true AS within FROM units")
@@ -464,7 +470,7 @@ def calendar(spark, sf):
 @query(f"{_UNITS} SELECT unit, 1::BIGINT AS visits, true AS within, true AS measured FROM units")
 def routes(spark, sf):
     """Every sampled unit is on one route of six stops at most, and the routes are as long as their legs."""
-    p = srs(spark, sf).sampled().select(F.col("unit").cast("string").alias("unit"), F.col("x").cast("double"), F.col("y").cast("double"))
+    p = _field_sample(spark, sf)
     base = spark.createDataFrame([("depot", 20.0, 15.0)], "unit string, x double, y double")
     names = [x["unit"] for x in p.orderBy("unit").collect()]
     matrix = travel.travel_matrix(p, "euclidean", bases=base, coords=["x", "y"])

@@ -45,7 +45,7 @@ def test_point_deff_has_all_cells_and_areas(spark, monkeypatch):
 
 
 def test_every_sampled_unit_is_routed_and_scheduled(spark):
-    sampled = sorted(str(r["unit"]) for r in Q.srs(spark, SF).sampled().select("unit").collect())
+    sampled = sorted(r["unit"] for r in Q._field_sample(spark, SF).select("unit").collect())
     assert sorted(r["unit"] for r in Q.QUERIES["routes"](spark, SF).collect()) == sampled
     plan = Q._plan(spark, SF)
     assert sorted(u for units in plan.calendar["units"] for u in units) == sampled
