@@ -216,13 +216,8 @@ def cube(balance: np.ndarray, pi: np.ndarray, seed: int, start: np.ndarray | Non
     return p >= 0.5
 
 
-def nearest_sampled(frame: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest sampled point of each frame point, the lowest of ties, and the squared distance. Up to some
-    thousands of sampled points all distances, a block at a time, cost less than a search by cells."""
-    if len(sample) > 8192:
-        grid = Grid(sample)
-        found = [grid.nearest(p, 1) for p in frame]
-        return np.array([f[0][0] for f in found], dtype=int), np.array([f[1][0] for f in found])
+def _by_distance(frame: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distances, a block at a time."""
     at, best = np.empty(len(frame), dtype=int), np.empty(len(frame))
     step = max(1, 2_000_000 // max(1, len(sample)))
     for a in range(0, len(frame), step):
@@ -232,3 +227,53 @@ def nearest_sampled(frame: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray,
         at[a : a + step] = d.argmin(1)
         best[a : a + step] = d.min(1)
     return at, best
+
+
+#: Sampled points from which a search by cells costs less than all distances.
+MANY = 2048
+
+
+def nearest_sampled(frame: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest sampled point of each frame point, the lowest of ties, and the squared distance.
+
+    Of many sampled points only those in the cell of a frame point and the eight around it are looked at, for all frame
+    points together; who is nearer to the edge of these cells than to any of them looks again in cells four times as wide.
+    """
+    if len(sample) <= MANY:
+        return _by_distance(frame, sample)
+    flat, own = (x[:, :2] if x.shape[1] > 1 else np.column_stack([x[:, 0], np.zeros(len(x))]) for x in (sample, frame))
+    low = np.minimum(flat.min(0), own.min(0))
+    span = np.maximum(flat.max(0), own.max(0)) - low
+    width = max(float(np.sqrt(np.prod(np.where(span > 0, span, 1)) * 2 / len(sample))), float(span.max()) / 4096, 1e-12)
+    at, best = np.full(len(frame), -1), np.full(len(frame), np.inf)
+    left = np.arange(len(frame))
+    while len(left):
+        if width * 3 >= span.max():
+            at[left], best[left] = _by_distance(frame[left], sample)
+            break
+        shape = (span // width + 1).astype(np.int64)
+        cell = ((flat - low) // width).astype(np.int64)
+        key = cell[:, 0] * shape[1] + cell[:, 1]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        for a in range(0, len(left), 200_000):
+            some = left[a : a + 200_000]
+            place = ((own[some] - low) // width).astype(np.int64)
+            for i in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    x, y = place[:, 0] + i, place[:, 1] + j
+                    inside = (x >= 0) & (x < shape[0]) & (y >= 0) & (y < shape[1])
+                    wanted = np.where(inside, x * shape[1] + y, -1)
+                    first, last = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
+                    count = np.where(inside, last - first, 0)
+                    for k in range(int(count.max(initial=0))):  # cells hold a few points each
+                        asks = np.flatnonzero(count > k)
+                        point, who = order[first[asks] + k], some[asks]
+                        d = ((frame[who] - sample[point]) ** 2).sum(1)
+                        closer = (d < best[who]) | ((d == best[who]) & (point < at[who]))
+                        at[who[closer]], best[who[closer]] = point[closer], d[closer]
+        inner = own[left] - low - ((own[left] - low) // width) * width
+        edge = np.minimum(inner, width - inner).min(1) + width
+        left = left[best[left] >= edge * edge * (1 - 1e-9)]
+        width *= 4
+    return at, best

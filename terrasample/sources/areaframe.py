@@ -136,9 +136,13 @@ def as_geometries(results: DataFrame, shapes: DataFrame, unit: str = "unit") ->
     return results.join(shapes.select(*keep).withColumnRenamed(unit, "unit"), "unit", "left")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """A frame from a GeoJSON feature collection of points or polygons."""
-    features = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A frame from a GeoJSON feature collection of points or polygons, which one task reads, or from ``lines`` of a feature
+    each, which are split among tasks. A feature without a geometry has no coordinates."""
+    if lines:
+        features = spark.read.json(path).select(F.struct("geometry", "properties").alias("f"))
+    else:
+        features = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     props = features.schema["f"].dataType["properties"].dataType.names if "properties" in features.schema["f"].dataType.names else []
     rows = features.select(F.to_json("f.geometry").alias("_g"), *[F.col(f"f.properties.{p}").alias(p) for p in props])
 
@@ -148,7 +152,10 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
         for part in batches:
             found = []
             for text in part["_g"]:
-                g = json.loads(text)
+                g = json.loads(text) if text else {}
+                if not g.get("coordinates"):
+                    found.append((None, None, None))
+                    continue
                 c = g["coordinates"]
                 c = [json.loads(v) if isinstance(v, str) else v for v in c]
                 if g["type"] == "Point":

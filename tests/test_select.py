@@ -151,3 +151,12 @@ def test_flights_leave_few_open():
     assert ((c > 0) & (c < 1)).sum() <= 3 and np.allclose(balance.T @ (c / p), balance.sum(0))
     hits = sum(spatial.local_pivotal(x, p, s) for s in range(300)) / 300
     assert abs(hits - p).max() < 0.13
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_nearest_sampled_by_cells(dim):
+    r = np.random.default_rng(dim)
+    sample = np.concatenate([r.random((2500, dim)), r.normal(30, 0.01, (200, dim)), np.repeat(r.random((50, dim)), 2, axis=0)])
+    frame = np.concatenate([r.random((400, dim)) * 1.2, r.random((200, dim)) * 40, sample[:50]])
+    for a, b in zip(spatial.nearest_sampled(frame, sample), spatial._by_distance(frame, sample), strict=True):
+        assert np.allclose(a, b)

@@ -88,3 +88,17 @@ def test_resume(spark, tmp_path):
     tasks = spark.range(5).withColumnRenamed("id", "k")
     run_missing(spark, tasks.where("k < 3"), "k", path, work)
     assert run_missing(spark, tasks, "k", path, work).count() == 5 and done == [3, 2]
+
+
+def test_geojson_lines_and_missing_geometries(spark, tmp_path):
+    from terrasample.sources.areaframe import read_geojson
+
+    features = [
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [2.0, 1.0]}, "properties": {"unit": "a", "v": 5}},
+        {"type": "Feature", "geometry": None, "properties": {"unit": "b", "v": 6}},
+    ]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, features)))
+    (tmp_path / "all.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    for path, lines in (("lines.json", True), ("all.json", False)):
+        got = {r.unit: (r.lat, r.lon, r.v) for r in read_geojson(spark, f"file://{tmp_path}/{path}", lines).collect()}
+        assert got == {"a": (1.0, 2.0, 5), "b": (None, None, 6)}
