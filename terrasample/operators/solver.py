@@ -246,51 +246,88 @@ def _price(p: Problem, routes: list[tuple[int, list[int]]]) -> float:
     return sum(route_length(p.travel, k, r) + p.route_cost for k, r in routes if r)
 
 
-def _between(p: Problem, routes: list[tuple[int, list[int]]], stop: float) -> list[tuple[int, list[int]]]:
-    """Move and swap units between routes while that shortens them."""
-    d = p.travel
-    routes = [(k, list(r)) for k, r in routes if r]
-    better = True
-    while better and time.monotonic() < stop:
-        better = False
-        for a in range(len(routes)):
-            at = 0
-            while at < len(routes[a][1]):
-                ka, ra = routes[a]
-                u = ra[at]
-                prev, nxt = ra[at - 1] if at else ka, ra[at + 1] if at + 1 < len(ra) else ka
-                saved = d[prev, u] + d[u, nxt] - d[prev, nxt] + (p.route_cost if len(ra) == 1 else 0)
-                best = (1e-10, -1, -1, -1)
-                for b in range(len(routes)):
-                    if a == b:
-                        continue
-                    kb, rb = routes[b]
-                    if not rb:
-                        continue
-                    s = np.array([kb, *rb, kb])
-                    add = d[s[:-1], u] + d[u, s[1:]] - d[s[:-1], s[1:]]
-                    i = int(add.argmin())
-                    if saved - add[i] > best[0] and feasible(p, kb, rb[:i] + [u] + rb[i:]):
-                        best = (saved - add[i], b, i, -1)
-                    # or in place of a unit that comes here
-                    put = d[s[:-2], u] + d[u, s[2:]] - d[s[:-2], s[1:-1]] - d[s[1:-1], s[2:]]
-                    take = d[prev, rb] + d[rb, nxt] - d[prev, u] - d[u, nxt]
-                    both = -(put + take)
-                    i = int(both.argmax())
-                    if both[i] > best[0] and feasible(p, kb, rb[:i] + [u] + rb[i + 1 :]) and feasible(p, ka, ra[:at] + [rb[i]] + ra[at + 1 :]):
-                        best = (both[i], b, i, rb[i])
-                if best[1] >= 0:
-                    _, b, i, swapped = best
-                    if swapped >= 0:
-                        routes[b][1][i], routes[a][1][at] = u, swapped
-                    else:
-                        routes[a][1].pop(at)
-                        routes[b][1].insert(i, u)
-                    better = True
+class _Places:
+    """The stops of all routes as arrays, so that a unit is priced against all of them at once."""
+
+    def __init__(self, p: Problem, routes: list[tuple[int, list[int]]]):
+        self.p = p
+        flat = [[k, *r, k] for k, r in routes]
+        # gaps: between which nodes of which route something may come
+        self.before = np.array([x for s in flat for x in s[:-1]])
+        self.after = np.array([x for s in flat for x in s[1:]])
+        self.gap_of = np.repeat(np.arange(len(flat)), [len(s) - 1 for s in flat])
+        self.gap_at = np.concatenate([np.arange(len(s) - 1) for s in flat])
+        # stops: units with what stands before and behind them
+        self.unit = np.array([x for s in flat for x in s[1:-1]])
+        self.left = np.array([x for s in flat for x in s[:-2]])
+        self.right = np.array([x for s in flat for x in s[2:]])
+        self.of = np.repeat(np.arange(len(flat)), [len(s) - 2 for s in flat])
+        self.at = np.concatenate([np.arange(len(s) - 2) for s in flat])
+        d = p.travel
+        self.gap = d[self.before, self.after]
+        self.around = d[self.left, self.unit] + d[self.unit, self.right]
+        self.stops = np.bincount(self.of, minlength=len(flat))
+        self.load = np.bincount(self.of, p.demand[self.unit], minlength=len(flat))
+        self.busy = np.bincount(self.gap_of, self.gap, minlength=len(flat)) + np.bincount(self.of, p.service[self.unit], minlength=len(flat))
+
+    def best_moves(self) -> list[tuple[int, int, int, int, int]]:
+        """For every stop the move that saves most, to a gap of another route or in exchange with another route's stop,
+        if it saves anything: its route and place, the other route and place, and the unit that comes back (-1 for
+        none). The best first; of moves that touch a route only the best."""
+        p, d, u, a = self.p, self.p.travel, self.unit, self.of
+        need, time, limit = p.demand[u], p.service[u], p.max_length * (1 + 1e-12)
+        saved = self.around - d[self.left, self.right] + p.route_cost * (self.stops[a] == 1)
+        r = self.gap_of[:, None]
+        add = d[np.ix_(self.before, u)] + d[np.ix_(u, self.after)].T - self.gap[:, None]
+        fits = (r != a) & (self.stops[r] < p.max_stops) & (self.load[r] + need <= p.capacity + 1e-9) & (self.busy[r] + add + time <= limit)
+        moved = np.where(fits, saved - add, -np.inf)
+        # put[v, u]: what it adds that u stands where v does
+        put = d[np.ix_(self.left, u)] + d[np.ix_(u, self.right)].T - self.around[:, None]
+        more, longer = need - need[:, None], put + time - time[:, None]
+        fits = (a[:, None] != a) & (self.load[a][:, None] + more <= p.capacity + 1e-9) & (self.load[a] - more <= p.capacity + 1e-9)
+        fits &= (self.busy[a][:, None] + longer <= limit) & (self.busy[a] + longer.T <= limit)
+        swapped = np.where(fits, -(put + put.T), -np.inf)
+        i, j, each = moved.argmax(0), swapped.argmax(0), np.arange(len(u))
+        gain = np.maximum(moved[i, each], swapped[j, each])
+        out, touched = [], set()
+        for k in np.argsort(-gain, kind="stable").tolist():
+            if gain[k] <= 1e-10:
+                break
+            swap = swapped[j[k], k] > moved[i[k], k]
+            b, at, back = (int(a[j[k]]), int(self.at[j[k]]), int(u[j[k]])) if swap else (int(self.gap_of[i[k]]), int(self.gap_at[i[k]]), -1)
+            if a[k] not in touched and b not in touched:
+                out.append((int(a[k]), int(self.at[k]), b, at, back))
+                touched |= {int(a[k]), b}
+        return out
+
+
+def _between(p: Problem, routes: list[tuple[int, list[int]]], stop: float, known: dict | None = None) -> list[tuple[int, list[int]]]:
+    """Move and swap units between routes while that shortens them. ``known`` remembers routes that are short already."""
+    routes, known = [(k, list(r)) for k, r in routes if r], {} if known is None else known
+
+    def short(k: int, r: list[int]) -> list[int]:
+        key = (k, *r)
+        if key not in known:
+            if len(known) > 50_000:
+                known.clear()
+            known[key] = _tour(p.travel, k, r)
+            known[k, *known[key]] = known[key]
+        return list(known[key])
+
+    while True:
+        routes = [(k, short(k, r)) for k, r in routes if r]
+        moves = _Places(p, routes).best_moves() if len(routes) > 1 and time.monotonic() < stop else []
+        if not moves:
+            return routes
+        while moves:  # between routes only, which are shortened when no move is left
+            for a, at, b, i, back in moves:
+                u = routes[a][1][at]
+                if back >= 0:
+                    routes[b][1][i], routes[a][1][at] = u, back
                 else:
-                    at += 1
-        routes = [(k, _tour(d, k, r)) for k, r in routes if r]
-    return routes
+                    routes[b][1].insert(i, routes[a][1].pop(at))
+            routes = [(k, r) for k, r in routes if r]
+            moves = _Places(p, routes).best_moves() if len(routes) > 1 and time.monotonic() < stop else []
 
 
 def _search(p: Problem, iterations: int, time_limit: float | None, seed: int) -> tuple[list[tuple[int, list[int]]], int]:
@@ -304,13 +341,13 @@ def _search(p: Problem, iterations: int, time_limit: float | None, seed: int) ->
         left.remove(at)
     best: list[tuple[int, list[int]]] | None = None
     best_cost, best_at, current, current_cost = math.inf, 0, None, math.inf
-    order = _tour(d, p.depots[0], order)
+    order, known = _tour(d, p.depots[0], order), {}
     for it in range(max(1, iterations)):
         found = _split(p, order)
         if found is not None:
-            found = _between(p, found, stop)
+            found = _between(p, found, stop, known)
             if not _within_fleet(p, found):
-                found = _between(p, _deal(p, found), stop)
+                found = _between(p, _deal(p, found), stop, known)
             if _within_fleet(p, found):
                 cost = _price(p, found)
                 if cost < best_cost - 1e-10:
