@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def settle(self) -> None:
+        """Let go of plans and broadcasts of steps whose results are written. Python's references to them go first, then the
+        driver's; without it they stay until its heap is full. Nothing but memory depends on it."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             remove(self.spark, table._scratch_path)

@@ -208,7 +208,9 @@ def apply(
     rows, repeated = _prepared(docs, scratch, id_col, source_col, text_col, weight_col, seed)
     plans = plan(rows, scratch, weights, share, ceiling)
     whole = free_name("row", docs.columns)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), *_keys(docs, id_col, source_col, text_col, weight_col))
+    # an explode of one element: what reads a text is computed once, however often the plan refers to it
+    own = F.explode(F.array(F.struct(*_keys(docs, id_col, source_col, text_col, weight_col)))).alias("own")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), own).select(whole, "own.*")
     if repeated is not None:
         # rows that agree in all columns are one row, taken as often as all of them together
         many = _taken(rows.join(repeated, "key", "left_semi"), plans).groupBy("key", "rest").agg(F.sum("times").alias("times"))

@@ -419,7 +419,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, count: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Rows, different sets, the components of linked sets (``node, component``), and with ``count`` their links."""
     spark = docs.sparkSession
-    arrow_batches(spark, 1000)
+    arrow_batches(spark, 500)
     scratch = Scratch(spark, "ngram")
     docs = only(docs, id_col, text_col).toDF("id", "text")
 
@@ -446,6 +446,7 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     else:
         signed = scratch.table(_singles(sets, frequent, common))
     scratch.drop(counts)
+    scratch.settle()
 
     # all sets under a signature against its pivot
     pivots = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.expr("min_by(node, rare * 2147483648 + n)").alias("pivot"), F.min("n").alias("least_n"))
@@ -458,7 +459,9 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
     first = with_n.join(pivot_n, "pivot").where(size_ok & (F.col("n2") * 100 >= F.col("n") * percent))
     first = scratch.table(first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     links = _verified(first, docs, sets, k, percent, scratch)
+    scratch.settle()
     found = components(links, scratch)
+    scratch.settle()
 
     # the rest: pairs from different components that can still reach the similarity
     placed = shared.join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn("component", F.coalesce("component", "node")).drop("v", "pivot")
@@ -483,6 +486,7 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, c
         found = found.unionByName(loose).join(top, F.col("component") == F.col("t"), "left").select("node", F.coalesce("top", "component").alias("component"))
         found = scratch.table(found)
     scratch.drop(first, rest, second)
+    scratch.settle()
     return rows, sets, found, _counted(found, docs, sets, k, percent, scratch) if count else None
 
 
