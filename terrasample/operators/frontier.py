@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from terrasample.functions.checks import requires, whole
 from terrasample.operators.costcurve import CostCurve, fit_cost_curve
-from terrasample.operators.estimate import ht_variance
-from terrasample.operators.select import METHODS, infer_coords, select_units, task_seed
-from terrasample.operators.simulate import Replicate, travel_between
+from terrasample.operators.draws import many_draws
+from terrasample.operators.select import METHODS, infer_coords, task_seed
+from terrasample.operators.simulate import Replicate, estimated, travel_between
 from terrasample.operators.solver import Problem, solve
 from terrasample.operators.travel import CostModel, TravelMatrix
 
-#: Units of a frame that is broadcast to the tasks whole. Larger frames are drawn from by distributed plans, one for each
-#: replicate, which gives the same designs at the price of a job each.
+#: Units of a frame that is broadcast to the tasks whole. Larger frames are drawn from by one distributed plan for all
+#: replicates, which gives the same designs.
 BROADCAST_UNITS = 200_000
 
 _DRAWN = "k int, r int, unit string, a double, b double, estimate double, variance double, allocation map<string,int>"
@@ -52,18 +52,20 @@ def _draws_in_tasks(frame: DataFrame, coords, n_grid, y, size, strata, selection
     return tasks.mapInPandas(run, _DRAWN)
 
 
-def _draws_by_plans(frame: DataFrame, coords, n_grid, y, size, strata, selection, replicates, n_rep, seed) -> DataFrame:
-    """The same from a frame of any size: each replicate is a sample of ``select_units``."""
-    out = None
-    for k, n in enumerate(n_grid):
-        for r in range(1, n_rep + 1):
-            s = select_units(frame, n, size=size, coords=coords, strata=strata, method=selection, replicates=replicates, seed=task_seed(seed, k, r) % 2**31)
-            rows = s.sampled().select(F.col("unit").cast("string").alias("unit"), F.col(coords[0]).cast("double").alias("a"), F.col(coords[1]).cast("double").alias("b"))
-            found = ht_variance(s, F.col(y)).select(F.col("total").alias("estimate"), "variance") if y else frame.sparkSession.sql("SELECT cast(null AS double) AS estimate, cast(null AS double) AS variance")
-            counts = F.create_map(*[x for h, m in s.design.n.items() for x in (F.lit(h), F.lit(m))])
-            rows = rows.crossJoin(F.broadcast(found)).select(F.lit(k).alias("k"), F.lit(r).alias("r"), "unit", "a", "b", "estimate", "variance", counts.alias("allocation"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+def _draws_in_one_plan(frame: DataFrame, coords, n_grid, y, size, strata, selection, replicates, n_rep, seed) -> DataFrame:
+    """The same from a frame of any size: all replicates are drawn in one plan, and a task has the sample of one."""
+    seeds = {(k, r): task_seed(seed, k, r) % 2**31 for k in range(len(n_grid)) for r in range(1, n_rep + 1)}
+    drawn, designs, _ = many_draws(frame, coords, n_grid, seeds, size, strata, selection, replicates, y)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("unit", ignore_index=True)
+        d, x, p = designs[key[0]], np.array(rows["x"].tolist(), dtype=float), rows["p"].to_numpy(float)
+        each, pi = p / replicates, p if replicates == 1 else 1 - (1 - p / replicates) ** replicates
+        member = np.array(rows["member"].tolist(), dtype=bool)
+        total, variance = estimated(selection, d.n, d.sizes, x, rows["h"].to_numpy(), rows["y"].to_numpy(float), pi, each, member) if y else (None, None)
+        return pd.DataFrame({"k": key[0], "r": key[1], "unit": rows["unit"], "a": x[:, 0], "b": x[:, 1], "estimate": total, "variance": variance, "allocation": [dict(d.n)] * len(rows)})
+
+    return drawn.repartition(len(seeds), "k", "r").groupBy("k", "r").applyInPandas(one, _DRAWN)  # samples are few bytes and much work
 
 
 def cost_variance_frontier(
@@ -95,7 +97,7 @@ def cost_variance_frontier(
     units = frame.where(F.col("unit") != depot).withColumn("unit", F.col("unit").cast("string"))
     grid = [dict(n) if isinstance(n, Mapping) else whole(n, "n", 1) for n in n_grid]
     small = units.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS
-    draws = (_draws_in_tasks if small else _draws_by_plans)(units, coords, grid, y, size, strata, selection, replicates, n_rep, seed)
+    draws = (_draws_in_tasks if small else _draws_in_one_plan)(units, coords, grid, y, size, strata, selection, replicates, n_rep, seed)
 
     def priced(key: tuple, rows: pd.DataFrame, travel: np.ndarray) -> pd.DataFrame:
         names, m = rows["unit"].tolist(), len(rows)

@@ -120,20 +120,8 @@ def allocate_n(n, totals: dict[str, float], sizes: dict[str, int], levels: list[
     return dict(zip(levels, largest_remainder([n * base[k] / all_of for k in levels], n), strict=True))
 
 
-def select_units(
-    frame: DataFrame,
-    n,
-    size: str | None = None,
-    coords: list[str] | None = None,
-    strata: str | None = None,
-    method: str = "lpm",
-    replicates: int = 1,
-    seed: int = 1,
-    balance: list[str] | None = None,
-    levels: list[str] | None = None,
-) -> Sample:
-    """Draw a sample. SRS and systematic are plain DataFrame plans; local pivotal and cube draws run in blocks along the
-    Hilbert curve, a task each. Strata in ``levels`` order, or sorted."""
+def prepared(frame: DataFrame, n, size: str | None, coords: list[str] | None, strata: str | None, method: str, replicates: int, seed: int, balance: list[str] | None = None, levels: list[str] | None = None) -> tuple[DataFrame, Column, Design]:
+    """A checked frame with its strata ``_s`` and sizes ``_z``, the probability of its rows, and the design."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     seed, replicates = whole(seed, "seed"), whole(replicates, "replicates", 1)
@@ -186,9 +174,27 @@ def select_units(
     rows = frame.withColumn("_s", stratum).withColumn("_z", F.when(F.col("_s").isin(flat), F.lit(1.0)).otherwise(z))
     if size and len(flat) < len(levels):
         threshold = by_stratum(pps_thresholds(rows, F.col("_s"), "_z", n_h), F.col("_s"))
-        rows = rows.withColumn("_p", F.when(F.col("_z") >= threshold, F.lit(1.0)).otherwise(F.col("_z") / threshold))
-    else:
-        rows = rows.withColumn("_p", by_stratum({k: n_h[k] / sizes[k] for k in levels}, F.col("_s")))
+        return rows, F.when(F.col("_z") >= threshold, F.lit(1.0)).otherwise(F.col("_z") / threshold), design
+    return rows, by_stratum({k: n_h[k] / sizes[k] for k in levels}, F.col("_s")), design
+
+
+def select_units(
+    frame: DataFrame,
+    n,
+    size: str | None = None,
+    coords: list[str] | None = None,
+    strata: str | None = None,
+    method: str = "lpm",
+    replicates: int = 1,
+    seed: int = 1,
+    balance: list[str] | None = None,
+    levels: list[str] | None = None,
+) -> Sample:
+    """Draw a sample. SRS and systematic are plain DataFrame plans; local pivotal and cube draws run in blocks along the
+    Hilbert curve, a task each. Strata in ``levels`` order, or sorted."""
+    rows, p, design = prepared(frame, n, size, coords, strata, method, replicates, seed, balance, levels)
+    rows, coords, seed, replicates = rows.withColumn("_p", p), list(design.coords), design.seed, design.replicates
+    n_h, sizes, levels = design.n, design.sizes, list(design.n)
     seeds = by_stratum({k: seed * 100 + i for i, k in enumerate(levels, 1)}, F.col("_s"))
 
     if method == "srs":

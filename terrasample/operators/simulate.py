@@ -93,19 +93,26 @@ class Replicate:
     def estimate(self, y: np.ndarray) -> tuple[float, float]:
         """Total of ``y`` (a value per row of the frame, read only where sampled) and its variance, by the rule that the
         design has: between replicates, SRS within strata, or the local mean."""
-        if self.replicates > 1:
-            totals = np.where(self.member, y[:, None], 0.0).T @ np.divide(1.0, self.each, out=np.zeros(len(y)), where=self.each > 0)
-            return float(totals.mean()), float(totals.var(ddof=1) / self.replicates)
-        total = variance = 0.0
-        for k, n in self.n.items():
-            own = self.chosen[self.stratum[self.chosen] == k]
-            total += float((y[own] / self.pi[own]).sum())
-            if self.method == "srs":
-                everyone = int((self.stratum == k).sum())
-                variance += everyone**2 * (1 - n / everyone) * float(y[own].var(ddof=1)) / n if n > 1 else float("nan")
-            else:
-                variance += local_mean(self.x[own], y[own] / self.pi[own])
-        return total, variance
+        own = self.chosen
+        sizes = {k: int((self.stratum == k).sum()) for k in self.n} if self.method == "srs" else {}
+        return estimated(self.method, self.n, sizes, self.x[own], self.stratum[own], y[own], self.pi[own], self.each[own], self.member[own])
+
+
+def estimated(method: str, n: dict, sizes: dict, x: np.ndarray, stratum: np.ndarray, y: np.ndarray, pi: np.ndarray, each: np.ndarray, member: np.ndarray) -> tuple[float, float]:
+    """The same from the sampled rows alone; ``n`` and ``sizes`` are the sample's and, for SRS, the frame's by stratum."""
+    replicates = member.shape[1]
+    if replicates > 1:
+        totals = np.where(member, y[:, None], 0.0).T @ (1 / each)
+        return float(totals.mean()), float(totals.var(ddof=1) / replicates)
+    total = variance = 0.0
+    for k, m in n.items():
+        own = stratum == k
+        total += float((y[own] / pi[own]).sum())
+        if method == "srs":
+            variance += sizes[k] ** 2 * (1 - m / sizes[k]) * float(y[own].var(ddof=1)) / m if m > 1 else float("nan")
+        else:
+            variance += local_mean(x[own], y[own] / pi[own])
+    return total, variance
 
 
 def local_mean(x: np.ndarray, e: np.ndarray, k: int = 3) -> float:

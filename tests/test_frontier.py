@@ -103,3 +103,36 @@ def test_point_design_effect(spark, frame, method, options):
     assert d.mean_variance_estimate == pytest.approx(d.variance, rel=0.6) and d.deff > 0
     with pytest.raises(ValueError, match="exceeds the cell area"):
         point_design_effect(cells, land.withColumn("area", F.lit(0.9)), 5, 2, 1.0, n_sim=2)
+
+
+@pytest.mark.parametrize(("selection", "options"), [("srs", {}), ("lpm", {"size": "size"}), ("systematic", {"replicates": 2}), ("cube", {"size": "size"})])
+def test_large_frames_are_drawn_in_one_plan(spark, frame, monkeypatch, selection, options):
+    """The jobs do not grow with the replicates, and the results are those of small frames."""
+    from terrasample.operators import select
+
+    def jobs(n_rep):
+        group = f"{selection}-{n_rep}"
+        spark.sparkContext.setJobGroup(group, group)
+        f = cost_variance_frontier(frame, "depot", MODEL, [12, 20], y="crop", strata="h", selection=selection, n_rep=n_rep, iterations=2, **options).orderBy("n").collect()
+        return f, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    small = jobs(8)[0]
+    monkeypatch.setattr(M, "BROADCAST_UNITS", 10)
+    monkeypatch.setattr(select, "BLOCK", 16)
+    (_, once), (many, again) = jobs(1), jobs(8)
+    assert again <= 2 * once and [f.n for f in many] == [12, 20] and [f.n_rep for f in many] == [8, 8]
+    for a, b in zip(many, small, strict=True):
+        assert a.allocation == b.allocation and a.cost_mean == pytest.approx(b.cost_mean, rel=0.2)
+        assert abs(a.estimate_mean - b.estimate_mean) < 5 * ((a.variance_mc + b.variance_mc) / 8) ** 0.5 + 1e-6 * b.estimate_mean
+
+
+def test_what_a_block_leaves_has_the_probabilities():
+    from terrasample.operators.draws import survivor
+    from terrasample.operators.spatial import pivotal_flight
+
+    p = np.array([0.0, 0.05, 0.2, 0.1, 0.25])
+    x = np.random.default_rng(3).random((5, 2))
+    left = [survivor(p, s) for s in range(4000)]
+    assert all((v > 0).sum() == 1 and v.sum() == pytest.approx(0.6) for v in left)
+    assert np.abs(np.mean(left, 0) - p).max() < 0.02 and np.abs(np.mean([pivotal_flight(x, p, s) for s in range(4000)], 0) - p).max() < 0.02
+    assert survivor(np.zeros(3), 1).sum() == 0 and survivor(np.array([0.5, 0.5]), 1).max() == 1
