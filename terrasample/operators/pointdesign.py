@@ -6,28 +6,38 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.functions.checks import requires, whole
+from terrasample.operators.draws import many_draws
 from terrasample.operators.points import cell_sides
-from terrasample.operators.select import infer_coords, task_seed
-from terrasample.operators.simulate import Replicate
+from terrasample.operators.select import ONE, infer_coords, prepared, task_seed
+from terrasample.operators.simulate import Replicate, estimated
 
-#: Bytes of cells and land that each simulation holds, broadcast once. A simulated frame beyond it is an error before
-#: anything is collected: simulate its regions by themselves.
-MOST_BYTES = 1 << 30
+#: Cells of a frame that is broadcast to the tasks whole. Larger frames are drawn from by one distributed plan.
+BROADCAST_UNITS = 200_000
 
 
-def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The different values of an Arrow column, sorted, and each row's place among them."""
-    coded = column.combine_chunks().dictionary_encode()
-    names = coded.dictionary.to_numpy(zero_copy_only=False)
-    order = np.argsort(names)
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return names[order], place[coded.indices.to_numpy(zero_copy_only=False)]
+def _drawn_in_tasks(cells: DataFrame, coords, n, size, strata, method, replicates, seeds: dict[tuple[int, int], int]) -> DataFrame:
+    """Sampled cells of every simulation from a broadcast frame, as ``draws.many_draws`` gives them."""
+    spark, kind = cells.sparkSession, dict(cells.dtypes)["unit"]
+    columns = list(dict.fromkeys(["unit", *coords, *[c for c in (size, strata) if c]]))
+    shared = spark.sparkContext.broadcast(cells.select(*columns).toPandas().sort_values("unit", ignore_index=True))
+
+    def run(batches):
+        units = shared.value
+        x = units[coords].to_numpy(float)
+        h = units[strata].astype(str).to_numpy() if strata else np.full(len(units), ONE)
+        z = units[size].to_numpy(float) if size else None
+        for part in batches:
+            for r in part["r"].tolist():
+                drawn = Replicate(x, h, z, n, method, replicates, seeds[0, r])
+                own = drawn.chosen
+                yield pd.DataFrame({"r": r, "h": h[own], "unit": units["unit"].to_numpy()[own], "x": list(x[own]), "p": drawn.p[own], "member": list(drawn.member[own])})
+
+    tasks = spark.createDataFrame([(r,) for _, r in seeds], "r int").repartition(min(len(seeds), 64), "r")
+    return tasks.mapInPandas(run, f"r int, h string, unit {kind}, x array<double>, p double, member array<boolean>")
 
 
 def point_design_effect(
@@ -35,59 +45,58 @@ def point_design_effect(
     n_sim: int = 200, seed: int = 1, coords: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Design effect of point sampling against SRS of as many establishments: each simulation, a task, draws cells and
-    points, hits establishments by their share of the cell, and estimates. Returns one row and the simulations."""
+    points, hits establishments by their share of the cell, and estimates. Returns one row and the simulations. Land stays
+    distributed: a task gets that of its own cells only."""
     requires(areas, ["establishment", "unit", "area", "y"], "areas")
     coords = infer_coords(cells, coords)
     seed, n_sim = whole(seed, "seed"), whole(n_sim, "n_sim", 1)
     cell_area = math.prod(cell_sides(cell_size))
-    spark = cells.sparkSession
-    counted = cells.count() * 8 * (len(coords) + 6) + areas.count() * 48
-    if counted > MOST_BYTES:
-        raise ValueError(f"cells and land of {counted} bytes exceed {MOST_BYTES} for one simulated frame; simulate regions by themselves")
-    columns = list(dict.fromkeys(["unit", *coords, *[c for c in (size, strata) if c]]))
-    frame = cells.select(*columns).toPandas().sort_values("unit", ignore_index=True)
-    land = areas.select("establishment", "unit", F.col("area").cast("double"), F.col("y").cast("double")).toArrow()
-    (names, e), (units, u) = (_codes(land.column(c)) for c in ("establishment", "unit"))
-    order = np.lexsort((e, u))
-    e, u = e[order], u[order]
-    area, y = (land.column(c).to_numpy()[order] for c in ("area", "y"))
-    if (np.bincount(u, area) > cell_area + 1e-9).any():
-        raise ValueError(f"the establishments' land exceeds the cell area in cell {units[int(np.argmax(np.bincount(u, area)))]}")
-    of_cell = pd.Index(units).get_indexer(frame["unit"])
-    begin, end = np.searchsorted(u, of_cell), np.where(of_cell < 0, 0, np.searchsorted(u, of_cell, "right"))
-    cell_of = np.full(len(units), -1)
-    cell_of[of_cell[of_cell >= 0]] = np.flatnonzero(of_cell >= 0)
-    if (cell_of < 0).any():
-        raise ValueError(f"areas refer to cells that are not in the frame: {units[int(np.argmax(cell_of < 0))]}")
-    one_y = np.zeros(len(names))
-    one_y[e[::-1]] = y[::-1]  # an establishment's first value
-    z = frame[size].to_numpy(float) if size else None
-    h = frame[strata].astype(str).to_numpy() if strata else np.full(len(frame), "all")
-    shared = spark.sparkContext.broadcast((frame[coords].to_numpy(float), h, z, begin, end, e, area, cell_of[u], one_y))
+    land = areas.select("unit", "establishment", F.col("area").cast("double"), F.col("y").cast("double")).repartition("unit").persist()  # read by the passes below
+    rows, p, design = prepared(cells, n, size, coords, strata, method, replicates, 1)
+    pi = p if replicates == 1 else 1 - F.pow(1 - p / replicates, replicates)
+    used = land.groupBy("unit").agg(F.sum("area").alias("used")).join(rows.select("unit", pi.alias("pi")), "unit", "left")
+    bad = used.where((F.col("used") > cell_area + 1e-9) | F.col("pi").isNull()).orderBy(F.col("used") <= cell_area + 1e-9, "unit").first()
+    if bad and bad["used"] > cell_area + 1e-9:
+        raise ValueError(f"the establishments' land exceeds the cell area in cell {bad['unit']}")
+    if bad:
+        raise ValueError(f"areas refer to cells that are not in the frame: {bad['unit']}")
+    # an establishment's hits expected of any sample, and its first value
+    hits = F.sum(F.col("area") * F.col("pi") * (points_per_cell / cell_area))
+    made = land.join(rows.select("unit", pi.alias("pi")), "unit").groupBy("establishment").agg(hits.alias("expected"), F.min_by("y", "unit").alias("one_y")).persist()
+    seeds = {(0, b): task_seed(seed, b, "cells") for b in range(1, n_sim + 1)}
+    if cells.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS:
+        drawn = _drawn_in_tasks(cells, coords, n, size, strata, method, replicates, seeds)
+    else:
+        drawn = many_draws(cells, coords, [n], {k: s % 2**31 for k, s in seeds.items()}, size, strata, method, replicates)[0]
+    drawn = drawn.select("r", "h", "unit", "x", "p", "member")
+    hit = drawn.join(land, "unit", "left").join(made, "establishment", "left").drop("y")
 
-    def one(b: int) -> dict:
-        x, h, z, begin, end, e, area, cell, one_y = shared.value
-        drawn = Replicate(x, h, z, n, method, replicates, task_seed(seed, b, "cells"))
-        random = np.random.default_rng(task_seed(seed, b, "points"))
-        expected = np.bincount(e, area * drawn.pi[cell] * (points_per_cell / cell_area), minlength=len(one_y))
-        own, found = np.zeros(len(x)), set()
-        for c in drawn.chosen:
-            g = slice(begin[c], end[c])
-            if end[c] > begin[c]:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["unit", "establishment"], kind="stable", ignore_index=True)
+        b, random = key[0], np.random.default_rng(task_seed(seed, key[0], "points"))
+        unit = rows["unit"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        area, worth, names = rows["area"].to_numpy(float), (rows["one_y"] / rows["expected"]).to_numpy(float), rows["establishment"].to_numpy()
+        own, found = np.zeros(len(first)), set()
+        for i, (begin, end) in enumerate(zip(first, [*first[1:], len(unit)], strict=True)):
+            g = slice(begin, end)
+            if not np.isnan(area[begin]):
                 share = area[g] / cell_area
                 hits = random.multinomial(points_per_cell, np.append(share, max(0.0, 1 - share.sum())))[:-1]
-                own[c] = (hits * one_y[e[g]] / expected[e[g]]).sum()
-                found.update(e[g][hits > 0].tolist())
-        variance = drawn.estimate(own * drawn.pi)[1] if found else None  # a cell's value is already expanded
-        return {"b": b, "estimate": float(own.sum()), "variance": variance, "interviews": len(found)}
-
-    def run(batches):
-        for part in batches:
-            yield pd.DataFrame([one(int(b)) for b in part["b"]], columns=["b", "estimate", "variance", "interviews"])
+                some = hits > 0
+                own[i] = (hits[some] * worth[g][some]).sum()
+                found.update(names[g][some].tolist())
+        cell = rows.iloc[first]
+        p = cell["p"].to_numpy(float)
+        pi = p if replicates == 1 else 1 - (1 - p / replicates) ** replicates
+        x, member = (np.array(cell[c].tolist()) for c in ("x", "member"))
+        # a cell's value is already expanded
+        variance = estimated(method, design.n, design.sizes, x, cell["h"].to_numpy(), own * pi, pi, p / replicates, member)[1] if found else None
+        return pd.DataFrame({"b": [b], "estimate": [float(own.sum())], "variance": [variance], "interviews": [len(found)]})
 
-    tasks = spark.range(1, n_sim + 1).select(F.col("id").cast("int").alias("b")).repartition(min(n_sim, 64), "b")
-    sims = tasks.mapInPandas(run, "b int, estimate double, variance double, interviews int")
-    everyone, truth, s2 = len(names), float(one_y.sum()), float(one_y.var(ddof=1)) if len(names) > 1 else 0.0
+    sims = hit.repartition(min(n_sim, 64), "r").groupBy("r").applyInPandas(one, "b int, estimate double, variance double, interviews int")
+    of = made.agg(F.count(F.lit(1)).alias("k"), F.sum("one_y").alias("t"), F.var_samp("one_y").alias("v")).first()
+    everyone, truth, s2 = of["k"], float(of["t"] or 0), float(of["v"] or 0)
     talks, v = F.avg("interviews"), F.var_samp("estimate")
     srs = everyone**2 * (1 - talks / everyone) * s2 / talks
     out = sims.agg(

@@ -136,3 +136,20 @@ def test_what_a_block_leaves_has_the_probabilities():
     assert all((v > 0).sum() == 1 and v.sum() == pytest.approx(0.6) for v in left)
     assert np.abs(np.mean(left, 0) - p).max() < 0.02 and np.abs(np.mean([pivotal_flight(x, p, s) for s in range(4000)], 0) - p).max() < 0.02
     assert survivor(np.zeros(3), 1).sum() == 0 and survivor(np.array([0.5, 0.5]), 1).max() == 1
+
+
+def test_point_design_of_a_large_frame(spark, frame, monkeypatch):
+    """Land and cells of any size: neither a bound in bytes nor the broadcast of the cells is needed."""
+    from terrasample.operators import pointdesign as P
+
+    monkeypatch.setattr(P, "MOST_BYTES", 1, raising=False)
+    monkeypatch.setattr(P, "BROADCAST_UNITS", 10, raising=False)
+    cells = frame.where("unit <> 'depot'")
+    rows = [(f"{i % 48:02}-{k}", f"c{i:03}", a, float(1 + i % 48)) for i in range(120) for k, a in ((1, 0.5), (2, 0.2))]
+    land = spark.createDataFrame(rows, "establishment string, unit string, area double, y double")
+    out, sims = point_design_effect(cells, land, 20, 6, 1.0, method="srs", n_sim=60, seed=5)
+    d = out.first()
+    assert d.n_sim == 60 and d.total == sum({r[0]: r[3] for r in rows}.values()) and abs(d.bias) < 4 * (d.variance / 60) ** 0.5
+    assert d.mean_variance_estimate == pytest.approx(d.variance, rel=0.6)
+    with pytest.raises(ValueError, match="not in the frame"):
+        point_design_effect(cells.where("unit > 'c010'"), land, 5, 2, 1.0, n_sim=2, method="srs")
