@@ -132,6 +132,8 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 #: whatever it lets through by chance; beyond ``CAPACITY`` keys, where that would be much, they have another way.
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
 CAPACITY = MOST_BITS // BITS_PER_KEY
+#: Bytes of a bitmap that come to the driver at once, by a job each.
+PIECE_BYTES = 4 << 20
 
 
 @dataclass
@@ -150,13 +152,15 @@ class Bitmap:
 
 
 def bitmap_of(keys: DataFrame, column: str, count: int) -> Bitmap:
-    """Bitmap of a column of ``count`` 64-bit hashes; built by Spark, MOST_BITS / 8 bytes at most."""
+    """Bitmap of a column of ``count`` 64-bit hashes; built by Spark, MOST_BITS / 8 bytes at most. Its finished pieces are dealt to
+    partitions by their bytes: the iterator runs a job for each, which would else be as many as there are shuffle partitions."""
     width = (min(MOST_BITS, max(LEAST_BITS, count * BITS_PER_KEY)) - 1).bit_length()
     cell = F.shiftrightunsigned(F.col(column), 64 - width).cast("long") + 1
     rows = (
         keys.select(cell.alias("cell"))
         .groupBy(F.expr("bitmap_bucket_number(cell)").alias("bucket"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits"))
+        .repartition(-(-(1 << width) // (8 * PIECE_BYTES)))
         .toLocalIterator()
     )
     out = np.zeros(max(1 << width, 1 << 20) // 8, dtype=np.uint8)
