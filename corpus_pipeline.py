@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; ``run`` writes each stage's result
 to the shared folder and rereads it, so a lost executor never reaches back further than the running stage. All stages
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``. A stage begins by letting go of what the driver still holds of earlier ones.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrasample.llm import decontamination, language_id, mixing, ngram_join, sharding
-from terrasample.llm._scratch import Scratch, temporary
+from terrasample.llm._scratch import Scratch, settle, temporary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: a letter, and one language with at least half of the likelihood."""
+    settle(spark)
     model = language_id.fit(language_id.training_sample(docs.where(~language_id.held_out("doc_id", 3, 1))))
     found = language_id.identify(docs, model)
     return found.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
@@ -22,21 +23,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles link at a Jaccard similarity of 0.8."""
+    settle(spark)
     return ngram_join.deduplicate(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than 0.8 of every benchmark item's 5-word shingles."""
+    settle(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as they are taken, none more than twice."""
+    settle(spark)
     return mixing.apply(docs, weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Which shard each document was written to."""
+    settle(spark)
     return sharding.shard(docs, Scratch(spark, "shards").root)
 
 

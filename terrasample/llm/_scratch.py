@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,16 +91,35 @@ class Scratch:
         return out
 
     def settle(self) -> None:
-        """Let go of plans and broadcasts of steps whose results are written. Python's references to them go first, then the
-        driver's; without it they stay until its heap is full. Nothing but memory depends on it."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        settle(self.spark)
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             remove(self.spark, table._scratch_path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of plans and broadcasts of steps whose results are written. Python's references to them go first, then the
+    driver's; without it they stay until its heap is full. Then the driver's C allocator gives back what its threads have
+    freed. Nothing but memory depends on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """What the JVM says of trimming its native heap; None where it has no such command."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    # by the interface's method: the server's own class is closed to reflection
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = new(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return None
+
+
 def filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

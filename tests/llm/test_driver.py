@@ -3,6 +3,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terrasample.llm import _scratch as S
 
 
@@ -17,3 +18,19 @@ def test_bitmap_takes_few_jobs(spark, monkeypatch):
         monkeypatch.setattr(S, "PIECE_BYTES", 40_000)
         assert np.array_equal(S.bitmap_of(keys, "h", 200_000).bits, bits.bits)
     assert bits.has(np.array([r.h for r in keys.collect()], dtype=np.int64)).all()
+
+
+def test_settling_trims_the_native_heap(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(S, "trim", lambda s, trim=S.trim: said.append(trim(s)))
+    S.Scratch(spark, "x").settle()
+    assert len(said) == 1 and (said[0] is None or "Trim native heap" in said[0])
+
+
+def test_pipeline_stages_begin_settled(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "settle", calls.append)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert calls == [spark] * n
