@@ -135,6 +135,10 @@ def route_fieldwork(
     return Routes(stops, [depot] * len(s.routes), s.lengths, s.durations, s.loads, s.total, s.lower_bound, s.optimal, units, unit, s.best_iteration, cost, getattr(matrix, "units", None), getattr(matrix, "method", ""))
 
 
+def _matrix(travel: TravelMatrix | DataFrame) -> TravelMatrix:
+    return travel if isinstance(travel, TravelMatrix) else TravelMatrix(travel, travel, "supplied", "travel")
+
+
 def legs(stops: DataFrame, travel: DataFrame) -> DataFrame:
     """``route, stop, unit, leg``: travel into each stop, from the depot into the first. Routes are bounded by a day's work,
     so a window per route is small."""
@@ -143,13 +147,13 @@ def legs(stops: DataFrame, travel: DataFrame) -> DataFrame:
     return rows.join(travel.withColumnRenamed("to", "unit"), ["from", "unit"], "left").select("route", "stop", "unit", F.col("travel").alias("leg"))
 
 
-def route_summary(stops: DataFrame, travel: DataFrame, service: DataFrame | None = None, demand: DataFrame | None = None) -> DataFrame:
-    """``route, stops, length, duration, load`` of given routes, each closed at its depot."""
-    place = W.partitionBy("route").orderBy("stop")
+def route_summary(stops: DataFrame, travel: TravelMatrix | DataFrame, service: DataFrame | None = None, demand: DataFrame | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``route, stops, length, duration, load`` of given routes, each closed at its depot. Where stops of
+    a route share numbers, columns ``ties`` order them."""
+    place = W.partitionBy("route").orderBy("stop", *ties)
     rows = stops.withColumn("from", F.coalesce(F.lag("unit").over(place), F.col("depot"))).withColumn("last", F.lead("unit").over(place).isNull())
-    rows = rows.join(travel.withColumnRenamed("to", "unit"), ["from", "unit"], "left")
-    home = travel.select(F.col("from").alias("unit"), F.col("to").alias("depot"), F.col("travel").alias("home"))
-    rows = rows.join(home, ["unit", "depot"], "left")
+    rows = _matrix(travel).between(rows, "from", "unit", "travel")
+    rows = _matrix(travel).between(rows, "unit", "depot", "home")
     for table, name in ((service, "service"), (demand, "demand")):
         rows = rows.join(table.select("unit", F.col(name).alias(f"_{name}")), "unit", "left") if table is not None else rows.withColumn(f"_{name}", F.lit(0.0))
     length = F.sum(F.col("travel") + F.when(F.col("last"), F.col("home")).otherwise(0.0))

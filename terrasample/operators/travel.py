@@ -24,6 +24,21 @@ class TravelMatrix:
     unit: str
     detour: float = 1.0
     coords: tuple[str, ...] = ()
+    #: Travel as an expression of two points' coordinates, where it follows from them.
+    price: Callable[[Column, Column, Column, Column], Column] | None = None
+
+    def between(self, rows: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        """``rows`` with the travel from the unit in column ``start`` to that in ``end``, null where there is none. Travel that
+        follows from coordinates is computed for these pairs only, not for all pairs of the matrix."""
+        if self.price is None:
+            pairs = self.df.select(F.col("from").alias("_from"), F.col("to").alias("_to"), F.col("travel").alias(name))
+            return rows.join(pairs, (F.col(start) == F.col("_from")) & (F.col(end) == F.col("_to")), "left").drop("_from", "_to")
+        a, b = self.coords
+        for k, unit in enumerate((start, end)):
+            point = self.units.select(F.col("unit").alias(f"_u{k}"), F.col(a).cast("double").alias(f"_a{k}"), F.col(b).cast("double").alias(f"_b{k}"))
+            rows = rows.join(point, F.col(unit) == F.col(f"_u{k}"), "left")
+        ends = [f"_{c}{k}" for k in (0, 1) for c in "ab"]
+        return rows.withColumn(name, self.price(*map(F.col, ends))).drop("_u0", "_u1", *ends)
 
     def square(self, names: list[str]) -> np.ndarray:
         """A dense square for a solver, only of the units it plans."""
@@ -86,14 +101,19 @@ def travel_matrix(
     a, b = coords
     left = points.select(F.col("unit").alias("from"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     right = points.select(F.col("unit").alias("to"), F.col(a).cast("double").alias("_a2"), F.col(b).cast("double").alias("_b2"))
-    far = (haversine if method == "haversine" else euclidean)(F.col("_a"), F.col("_b"), F.col("_a2"), F.col("_b2")) * detour
     name = "km" if method == "haversine" else "distance"
     if speed is not None:
         if speed <= 0:
             raise ValueError("speed must be positive")
-        far, name = far / speed * 60, "min"
+        name = "min"
+
+    def price(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
+        far = (haversine if method == "haversine" else euclidean)(a1, b1, a2, b2) * detour
+        return far if speed is None else far / speed * 60
+
+    far = price(F.col("_a"), F.col("_b"), F.col("_a2"), F.col("_b2"))
     df = left.crossJoin(right).select("from", "to", far.alias("travel"))  # a matrix is all pairs
-    return TravelMatrix(df, points, method, unit or name, detour, (a, b))
+    return TravelMatrix(df, points, method, unit or name, detour, (a, b), price)
 
 
 @dataclass(frozen=True)

@@ -370,20 +370,24 @@ def euclid_matrix_speed(spark, sf):
     return rounded(travel.travel_matrix(_sampled_points(spark, sf), "euclidean", speed=40, coords=["x", "y"]).df, travel=6)
 
 
+_DEPOT = -1  # no customer's key
+
+
 def _given_routes(spark, sf) -> DataFrame:
-    """Routes of up to six sampled units of a stratum in order of their number, from one depot unit."""
+    """Routes of up to six sampled units of a stratum in order of their number, from one depot unit. Beyond 600 sampled units
+    in a stratum, routes of several strata share numbers; the stratum's number ``g`` then orders stops of one number."""
     from pyspark.sql import Window as W
 
     s = srs(spark, sf).sampled()
     place = F.row_number().over(W.partitionBy("stratum").orderBy("unit")) - 1
     rank = F.dense_rank().over(W.orderBy("stratum"))  # strata are few
     rows = s.withColumn("i", place).withColumn("g", rank)
-    return rows.select((F.col("g") * 100 + F.floor(F.col("i") / 6)).cast("int").alias("route"), (F.col("i") % 6 + 1).cast("int").alias("stop"), "unit", F.lit(0).cast("long").alias("depot"))
+    return rows.select((F.col("g") * 100 + F.floor(F.col("i") / 6)).cast("int").alias("route"), (F.col("i") % 6 + 1).cast("int").alias("stop"), "unit", F.lit(_DEPOT).cast("long").alias("depot"), "g")
 
 
-def _depot_travel(spark, sf) -> DataFrame:
-    base = spark.createDataFrame([(0, 20.0, 15.0)], "unit long, x double, y double")
-    return travel.travel_matrix(_sampled_points(spark, sf), "euclidean", bases=base, coords=["x", "y"]).df
+def _depot_travel(spark, sf) -> travel.TravelMatrix:
+    base = spark.createDataFrame([(_DEPOT, 20.0, 15.0)], "unit long, x double, y double")
+    return travel.travel_matrix(_sampled_points(spark, sf), "euclidean", bases=base, coords=["x", "y"])
 
 
 _ROUTES = f"""WITH {SRS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY unit) - 1 AS i, dense_rank() OVER (ORDER BY stratum) AS g FROM sample WHERE sampled),
@@ -394,19 +398,19 @@ legs AS (SELECT *, sqrt(pow(x - coalesce(lag(x) OVER w, 20), 2) + pow(y - coales
 
 @query(f"{_ROUTES} SELECT route, stop, unit, round(leg, 6) AS leg FROM legs")
 def route_legs(spark, sf):
-    return rounded(routing.legs(_given_routes(spark, sf), _depot_travel(spark, sf)), leg=6)
+    return rounded(routing.legs(_given_routes(spark, sf), _depot_travel(spark, sf).df), leg=6)
 
 
 @query(f"{_ROUTES} SELECT route, count(*) AS stops, round(sum(leg + CASE WHEN last THEN home ELSE 0 END), 6) AS length FROM legs GROUP BY route")
 def route_summary(spark, sf):
-    return rounded(routing.route_summary(_given_routes(spark, sf), _depot_travel(spark, sf)), length=6).select("route", "stops", "length")
+    return rounded(routing.route_summary(_given_routes(spark, sf), _depot_travel(spark, sf).df), length=6).select("route", "stops", "length")
 
 
 @query(f"""{_ROUTES} SELECT round(2 * t, 4) AS cost_travel, 50.0::DOUBLE * n_routes AS cost_routes, 30.0::DOUBLE * units AS cost_units, 40.0::DOUBLE * units AS cost_interviews, round(2 * t + 50 * n_routes + 70 * units, 4) AS cost_total
 FROM (SELECT sum(leg + CASE WHEN last THEN home ELSE 0 END) AS t, count(*) AS units, count(DISTINCT route) AS n_routes FROM legs)""")
 def cost_of(spark, sf):
     model = travel.CostModel(per_travel=2, per_unit=30, per_interview=10, interviews_per_unit=4, per_route=50)
-    s = routing.route_summary(_given_routes(spark, sf), _depot_travel(spark, sf))
+    s = routing.route_summary(_given_routes(spark, sf), _depot_travel(spark, sf), ties=("g",))
     totals = s.agg(F.sum("length").alias("t"), F.sum("stops").alias("units"), F.count(F.lit(1)).alias("routes"))
     return rounded(totals.select(*model.columns(F.col("t"), F.col("units"), F.col("routes"))), cost_travel=4, cost_total=4)
 
@@ -414,7 +418,7 @@ def cost_of(spark, sf):
 @query(f"""{_ROUTES} SELECT route, stop, round(coalesce(lag(x) OVER w, 20), 4)::DOUBLE AS x, round(coalesce(lag(y) OVER w, 15), 4)::DOUBLE AS y, x::DOUBLE AS xend, y::DOUBLE AS yend FROM stops WINDOW w AS (PARTITION BY route ORDER BY stop)
 UNION ALL SELECT route, (stop + 1)::INT, x, y, 20.0, 15.0 FROM legs WHERE last""")
 def route_segments(spark, sf):
-    base = spark.createDataFrame([(0, 20.0, 15.0)], "unit long, x double, y double")
+    base = spark.createDataFrame([(_DEPOT, 20.0, 15.0)], "unit long, x double, y double")
     units = _sampled_points(spark, sf).select("unit", "x", "y").unionByName(base)
     return routing.route_segments(_given_routes(spark, sf), units, ("x", "y"))
 
