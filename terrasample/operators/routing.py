@@ -162,10 +162,11 @@ def route_summary(stops: DataFrame, travel: TravelMatrix | DataFrame, service: D
     )
 
 
-def route_segments(stops: DataFrame, units: DataFrame, coords: tuple[str, str]) -> DataFrame:
-    """Plot data: a segment per leg, the way home included. Longitude comes first, so that it is drawn along x."""
+def route_segments(stops: DataFrame, units: DataFrame, coords: tuple[str, str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """Plot data: a segment per leg, the way home included. Longitude comes first, so that it is drawn along x. ``ties`` as in
+    ``legs``."""
     a, b = (coords[1], coords[0]) if coords == ("lat", "lon") else coords
-    place = W.partitionBy("route").orderBy("stop")
+    place = W.partitionBy("route").orderBy("stop", *ties)
     out = stops.withColumn("_from", F.coalesce(F.lag("unit").over(place), F.col("depot"))).withColumn("_next", F.lead("unit").over(place))
     inward = out.select("route", "stop", F.col("_from").alias("f"), F.col("unit").alias("t"))
     home = out.where("_next is null").select("route", (F.col("stop") + 1).alias("stop"), F.col("unit").alias("f"), F.col("depot").alias("t"))

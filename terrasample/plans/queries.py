@@ -420,7 +420,7 @@ UNION ALL SELECT route, (stop + 1)::INT, x, y, 20.0, 15.0 FROM legs WHERE last""
 def route_segments(spark, sf):
     base = spark.createDataFrame([(_DEPOT, 20.0, 15.0)], "unit long, x double, y double")
     units = _sampled_points(spark, sf).select("unit", "x", "y").unionByName(base)
-    return routing.route_segments(_given_routes(spark, sf), units, ("x", "y"))
+    return routing.route_segments(_given_routes(spark, sf), units, ("x", "y"), ties=("g",))
 
 
 def _field_sample(spark, sf) -> DataFrame:

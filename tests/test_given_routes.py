@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from terrasample.operators.routing import route_segments
 
 
 def customers(spark, path, each):
@@ -45,3 +46,11 @@ def same(spark, sf, name, ties=False):
 def test_cost_of(spark, shared, tiny):
     assert not same(spark, shared, "cost_of", ties=True)
     assert not same(spark, tiny, "cost_of")
+
+
+def test_route_segments(spark, shared, tiny):
+    same(spark, shared, "route_segments", ties=True)
+    same(spark, tiny, "route_segments")
+    stops = spark.createDataFrame([(1, 1, "b", "d", 2), (1, 1, "a", "d", 1)], "route int, stop int, unit string, depot string, g int").coalesce(1)
+    units = spark.createDataFrame([("d", 0.0, 0.0), ("a", 1.0, 0.0), ("b", 2.0, 0.0)], "unit string, x double, y double")
+    assert sorted((r.stop, r.x, r.xend) for r in route_segments(stops, units, ("x", "y"), ties=("g",)).collect()) == [(1, 0.0, 1.0), (1, 1.0, 2.0), (2, 2.0, 0.0)]
