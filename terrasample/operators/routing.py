@@ -139,17 +139,16 @@ def _matrix(travel: TravelMatrix | DataFrame) -> TravelMatrix:
     return travel if isinstance(travel, TravelMatrix) else TravelMatrix(travel, travel, "supplied", "travel")
 
 
-def legs(stops: DataFrame, travel: DataFrame) -> DataFrame:
+def legs(stops: DataFrame, travel: TravelMatrix | DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """``route, stop, unit, leg``: travel into each stop, from the depot into the first. Routes are bounded by a day's work,
-    so a window per route is small."""
-    place = W.partitionBy("route").orderBy("stop")
+    so a window per route is small. Where stops of a route share numbers, columns ``ties`` order them."""
+    place = W.partitionBy("route").orderBy("stop", *ties)
     rows = stops.withColumn("from", F.coalesce(F.lag("unit").over(place), F.col("depot")))
-    return rows.join(travel.withColumnRenamed("to", "unit"), ["from", "unit"], "left").select("route", "stop", "unit", F.col("travel").alias("leg"))
+    return _matrix(travel).between(rows, "from", "unit", "leg").select("route", "stop", "unit", "leg")
 
 
 def route_summary(stops: DataFrame, travel: TravelMatrix | DataFrame, service: DataFrame | None = None, demand: DataFrame | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
-    """``route, stops, length, duration, load`` of given routes, each closed at its depot. Where stops of
-    a route share numbers, columns ``ties`` order them."""
+    """``route, stops, length, duration, load`` of given routes, each closed at its depot. ``ties`` as in ``legs``."""
     place = W.partitionBy("route").orderBy("stop", *ties)
     rows = stops.withColumn("from", F.coalesce(F.lag("unit").over(place), F.col("depot"))).withColumn("last", F.lead("unit").over(place).isNull())
     rows = _matrix(travel).between(rows, "from", "unit", "travel")

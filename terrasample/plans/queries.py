@@ -398,7 +398,7 @@ legs AS (SELECT *, sqrt(pow(x - coalesce(lag(x) OVER w, 20), 2) + pow(y - coales
 
 @query(f"{_ROUTES} SELECT route, stop, unit, round(leg, 6) AS leg FROM legs")
 def route_legs(spark, sf):
-    return rounded(routing.legs(_given_routes(spark, sf), _depot_travel(spark, sf).df), leg=6)
+    return rounded(routing.legs(_given_routes(spark, sf), _depot_travel(spark, sf), ties=("g",)), leg=6)
 
 
 @query(f"{_ROUTES} SELECT route, count(*) AS stops, round(sum(leg + CASE WHEN last THEN home ELSE 0 END), 6) AS length FROM legs GROUP BY route")

@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from terrasample.operators.routing import route_segments
+from terrasample.operators.routing import legs, route_segments
+from terrasample.operators.travel import travel_matrix
 
 
 def customers(spark, path, each):
@@ -54,3 +55,13 @@ def test_route_segments(spark, shared, tiny):
     stops = spark.createDataFrame([(1, 1, "b", "d", 2), (1, 1, "a", "d", 1)], "route int, stop int, unit string, depot string, g int").coalesce(1)
     units = spark.createDataFrame([("d", 0.0, 0.0), ("a", 1.0, 0.0), ("b", 2.0, 0.0)], "unit string, x double, y double")
     assert sorted((r.stop, r.x, r.xend) for r in route_segments(stops, units, ("x", "y"), ties=("g",)).collect()) == [(1, 0.0, 1.0), (1, 1.0, 2.0), (2, 2.0, 0.0)]
+
+
+def test_route_legs(spark, shared, tiny):
+    assert not same(spark, shared, "route_legs", ties=True)
+    assert not same(spark, tiny, "route_legs")
+    points = spark.createDataFrame([("d", 0.0, 0.0), ("a", 3.0, 4.0)], "unit string, x double, y double")
+    stops = spark.createDataFrame([(1, 1, "a", "d"), (1, 2, "z", "d")], "route int, stop int, unit string, depot string")
+    m = travel_matrix(points, "euclidean", speed=30, coords=["x", "y"])
+    for given in (m, m.df):
+        assert [(r.unit, r.leg) for r in legs(stops, given).orderBy("stop").collect()] == [("a", 10.0), ("z", None)]
