@@ -403,7 +403,7 @@ def route_legs(spark, sf):
 
 @query(f"{_ROUTES} SELECT route, count(*) AS stops, round(sum(leg + CASE WHEN last THEN home ELSE 0 END), 6) AS length FROM legs GROUP BY route")
 def route_summary(spark, sf):
-    return rounded(routing.route_summary(_given_routes(spark, sf), _depot_travel(spark, sf).df), length=6).select("route", "stops", "length")
+    return rounded(routing.route_summary(_given_routes(spark, sf), _depot_travel(spark, sf), ties=("g",)), length=6).select("route", "stops", "length")
 
 
 @query(f"""{_ROUTES} SELECT round(2 * t, 4) AS cost_travel, 50.0::DOUBLE * n_routes AS cost_routes, 30.0::DOUBLE * units AS cost_units, 40.0::DOUBLE * units AS cost_interviews, round(2 * t + 50 * n_routes + 70 * units, 4) AS cost_total

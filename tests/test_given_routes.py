@@ -65,3 +65,8 @@ def test_route_legs(spark, shared, tiny):
     m = travel_matrix(points, "euclidean", speed=30, coords=["x", "y"])
     for given in (m, m.df):
         assert [(r.unit, r.leg) for r in legs(stops, given).orderBy("stop").collect()] == [("a", 10.0), ("z", None)]
+
+
+def test_route_summary(spark, shared, tiny):
+    assert not same(spark, shared, "route_summary", ties=True)
+    assert not same(spark, tiny, "route_summary")
