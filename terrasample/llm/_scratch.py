@@ -101,10 +101,18 @@ class Scratch:
 def settle(spark: SparkSession) -> None:
     """Let go of plans and broadcasts of steps whose results are written. Python's references to them go first, then the
     driver's; without it they stay until its heap is full. Then the driver's C allocator gives back what its threads have
-    freed. Nothing but memory depends on it."""
+    freed, and the executors collect their garbage. Nothing but memory depends on it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     trim(spark)
+    collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """A full collection on the executors, by a task for each of their cores: their heaps shrink to what is in use. Else they
+    keep the size that the step before had grown them to, mostly with freed pages of its sorts and aggregations."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 def trim(spark: SparkSession) -> str | None:

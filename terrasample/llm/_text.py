@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at a time; longer only if a single word is.
-CHUNK = 1 << 21
+#: Bytes hashed at a time, for which a worker keeps tables of 32 bytes each; longer only if a single word is.
+CHUNK = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
