@@ -50,3 +50,7 @@ def same_rows(spark, sf, name):
 
 def test_route_segments(spark, sf):
     same_rows(spark, sf, "route_segments")
+
+
+def test_route_summary(spark, sf):
+    same_rows(spark, sf, "route_summary")
