@@ -54,3 +54,7 @@ def test_route_segments(spark, sf):
 
 def test_route_summary(spark, sf):
     same_rows(spark, sf, "route_summary")
+
+
+def test_route_legs(spark, sf):
+    same_rows(spark, sf, "route_legs")
